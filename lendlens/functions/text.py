@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Every character that counts as white space at the ends of a label.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?inf(inity)?$"
 
 
@@ -13,8 +18,9 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Trim any white space, not only blanks (``F.trim`` keeps tabs)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Trim any white space, not only blanks. A character trim, not a regex: these labels are
+    normalised inside long CASE chains, and filters push those chains down to the scan."""
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def norm(c: Column | str) -> Column:
@@ -36,7 +42,7 @@ def coded_id(c: Column | str, prefix: str, width: int) -> Column:
     """
     c = col(c)
     digits = F.regexp_replace(c, "[^0-9]", "")
-    number = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    number = F.ltrim(digits, F.lit("0"))
     padded = F.when(F.length(number) >= width, number).otherwise(F.lpad(number, width, "0"))
     return F.when(digits == "", F.concat(F.lit(prefix + "-"), c)).otherwise(F.concat(F.lit(prefix), padded))
 
@@ -50,7 +56,7 @@ def number_text(c: Column | str) -> Column:
 def number_or_percent(c: Column | str) -> Column:
     """``0.45`` or ``45%`` to double; unreadable text is null."""
     clean = norm(c)
-    percent = number_text(F.regexp_replace(clean, "%+$", "")) / 100
+    percent = number_text(F.rtrim(clean, F.lit("%"))) / 100
     return F.when(clean.endswith("%"), percent).otherwise(number_text(clean))
 
 

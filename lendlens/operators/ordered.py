@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lendlens.session import settle
 
+MAX_TOTALS = 500_000
 _BLOCK_BITS = 33  # monotonically_increasing_id keeps the partition above, the row below
 
 
@@ -29,8 +30,8 @@ def _sorted_blocks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def _offsets(totals: list, series: str | None, measures: Sequence[str]) -> dict:
-    """Exclusive running totals of the measures over the blocks of each series."""
+def _offsets(totals: list, series: str | None, measures: Sequence[str]) -> tuple[dict, dict]:
+    """Running totals of the measures before each block of a series, and the series totals."""
     running: dict = {}
     offsets = {}
     for row in sorted(totals, key=lambda r: r["_block"]):
@@ -38,7 +39,7 @@ def _offsets(totals: list, series: str | None, measures: Sequence[str]) -> dict:
         before = running.get(name, [0] * len(measures))
         offsets[(name, row["_block"])] = before
         running[name] = [b + row[m] for b, m in zip(before, measures)]
-    return offsets
+    return offsets, running
 
 
 def prefix_counts(
@@ -48,13 +49,13 @@ def prefix_counts(
     sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Per distinct value: ``n`` rows and the requested sums, plus each of them summed over all
-    smaller values of the same series (``n_before``, ``<name>_before``). Null values are left out.
+    smaller values of the same series (``n_before``, ``<name>_before``) and over the whole series
+    (``n_total``, ``<name>_total``). Null values are left out.
 
     ``series`` names a column with few distinct labels (a column name, a tier); ``sums`` must be
     integer expressions.
     """
     sums = sums or {}
-    spark = df.sparkSession
     keys = ([series] if series else []) + [value]
     counted = (
         df.where(F.col(value).isNotNull())
@@ -64,24 +65,34 @@ def prefix_counts(
     measures = ["n", *sums]
     blocks = _sorted_blocks(counted, [F.col(k) for k in keys])
     block_keys = ([series] if series else []) + ["_block"]
-    totals = blocks.groupBy(*block_keys).agg(*[F.sum(m).cast("bigint").alias(m) for m in measures]).collect()
-    offsets = _offsets(totals, series, measures)
-
-    w = Window.partitionBy(*block_keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = blocks.select(*keys, *measures, "_block", *[(F.sum(m).over(w) - F.col(m)).alias(f"_in_{m}") for m in measures])
-    if not offsets:
-        return running.select(*keys, *measures, *[F.col(f"_in_{m}").alias(f"{m}_before") for m in measures])
+    totals = (
+        blocks.groupBy(*block_keys)
+        .agg(*[F.sum(m).cast("bigint").alias(m) for m in measures])
+        .limit(MAX_TOTALS + 1)
+        .collect()
+    )
+    if len(totals) > MAX_TOTALS:
+        raise ValueError(f"column {series} has too many labels to be used as a series")
+    offsets, whole = _offsets(totals, series, measures)
 
     fields = [f"{series} {counted.schema[series].dataType.simpleString()}"] if series else []
-    schema = ", ".join(fields + ["_block int"] + [f"_off_{m} bigint" for m in measures])
-    rows = [([name] if series else []) + [block, *before] for (name, block), before in offsets.items()]
-    table = spark.createDataFrame([tuple(r) for r in rows], schema)
-    # At most one row per block and series: bounded by the number of sort partitions.
-    joined = running.join(F.broadcast(table), block_keys, "left")
-    return joined.select(
-        *keys,
+    fields += ["_block int"] + [f"_off_{m} bigint" for m in measures] + [f"{m}_total bigint" for m in measures]
+    rows = [
+        (*([name] if series else []), block, *before, *whole[name]) for (name, block), before in offsets.items()
+    ]
+    # At most one row per block and series: bounded by the sort partitions and MAX_TOTALS.
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, ", ".join(fields)))
+
+    w = Window.partitionBy(*block_keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = blocks.select("*", *[(F.sum(m).over(w) - F.col(m)).alias(f"_in_{m}") for m in measures])
+    same_block = running["_block"] == table["_block"]
+    if series:
+        same_block = same_block & running[series].eqNullSafe(table[series])
+    return running.join(table, same_block).select(
+        *[running[k] for k in keys],
         *measures,
-        *[(F.col(f"_in_{m}") + F.coalesce(f"_off_{m}", F.lit(0))).alias(f"{m}_before") for m in measures],
+        *[(F.col(f"_in_{m}") + F.col(f"_off_{m}")).alias(f"{m}_before") for m in measures],
+        *[f"{m}_total" for m in measures],
     )
 
 
@@ -94,16 +105,8 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def rank_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(series, value, pct): average rank of each distinct value divided by the non-null count."""
     counts = prefix_counts(_long(df, columns), "value", "series")
-    totals = {c: 0 for c in columns}
-    sizes = df.agg(*[F.count(c).alias(f"_{i}") for i, c in enumerate(columns)]).first()
-    for i, c in enumerate(columns):
-        totals[c] = sizes[i]
-    n = F.lit(None).cast("double")
-    for c in columns:
-        n = F.when(F.col("series") == c, F.lit(float(totals[c]))).otherwise(n)
-    return counts.select(
-        "series", "value", ((2 * F.col("n_before") + F.col("n") + 1) / 2 / n).alias("pct")
-    )
+    average_rank = (2 * F.col("n_before") + F.col("n") + 1) / 2
+    return counts.select("series", "value", (average_rank / F.col("n_total")).alias("pct"))
 
 
 def percent_rank_columns(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
@@ -118,19 +121,23 @@ def percent_rank_columns(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
     return df
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column], output: str = "row_number") -> DataFrame:
-    """Adds the global position 1..n in ``order``, which must end in a unique key.
+def row_numbers(df: DataFrame, order: Sequence[Column], output: str = "row_number", total: str | None = None) -> DataFrame:
+    """Adds the global position 1..n in ``order``, which must end in a unique key, and on request n itself.
 
     The range exchange cuts inside ties of the leading column, so equal leading values spread out.
     """
     blocks = _sorted_blocks(df, order)
     totals = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()
-    offsets = _offsets(totals, None, ["n"])
+    offsets, whole = _offsets(totals, None, ["n"])
+    n = whole.get(None, [0])[0]
     table = df.sparkSession.createDataFrame(
         [(block, before[0]) for (_, block), before in offsets.items()], "_block int, _off bigint"
     )
-    return blocks.join(F.broadcast(table), "_block", "left").select(
-        *df.columns, (F.col("_off") + F.col("_pos") + 1).alias(output)
+    # one row per sort partition
+    return blocks.join(F.broadcast(table), "_block").select(
+        *df.columns,
+        (F.col("_off") + F.col("_pos") + 1).alias(output),
+        *([F.lit(n).cast("bigint").alias(total)] if total else []),
     )
 
 
@@ -143,9 +150,6 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], series: str | N
         (F.col(series) if series else F.lit(0)).alias("series"), F.col(value).cast("double").alias("value")
     ).where("value IS NOT NULL")
     counts = prefix_counts(data, "value", "series")
-    sizes = counts.groupBy("series").agg(F.sum("n").alias("_size"))
-    # one row per series label: a handful of rows by contract, still checked by the planner
-    sized = counts.join(sizes, "series")
 
     def order_stat(position: Column) -> Column:
         hit = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
@@ -153,13 +157,13 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], series: str | N
 
     aggs = []
     for i, p in enumerate(probs):
-        place = (F.col("_size") - 1) * F.lit(float(p))
+        place = (F.col("n_total") - 1) * F.lit(float(p))
         aggs += [
             order_stat(F.floor(place)).alias(f"lo{i}"),
             order_stat(F.ceil(place)).alias(f"hi{i}"),
             F.max(place - F.floor(place)).alias(f"w{i}"),
         ]
-    stats = sized.groupBy("series").agg(F.max("_size").alias("n_values"), *aggs)
+    stats = counts.groupBy("series").agg(F.max("n_total").alias("n_values"), *aggs)
     out = [
         (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"q{i}")
         for i in range(len(probs))
