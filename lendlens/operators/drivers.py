@@ -53,12 +53,14 @@ def latest_strength(snapshots: DataFrame) -> DataFrame:
     return ranked.select("crm_account_id", clamp01(score).alias("relationship_strength_score"))
 
 
+def _activities(activities: DataFrame) -> DataFrame:
+    return activities.groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("activity_count"))
+
+
 def activity_counts(opportunities: DataFrame, activities: DataFrame) -> DataFrame:
     """(opportunity_id, activity_count), opportunities without activity count 0."""
-    counts = activities.groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("n"))
-    return opportunities.select("opportunity_id").join(counts, "opportunity_id", "left").select(
-        "opportunity_id", F.coalesce("n", F.lit(0)).alias("activity_count")
-    )
+    joined = opportunities.select("opportunity_id").join(_activities(activities), "opportunity_id", "left")
+    return joined.select("opportunity_id", F.coalesce("activity_count", F.lit(0)).alias("activity_count"))
 
 
 def first_facilities(facilities: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def driver_table(bronze: dict[str, DataFrame]) -> DataFrame:
     opportunities = bronze["bronze_crm_opportunities"].select("opportunity_id", "crm_account_id", "stage_raw")
     applications = bronze["bronze_los_applications"]
     joined = (
-        opportunities.join(activity_counts(opportunities.distinct(), bronze["bronze_rm_activities"]).distinct(), "opportunity_id", "left")
+        opportunities.join(_activities(bronze["bronze_rm_activities"]), "opportunity_id", "left")
         .join(facility_drivers(bronze["bronze_los_facilities"], bronze["bronze_pricing_quotes"], applications), "opportunity_id", "left")
         .join(opportunity_ratings(bronze["bronze_risk_assessments"], applications), "opportunity_id", "left")
         .join(latest_strength(bronze["bronze_core_relationship_snapshot"]), "crm_account_id", "left")
