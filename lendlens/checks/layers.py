@@ -316,10 +316,10 @@ def _(ctx):
            f"""SELECT '{m}' AS measure, series, count(*) AS n_rows, corr(x, outcome) AS correlation FROM (
              SELECT *, quantile_cont(x, 0.025) OVER (PARTITION BY series) AS lo, quantile_cont(x, 0.975) OVER (PARTITION BY series) AS hi
              FROM (SELECT {x} AS x, outcome, unnest(['all', CAST(tier AS VARCHAR)]) AS series FROM loan_offers) l) t WHERE x > lo AND x < hi GROUP BY series"""
-           for m, x in (("rate", "rate"), ("spread", "rate - reference_rate"))
+           for m, x in (("rate", "rate"), ("spread", "round(rate - reference_rate, 6)"))
        ))
 def _(ctx):
-    offers = ctx.offers.withColumn("spread", explore.spread("rate", "reference_rate"))
+    offers = ctx.offers.withColumn("spread", F.round(explore.spread("rate", "reference_rate"), 6))
     parts = [explore.trimmed_correlation(offers, m, "outcome", "tier").withColumn("measure", F.lit(m)) for m in ("rate", "spread")]
     return parts[0].unionByName(parts[1])
 

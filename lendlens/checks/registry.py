@@ -2,7 +2,9 @@
 
 Result columns are given as ``name`` or ``name:code``. The code fixes how both sides
 are brought to a comparable value: ``f``/``f4``/``f2`` rounded double, ``i`` bigint,
-``t`` date as text.
+``t`` date as text. Before rounding both sides are shifted by a small part of the
+last digit, so that a value that lies exactly on a rounding tie cannot fall to
+different sides because of summation order.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lendlens.checks.tables_sql import TABLES
 from lendlens.plans import gold, silver
-from lendlens.session import tune
+from lendlens.session import settle, tune
 from lendlens.sources.star import StarSource
 
 
@@ -59,11 +61,11 @@ class Context:
 
     @cached_property
     def pricing(self) -> DataFrame:
-        return silver.pricing_cases(self["bronze_pricing_quotes"], self.facilities)
+        return silver.pricing_cases(self["bronze_pricing_quotes"], self.kept_facilities)
 
     @cached_property
     def risk(self) -> DataFrame:
-        return silver.risk_assessments(self["bronze_risk_assessments"], self.facilities)
+        return silver.risk_assessments(self["bronze_risk_assessments"], self.kept_facilities)
 
     @cached_property
     def relationships(self) -> DataFrame:
@@ -73,11 +75,16 @@ class Context:
     def ftp(self) -> DataFrame:
         return silver.ftp_rates(self["bronze_treasury_ftp_rates"])
 
+    @cached_property
+    def kept_facilities(self) -> DataFrame:
+        """Facilities computed once: three tables are built on them."""
+        return settle(self.facilities)
+
     @cached_property
     def economics_inputs(self) -> dict[str, DataFrame]:
         """The Silver tables that facility economics read (no ranks involved)."""
         return {
-            "silver_facilities": self.facilities,
+            "silver_facilities": self.kept_facilities,
             "silver_pricing_cases": self.pricing,
             "silver_risk_assessments": self.risk,
             "silver_ftp_rates": self.ftp,
@@ -96,15 +103,20 @@ class Context:
     def economics(self) -> DataFrame:
         return gold.facility_economics(self.economics_inputs)
 
+    @cached_property
+    def kept_economics(self) -> DataFrame:
+        """The facility measures that deals are aggregated from, computed once for their two consumers."""
+        return settle(self.economics.select(*gold.DEAL_INPUTS))
+
     @cached_property
     def gold(self) -> dict[str, DataFrame]:
         return gold.build_gold(self.silver)
 
     @cached_property
     def lazy_features(self) -> DataFrame:
-        """Deal features without the complexity score: no job runs while the plan is built."""
-        econ = gold.deal_economics(self.economics, self.deals, with_complexity=False)
-        return gold.deal_features(self.silver, self.economics, econ)
+        """Deal features without the complexity score (no rank over all deals)."""
+        econ = gold.deal_economics(self.kept_economics, self.deals, with_complexity=False)
+        return gold.deal_features(self.silver, self.kept_economics, econ)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -146,10 +158,14 @@ def _digits(code: str) -> int:
     return int(code[1:] or 6)
 
 
+def _shift(code: str) -> float:
+    return 0.013729034117 * 10.0 ** -_digits(code)
+
+
 def _spark_value(name: str, code: str):
     c = F.col(name)
     if code.startswith("f"):
-        return (F.round(c.cast("double"), _digits(code)) + F.lit(0.0)).alias(name)
+        return (F.round(c.cast("double") + F.lit(_shift(code)), _digits(code)) + F.lit(0.0)).alias(name)
     if code == "i":
         return c.cast("bigint").alias(name)
     if code == "t":
@@ -159,7 +175,7 @@ def _spark_value(name: str, code: str):
 
 def _sql_value(name: str, code: str) -> str:
     if code.startswith("f"):
-        return f"round(CAST({name} AS DOUBLE), {_digits(code)}) + 0.0 AS {name}"
+        return f"round(CAST({name} AS DOUBLE) + CAST('{_shift(code)!r}' AS DOUBLE), {_digits(code)}) + 0.0 AS {name}"
     if code == "i":
         return f"CAST({name} AS BIGINT) AS {name}"
     if code == "t":

@@ -217,8 +217,8 @@ TABLES["gold_deal_economics"] = f"""
     CASE WHEN total_expected_profit_lifetime < 0 THEN 'Red' ELSE worst_facility_pricing_zone END AS deal_pricing_zone
   FROM (SELECT o.customer_id, o.rm_id, a.anchor_product, s.*,
       CASE severity WHEN 0 THEN 'Red' WHEN 1 THEN 'Guardrail' WHEN 2 THEN 'Recommended' ELSE 'Stretch' END AS worst_facility_pricing_zone,
-      0.65 * ({pct_rank('number_of_facilities')}) + 0.35 * ({pct_rank('total_commitment')}) AS raw_complexity
-    FROM deal_sums s JOIN deal_owner o ON s.deal_id = o.deal_id LEFT JOIN deal_anchor a ON s.deal_id = a.deal_id) d"""
+      0.65 * ({pct_rank('number_of_facilities')}) + 0.35 * ({pct_rank('ranked_commitment')}) AS raw_complexity
+    FROM (SELECT *, round(total_commitment, 4) AS ranked_commitment FROM deal_sums) s JOIN deal_owner o ON s.deal_id = o.deal_id LEFT JOIN deal_anchor a ON s.deal_id = a.deal_id) d"""
 
 TABLES["risk_weighted"] = """
   SELECT r.deal_id, r.facility_id, r.rating, r.pd, r.lgd, coalesce(e.expected_utilized_volume, 0) AS w,

@@ -122,8 +122,13 @@ def utilisation_default(product_type) -> Column:
     return chain.otherwise(OTHER_UTILISATION)
 
 
+def utilisation_share(share, product_type) -> Column:
+    """A parsed share limited to [0, 1], or the product's default."""
+    return F.coalesce(clamp01(col(share)), utilisation_default(product_type))
+
+
 def utilisation(c, product_type) -> Column:
-    return F.coalesce(clamp01(number_or_percent(c)), utilisation_default(product_type))
+    return utilisation_share(number_or_percent(c), product_type)
 
 
 def rating(c) -> Column:

@@ -43,7 +43,7 @@ def coded_id(c: Column | str, prefix: str, width: int) -> Column:
     c = col(c)
     digits = F.regexp_replace(c, "[^0-9]", "")
     number = F.ltrim(digits, F.lit("0"))
-    padded = F.when(F.length(number) >= width, number).otherwise(F.lpad(number, width, "0"))
+    padded = F.lpad(number, F.greatest(F.length(number), F.lit(width)), F.lit("0"))
     return F.when(digits == "", F.concat(F.lit(prefix + "-"), c)).otherwise(F.concat(F.lit(prefix), padded))
 
 
@@ -56,8 +56,8 @@ def number_text(c: Column | str) -> Column:
 def number_or_percent(c: Column | str) -> Column:
     """``0.45`` or ``45%`` to double; unreadable text is null."""
     clean = norm(c)
-    percent = number_text(F.rtrim(clean, F.lit("%"))) / 100
-    return F.when(clean.endswith("%"), percent).otherwise(number_text(clean))
+    scale = F.when(clean.endswith("%"), 100.0).otherwise(1.0)
+    return number_text(F.rtrim(clean, F.lit("%"))) / scale
 
 
 def clean_double(c: Column | str) -> Column:

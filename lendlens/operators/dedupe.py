@@ -47,24 +47,35 @@ def first_by(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column] |
     return top_row(df, keys, order)
 
 
-def final_quote_ids(quotes: DataFrame) -> DataFrame:
-    """(facility_id, final_quote_id): latest approved or submitted version, else the latest of any status."""
-    order = [
+def _final_first() -> list[Column]:
+    return [
         final_quote_eligible("quote_status").desc(),
         F.col("quote_version").desc_nulls_first(),
         F.col("quote_id").desc(),
     ]
-    picked = top_row(quotes.select("facility_id", "quote_id", "quote_version", "quote_status"), ["facility_id"], order)
-    return picked.select("facility_id", F.col("quote_id").alias("final_quote_id"))
+
+
+def final_quote_ids(quotes: DataFrame) -> DataFrame:
+    """(facility_id, final_quote_id): latest approved or submitted version, else the latest of any status."""
+    slim = quotes.select("facility_id", "quote_id", "quote_version", "quote_status")
+    return top_row(slim, ["facility_id"], _final_first()).select("facility_id", F.col("quote_id").alias("final_quote_id"))
+
+
+def facility_final_quotes(quotes: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys`` (facility_source_id, facility_id, deal_id) with the final quote of each facility.
+
+    The best quote of a raw facility is picked before any join, so only one narrow row per
+    facility is shuffled; raw ids that stand for the same facility are settled afterwards.
+    """
+    slim = quotes.select("facility_source_id", "quote_id", "quote_version", F.lower("quote_status_raw").alias("quote_status"))
+    best = top_row(slim, ["facility_source_id"], _final_first()).join(keys.select("facility_source_id", "facility_id"), "facility_source_id")
+    return keys.join(final_quote_ids(best), "facility_id", "left")
 
 
 def flag_final_quotes(quotes: DataFrame) -> DataFrame:
-    """Adds ``is_final_quote`` to every quote version."""
-    return (
-        quotes.join(final_quote_ids(quotes), "facility_id", "left")
-        .withColumn("is_final_quote", F.coalesce(F.col("quote_id") == F.col("final_quote_id"), F.lit(False)))
-        .drop("final_quote_id")
-    )
+    """Adds ``is_final_quote`` to quote versions that already carry their facility id."""
+    flag = F.coalesce(F.col("quote_id") == F.col("final_quote_id"), F.lit(False))
+    return quotes.join(final_quote_ids(quotes), "facility_id", "left").withColumn("is_final_quote", flag).drop("final_quote_id")
 
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:

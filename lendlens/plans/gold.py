@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ FEATURES = [
     "has_rcf", "has_term_loan", "has_guarantee", "has_trade_finance",
 ]
 
+# what deal totals and deal risk read from facility economics
+DEAL_INPUTS = [
+    "deal_id", "facility_id", "product_type", "commitment_amount", "expected_utilized_volume",
+    "expected_facility_profit_annual", "expected_facility_profit_lifetime", "margin_above_floor_bps",
+    "annualized_fee_bps", "offered_margin_bps", "pricing_zone",
+]
+
 PRODUCT_FLAGS = {
     "has_rcf": "RCF",
     "has_term_loan": "Term Loan",
@@ -116,10 +125,12 @@ def deal_totals(economics: DataFrame) -> DataFrame:
 
 
 def deal_complexity(totals: DataFrame) -> DataFrame:
-    """Adds the complexity score, ranked over all deals."""
-    ranked = percent_rank_columns(totals, {"_n_rank": "number_of_facilities", "_c_rank": "total_commitment"})
+    """Adds the complexity score, ranked over all deals. Amounts are ranked at four decimals: equal
+    totals must tie whatever order their parts were added in."""
+    rounded = totals.withColumn("_commitment", F.round("total_commitment", 4))
+    ranked = percent_rank_columns(rounded, {"_n_rank": "number_of_facilities", "_c_rank": "_commitment"})
     score = F.col("_n_rank") * 0.65 + F.col("_c_rank") * 0.35
-    return ranked.withColumn("deal_complexity_score", clamp01(score)).drop("_n_rank", "_c_rank")
+    return ranked.withColumn("deal_complexity_score", clamp01(score)).drop("_n_rank", "_c_rank", "_commitment")
 
 
 def deal_economics(economics: DataFrame, deals: DataFrame, with_complexity: bool = True) -> DataFrame:
@@ -219,18 +230,26 @@ def rm_dashboard(features: DataFrame) -> DataFrame:
     )
 
 
-def build_gold(silver: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The five Gold tables. Facility economics feed two consumers, deal economics three:
-    both are settled once instead of being recomputed per consumer."""
-    economics = settle(facility_economics(silver))
-    econ = settle(deal_economics(economics, silver[SILVER["deals"]]))
+def build_gold(silver: dict[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The five Gold tables.
+
+    Facility economics feed two consumers and deal economics three. ``keep(name, df)`` cuts both
+    (the pipeline writes and reads them back); without it they are settled once.
+    """
+    shared = (GOLD["facility_economics"], GOLD["deal_economics"])
+    keep = keep or (lambda name, df: settle(df) if name in shared else df)
+
+    def build(name: str, df: DataFrame) -> DataFrame:
+        assert_no_forbidden_columns({name: df})
+        return keep(name, df)
+
+    economics = build(GOLD["facility_economics"], facility_economics(silver))
+    econ = build(GOLD["deal_economics"], deal_economics(economics, silver[SILVER["deals"]]))
     features = deal_features(silver, economics, econ)
-    tables = {
+    return {
         GOLD["facility_economics"]: economics,
         GOLD["deal_economics"]: econ,
-        GOLD["deal_training_dataset"]: training_set(features),
-        GOLD["active_deal_scoring_dataset"]: active_set(features),
-        GOLD["rm_deal_dashboard"]: rm_dashboard(features),
+        GOLD["deal_training_dataset"]: build(GOLD["deal_training_dataset"], training_set(features)),
+        GOLD["active_deal_scoring_dataset"]: build(GOLD["active_deal_scoring_dataset"], active_set(features)),
+        GOLD["rm_deal_dashboard"]: build(GOLD["rm_deal_dashboard"], rm_dashboard(features)),
     }
-    assert_no_forbidden_columns(tables)
-    return tables

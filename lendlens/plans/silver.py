@@ -3,13 +3,16 @@ relationship ranks need their counts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions import standardize as S
 from lendlens.functions.text import clamp01, clean_double, clean_timestamp, number_or_percent, title_case
-from lendlens.operators.dedupe import flag_final_quotes, latest_by
+from lendlens.operators.dedupe import facility_final_quotes, latest_by
 from lendlens.operators.ordered import percent_rank_columns
+from lendlens.session import settle
 from lendlens.sources.catalog import BRONZE, SILVER, assert_no_forbidden_columns
 
 
@@ -66,9 +69,9 @@ def facilities(raw: DataFrame, silver_deals: DataFrame) -> DataFrame:
     """Latest facility extracts that belong to a known application."""
     owners = silver_deals.where("application_id IS NOT NULL").select("deal_id", "application_id")
     joined = latest_by(raw, "facility_source_id").join(owners, "application_id")
-    joined = joined.withColumn("product_type", S.product("product_type_raw"))
+    joined = joined.withColumns({"product_type": S.product("product_type_raw"), "_share": number_or_percent("expected_utilisation_raw")})
     commitment = clean_double("commitment_amount")
-    util = S.utilisation("expected_utilisation_raw", "product_type")
+    util = S.utilisation_share("_share", "product_type")
     return joined.select(
         S.facility_id("facility_source_id").alias("facility_id"),
         "facility_source_id",
@@ -94,9 +97,9 @@ def _facility_keys(silver_facilities: DataFrame) -> DataFrame:
 
 
 def pricing_cases(quotes: DataFrame, silver_facilities: DataFrame) -> DataFrame:
-    known = quotes.join(_facility_keys(silver_facilities), "facility_source_id").withColumn(
-        "quote_status", F.lower("quote_status_raw")
-    )
+    """Quotes of known facilities with the final one flagged; the wide quote rows are shuffled once."""
+    keys = facility_final_quotes(quotes, _facility_keys(silver_facilities))
+    known = quotes.join(keys, "facility_source_id").withColumn("quote_status", F.lower("quote_status_raw"))
     known = known.select(
         "deal_id",
         "facility_id",
@@ -113,9 +116,9 @@ def pricing_cases(quotes: DataFrame, silver_facilities: DataFrame) -> DataFrame:
         S.flag("rm_override_flag").alias("rm_override_flag"),
         F.col("override_reason_raw").alias("override_reason"),
         F.lower("approval_status_raw").alias("approval_status"),
+        F.coalesce(F.col("quote_id") == F.col("final_quote_id"), F.lit(False)).alias("is_final_quote"),
     )
-    flagged = flag_final_quotes(known)
-    return flagged.select(
+    return known.select(
         F.concat(F.lit("PC-"), "quote_id").alias("pricing_case_id"),
         "deal_id",
         "facility_id",
@@ -142,12 +145,11 @@ def pricing_cases(quotes: DataFrame, silver_facilities: DataFrame) -> DataFrame:
 
 def risk_assessments(raw: DataFrame, silver_facilities: DataFrame) -> DataFrame:
     """Latest assessment per facility, by assessment date and then extract time."""
-    known = raw.join(_facility_keys(silver_facilities), "facility_source_id").withColumn(
-        "assessment_date", clean_timestamp("assessment_date")
-    )
-    latest = latest_by(
-        known, "facility_id", ["assessment_date", "source_extract_ts"], tie=[F.col("risk_assessment_id").desc()]
-    )
+    dated = raw.withColumn("assessment_date", clean_timestamp("assessment_date"))
+    times, tie = ["assessment_date", "source_extract_ts"], [F.col("risk_assessment_id").desc()]
+    # one row per raw facility leaves each map task before the join
+    per_source = latest_by(dated, "facility_source_id", times, tie=tie)
+    latest = latest_by(per_source.join(_facility_keys(silver_facilities), "facility_source_id"), "facility_id", times, tie=tie)
     return latest.select(
         "risk_assessment_id",
         "deal_id",
@@ -209,19 +211,27 @@ def ftp_rates(raw: DataFrame) -> DataFrame:
     )
 
 
-def build_silver(bronze: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The seven Silver tables. Callers that write them can read the written tables back
-    before building Gold (see ``plans.pipeline``)."""
-    d = deals(bronze[BRONZE["crm_opportunities"]], bronze[BRONZE["los_applications"]])
-    f = facilities(bronze[BRONZE["los_facilities"]], d)
-    tables = {
+def build_silver(bronze: dict[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The seven Silver tables.
+
+    ``keep(name, df)`` is applied to each table before others are built on it: the pipeline writes
+    the table and reads it back. Without it deals stay lazy and facilities, which feed three
+    tables, are settled.
+    """
+    keep = keep or (lambda name, df: settle(df) if name == SILVER["facilities"] else df)
+
+    def build(name: str, df: DataFrame) -> DataFrame:
+        assert_no_forbidden_columns({name: df})
+        return keep(name, df)
+
+    d = build(SILVER["deals"], deals(bronze[BRONZE["crm_opportunities"]], bronze[BRONZE["los_applications"]]))
+    f = build(SILVER["facilities"], facilities(bronze[BRONZE["los_facilities"]], d))
+    rest = {
         SILVER["customers"]: customers(bronze[BRONZE["crm_accounts"]]),
-        SILVER["deals"]: d,
-        SILVER["facilities"]: f,
         SILVER["pricing_cases"]: pricing_cases(bronze[BRONZE["pricing_quotes"]], f),
         SILVER["risk_assessments"]: risk_assessments(bronze[BRONZE["risk_assessments"]], f),
         SILVER["relationship_snapshots"]: relationship_snapshots(bronze[BRONZE["core_relationship_snapshot"]]),
         SILVER["ftp_rates"]: ftp_rates(bronze[BRONZE["treasury_ftp_rates"]]),
     }
-    assert_no_forbidden_columns(tables)
-    return tables
+    tables = {SILVER["deals"]: d, SILVER["facilities"]: f, **{name: build(name, df) for name, df in rest.items()}}
+    return {name: tables[name] for name in SILVER.values()}
