@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,8 +178,17 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
 
 
 def decile(row_number: Column, n: Column | int, parts: int = 10) -> Column:
-    """Linear-quantile part of position ``row_number`` in 1..n (part 1 = first positions)."""
-    total = F.lit(n) if isinstance(n, int) else n
-    return F.greatest(
-        F.lit(1), F.ceil((row_number - 1) * F.lit(parts) / F.greatest(total - 1, F.lit(1)))
-    ).cast("int")
+    """Linear-quantile part of position ``row_number`` in 1..n (part 1 = first positions).
+
+    A part ends at the interpolated quantile of the positions; the edges are computed the way
+    NumPy interpolates them, so positions that meet an edge exactly fall to the same part.
+    """
+    last = (F.lit(n) if isinstance(n, int) else n) - 1
+    part = F.lit(1)
+    for q in (np.linspace(0.0, 1.0, parts + 1) * 100 / 100)[1:-1]:
+        place = last * F.lit(float(q))
+        low = F.floor(place)
+        rest = place - low
+        edge = F.when(rest < 0.5, low + 1 + rest).otherwise(low + 2 - (1 - rest))
+        part = part + (row_number > edge).cast("int")
+    return part

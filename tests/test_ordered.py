@@ -74,7 +74,7 @@ def test_all_null_column(spark):
 
 
 def test_deciles_follow_quantile_cuts(spark):
-    for n in (2, 9, 10, 11, 12, 57, 100):
+    for n in (2, 9, 10, 11, 12, 57, 91, 100, 171, 361):
         df = spark.range(1, n + 1).select(F.col("id"), ordered.decile(F.col("id"), n).alias("d"))
         got = [r.d for r in df.orderBy("id").collect()]
         want = pd.qcut(np.arange(1, n + 1), q=10, labels=False, duplicates="drop") + 1
