@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lendlens.functions.economics import win_label
 from lendlens.operators import evaluate, explore, model
-from lendlens.operators.ordered import column_quantiles
+from lendlens.operators.ordered import column_modes, column_quantiles
 from lendlens.session import settle
 
 from .registry import check
@@ -36,9 +36,8 @@ def _(ctx):
            f"SELECT * FROM (SELECT '{c}' AS column_name, {c} AS mode_value FROM bronze_risk_assessments WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) {c}_t"
            for c in ("rating_raw", "risk_model_version", "approval_level_raw")))
 def _(ctx):
-    columns = ["rating_raw", "risk_model_version", "approval_level_raw"]
-    modes = ctx["bronze_risk_assessments"].agg(*[F.mode(c, True).alias(c) for c in columns])
-    return modes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("mode_value")) for c in columns])).alias("r")).select("r.*")
+    modes = column_modes(ctx["bronze_risk_assessments"], ["rating_raw", "risk_model_version", "approval_level_raw"])
+    return modes.withColumnRenamed("series", "column_name")
 
 
 @check("m3_standard_scale", "crm_account_id snapshot_month:t z:f",

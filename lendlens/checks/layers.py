@@ -6,7 +6,7 @@ from lendlens.functions import economics as E
 from lendlens.functions import standardize as S
 from lendlens.operators import dedupe, drivers, explore, features, model, ordered, quality
 from lendlens.plans import gold, silver
-from lendlens.session import settle
+from lendlens.session import scratch_folder, settle
 
 from . import tables_sql as Q
 from .registry import check
@@ -60,9 +60,7 @@ _table("l5_rm_dashboard", DASHBOARD, "gold_rm_deal_dashboard", lambda c: gold.rm
 def _(ctx):
     from lendlens.plans.pipeline import run_pipeline
 
-    from .sources import scratch
-
-    return run_pipeline(ctx.spark, ctx.bronze, scratch(ctx.spark)).summary
+    return run_pipeline(ctx.spark, ctx.bronze, scratch_folder(ctx.spark)).summary
 
 
 # --- joins -----------------------------------------------------------------------------------

@@ -59,6 +59,16 @@ class Context:
     def facilities(self) -> DataFrame:
         return silver.facilities(self["bronze_los_facilities"], self.deals)
 
+    @cached_property
+    def kept_deals(self) -> DataFrame:
+        """Deals computed once: facilities, deal economics and features are built on them."""
+        return settle(self.deals)
+
+    @cached_property
+    def kept_facilities(self) -> DataFrame:
+        """Facilities computed once: three tables are built on them."""
+        return settle(silver.facilities(self["bronze_los_facilities"], self.kept_deals))
+
     @cached_property
     def pricing(self) -> DataFrame:
         return silver.pricing_cases(self["bronze_pricing_quotes"], self.kept_facilities)
@@ -67,6 +77,11 @@ class Context:
     def risk(self) -> DataFrame:
         return silver.risk_assessments(self["bronze_risk_assessments"], self.kept_facilities)
 
+    @cached_property
+    def kept_risk(self) -> DataFrame:
+        """Risk rows computed once: facility economics and deal risk read them."""
+        return settle(self.risk)
+
     @cached_property
     def relationships(self) -> DataFrame:
         return silver.relationship_snapshots(self["bronze_core_relationship_snapshot"])
@@ -75,11 +90,6 @@ class Context:
     def ftp(self) -> DataFrame:
         return silver.ftp_rates(self["bronze_treasury_ftp_rates"])
 
-    @cached_property
-    def kept_facilities(self) -> DataFrame:
-        """Facilities computed once: three tables are built on them."""
-        return settle(self.facilities)
-
     @cached_property
     def economics_inputs(self) -> dict[str, DataFrame]:
         """The Silver tables that facility economics read (no ranks involved)."""
@@ -94,9 +104,12 @@ class Context:
     def silver(self) -> dict[str, DataFrame]:
         return {
             "silver_customers": self.customers,
-            "silver_deals": self.deals,
-            **self.economics_inputs,
+            "silver_deals": self.kept_deals,
+            "silver_facilities": self.kept_facilities,
+            "silver_pricing_cases": self.pricing,
+            "silver_risk_assessments": self.kept_risk,
             "silver_relationship_snapshots": self.relationships,
+            "silver_ftp_rates": self.ftp,
         }
 
     @cached_property
@@ -106,7 +119,7 @@ class Context:
     @cached_property
     def kept_economics(self) -> DataFrame:
         """The facility measures that deals are aggregated from, computed once for their two consumers."""
-        return settle(self.economics.select(*gold.DEAL_INPUTS))
+        return settle(gold.facility_economics(self.silver).select(*gold.DEAL_INPUTS))
 
     @cached_property
     def gold(self) -> dict[str, DataFrame]:
@@ -115,7 +128,7 @@ class Context:
     @cached_property
     def lazy_features(self) -> DataFrame:
         """Deal features without the complexity score (no rank over all deals)."""
-        econ = gold.deal_economics(self.kept_economics, self.deals, with_complexity=False)
+        econ = gold.deal_economics(self.kept_economics, self.kept_deals, with_complexity=False)
         return gold.deal_features(self.silver, self.kept_economics, econ)
 
     @cached_property

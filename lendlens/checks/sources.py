@@ -1,12 +1,10 @@
 """Sources and sinks S1–S12."""
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.operators.quality import counted_registry, row_counts, union_all
-from lendlens.session import _checkpoint_dir
+from lendlens.session import scratch_folder
 from lendlens.sources import catalog, tables
 
 from .registry import check
@@ -14,12 +12,6 @@ from .registry import check
 STAR = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder next to the session's checkpoints."""
-    _checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/lendlens-{uuid.uuid4().hex}"
-
-
 def _rows(values: list[tuple]) -> str:
     def literal(v):
         return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
@@ -48,7 +40,7 @@ def _(ctx):
 
 
 def _round_trip(ctx, df: DataFrame, fmt: str) -> DataFrame:
-    folder = scratch(ctx.spark)
+    folder = scratch_folder(ctx.spark)
     tables.write_tables({"offers": df}, folder, fmt)
     return tables.load_table(ctx.spark, folder, "offers")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlens.functions.standardize import final_quote_eligible
+from lendlens.session import settle
 
 BROADCAST_ROWS = 200_000
 
@@ -90,7 +91,9 @@ def latest_curve(ftp: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a lookup whose row count was just checked; above the bound the
-    frame is returned without a hint and the join stays a shuffled one."""
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
+    """A lookup computed once and, if its counted rows stay within the bound, marked for broadcast.
+
+    Above the bound no hint is given and the join stays a shuffled one.
+    """
+    kept = settle(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from lendlens.functions.economics import expected_deal_value, win_label
 from lendlens.operators.evaluate import evaluate_classifier
-from lendlens.operators.ordered import column_quantiles, row_numbers
+from lendlens.operators.ordered import column_modes, column_quantiles, row_numbers
 from lendlens.operators.quality import require_columns
 
 
@@ -62,8 +62,8 @@ def fit_imputation(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
         medians = {r["series"]: r["q0"] for r in column_quantiles(df, numeric, [0.5]).collect()}
     modes = {}
     if categorical:
-        row = df.agg(*[F.mode(F.col(c).cast("string"), True).alias(c) for c in categorical]).first()
-        modes = {c: row[c] for c in categorical}
+        found = {r["series"]: r["mode_value"] for r in column_modes(df, categorical).collect()}
+        modes = {c: found.get(c) for c in categorical}
     scale = {}
     if numeric:
         filled = [F.coalesce(F.col(c), F.lit(medians.get(c))) for c in numeric]

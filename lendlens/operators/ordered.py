@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendlens.operators.dedupe import BROADCAST_ROWS, top_row
 from lendlens.session import settle
 
 MAX_TOTALS = 500_000
@@ -43,12 +44,7 @@ def _offsets(totals: list, series: str | None, measures: Sequence[str]) -> tuple
     return offsets, running
 
 
-def prefix_counts(
-    df: DataFrame,
-    value: str,
-    series: str | None = None,
-    sums: dict[str, Column] | None = None,
-) -> DataFrame:
+def prefix_counts(df: DataFrame, value: str, series: str | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
     """Per distinct value: ``n`` rows and the requested sums, plus each of them summed over all
     smaller values of the same series (``n_before``, ``<name>_before``) and over the whole series
     (``n_total``, ``<name>_total``). Null values are left out.
@@ -56,7 +52,11 @@ def prefix_counts(
     ``series`` names a column with few distinct labels (a column name, a tier); ``sums`` must be
     integer expressions.
     """
-    sums = sums or {}
+    return _prefix_counts(df, value, series, sums or {})[0]
+
+
+def _prefix_counts(df: DataFrame, value: str, series: str | None, sums: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """The counts and the number of distinct values per series."""
     keys = ([series] if series else []) + [value]
     counted = (
         df.where(F.col(value).isNotNull())
@@ -68,13 +68,17 @@ def prefix_counts(
     block_keys = ([series] if series else []) + ["_block"]
     totals = (
         blocks.groupBy(*block_keys)
-        .agg(*[F.sum(m).cast("bigint").alias(m) for m in measures])
+        .agg(F.count(F.lit(1)).alias("_values"), *[F.sum(m).cast("bigint").alias(m) for m in measures])
         .limit(MAX_TOTALS + 1)
         .collect()
     )
     if len(totals) > MAX_TOTALS:
         raise ValueError(f"column {series} has too many labels to be used as a series")
     offsets, whole = _offsets(totals, series, measures)
+    sizes: dict = {}
+    for row in totals:
+        name = row[series] if series else None
+        sizes[name] = sizes.get(name, 0) + row["_values"]
 
     fields = [f"{series} {counted.schema[series].dataType.simpleString()}"] if series else []
     fields += ["_block int"] + [f"_off_{m} bigint" for m in measures] + [f"{m}_total bigint" for m in measures]
@@ -89,12 +93,13 @@ def prefix_counts(
     same_block = running["_block"] == table["_block"]
     if series:
         same_block = same_block & running[series].eqNullSafe(table[series])
-    return running.join(table, same_block).select(
+    counts = running.join(table, same_block).select(
         *[running[k] for k in keys],
         *measures,
         *[(F.col(f"_in_{m}") + F.col(f"_off_{m}")).alias(f"{m}_before") for m in measures],
         *[f"{m}_total" for m in measures],
     )
+    return counts, sizes
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -103,25 +108,53 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.series", "p.value").where("value IS NOT NULL")
 
 
+def _rank_table(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict]:
+    counts, sizes = _prefix_counts(_long(df, columns), "value", "series", {})
+    average_rank = (2 * F.col("n_before") + F.col("n") + 1) / 2
+    return counts.select("series", "value", (average_rank / F.col("n_total")).alias("pct")), sizes
+
+
 def rank_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(series, value, pct): average rank of each distinct value divided by the non-null count."""
-    counts = prefix_counts(_long(df, columns), "value", "series")
-    average_rank = (2 * F.col("n_before") + F.col("n") + 1) / 2
-    return counts.select("series", "value", (average_rank / F.col("n_total")).alias("pct"))
+    return _rank_table(df, columns)[0]
 
 
 def percent_rank_columns(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
     """Adds ``output`` = percent rank (average ties, null for null) of ``column`` for each
-    ``{output: column}``. Tied rows share one value of the table that is joined back."""
-    table = rank_table(df, list(dict.fromkeys(ranks.values())))
+    ``{output: column}``.
+
+    The rank of a value is joined back on the value. A column whose distinct values were counted
+    to be few is broadcast, which also covers hot values without any shuffle of ``df``; for the
+    others the planner chooses the join and splits hot values at run time.
+    """
+    table, sizes = _rank_table(df, list(dict.fromkeys(ranks.values())))
     for output, column in ranks.items():
         one = table.where(F.col("series") == column).select(
             F.col("value").alias(f"_v_{output}"), F.col("pct").alias(output)
         )
+        if sizes.get(column, 0) <= BROADCAST_ROWS:
+            one = F.broadcast(one)
         df = df.join(one, F.col(column).cast("double") == F.col(f"_v_{output}"), "left").drop(f"_v_{output}")
     return df
 
 
+def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(series, mode_value): most frequent value of each column as text, the smallest on ties.
+
+    Values are counted by hash aggregation before one row per column is picked, so no task
+    holds the distinct values of a column.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("string").alias("mode_value")) for c in columns])
+    counts = (
+        df.select(F.explode(cells).alias("c"))
+        .select("c.*")
+        .where("mode_value IS NOT NULL")
+        .groupBy("series", "mode_value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return top_row(counts, ["series"], [F.col("n").desc(), F.col("mode_value").asc()]).select("series", "mode_value")
+
+
 def row_numbers(df: DataFrame, order: Sequence[Column], output: str = "row_number", total: str | None = None) -> DataFrame:
     """Adds the global position 1..n in ``order``, which must end in a unique key, and on request n itself.
 

@@ -215,10 +215,11 @@ def build_silver(bronze: dict[str, DataFrame], keep: Callable[[str, DataFrame],
     """The seven Silver tables.
 
     ``keep(name, df)`` is applied to each table before others are built on it: the pipeline writes
-    the table and reads it back. Without it deals stay lazy and facilities, which feed three
-    tables, are settled.
+    the table and reads it back. Without it the tables with several consumers in Silver and Gold
+    are settled and the others stay lazy.
     """
-    keep = keep or (lambda name, df: settle(df) if name == SILVER["facilities"] else df)
+    shared = (SILVER["deals"], SILVER["facilities"], SILVER["risk_assessments"])
+    keep = keep or (lambda name, df: settle(df) if name in shared else df)
 
     def build(name: str, df: DataFrame) -> DataFrame:
         assert_no_forbidden_columns({name: df})

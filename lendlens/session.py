@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,11 +57,19 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder that holds intermediate tables."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/lendlens-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the reliable checkpoint folder and cut its lineage.
+    """Compute ``df`` once into a table of the shared checkpoint folder and read it back.
 
-    Used where a plan is read several times or must not be re-sampled: the files
-    outlive any executor, so later stages never see a second, different result.
+    Used where a plan is read several times or must not be re-sampled. The files outlive any
+    executor, so later stages never see a second, different result; being columnar they are
+    read back pruned to the columns each consumer needs, with their true size in the statistics.
     """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

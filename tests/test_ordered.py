@@ -93,3 +93,22 @@ def test_single_row_is_first_decile(spark):
 def test_no_single_partition(spark, frame, build):
     plan = build(to_spark(spark, frame, 4))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "BatchEvalPython" not in plan and "NestedLoop" not in plan
+
+
+def test_few_values_are_broadcast_and_many_are_not(spark, frame, monkeypatch):
+    df = to_spark(spark, frame, 4)
+
+    def joins(out):
+        return out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+
+    assert joins(ordered.percent_rank_columns(df, {"r": "few"})) >= 2  # block offsets and the ranks
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 3)
+    many = ordered.percent_rank_columns(df, {"r": "few"})
+    assert joins(many) == 1
+    got = many.toPandas().sort_values("id")
+    np.testing.assert_allclose(got["r"].to_numpy(), frame["few"].rank(pct=True).to_numpy(), atol=1e-15)
+
+
+def test_modes_take_the_smallest_on_ties(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), ("b", "y"), ("a", None), (None, None)], "s string, t string")
+    assert {r.series: r.mode_value for r in ordered.column_modes(df, ["s", "t"]).collect()} == {"s": "a", "t": "x"}
