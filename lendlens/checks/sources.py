@@ -69,20 +69,21 @@ _BRONZE = [t for t in catalog.BRONZE.values()]
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in _BRONZE)
 
 
-@check("s9_schema_registry", "name layer grain primary_key n_rows:i",
-       f"SELECT r.name, r.layer, r.grain, r.primary_key, c.n_rows FROM (VALUES {_rows([(e.name, e.layer, e.grain, e.primary_key) for e in catalog.ENTRIES])}) r(name, layer, grain, primary_key) JOIN ({_COUNTS}) c ON r.name = c.name WHERE layer = 'bronze'")
+@check("s9_schema_registry", "name layer grain primary_key n_rows:f",
+       f"SELECT r.name, r.layer, r.grain, r.primary_key, c.n_rows FROM (VALUES {_rows([(e.name, e.layer, e.grain, e.primary_key) for e in catalog.ENTRIES])}) r(name, layer, grain, primary_key) LEFT JOIN ({_COUNTS}) c ON r.name = c.name")
 def _(ctx):
-    return counted_registry(ctx.spark, ctx.bronze).where("layer = 'bronze'")
+    """The whole catalogue with the current size of the extracts."""
+    return counted_registry(ctx.spark, ctx.bronze)
 
 
 _EDGES = [(e.name, d) for e in catalog.ENTRIES for d in e.downstream.split() if d in catalog.REGISTRY]
 
 
-@check("s10_lineage_edges", "from_table to_table n_rows:i",
-       f"SELECT e.a AS from_table, e.b AS to_table, c.n_rows FROM (VALUES {_rows(_EDGES)}) e(a, b) JOIN ({_COUNTS}) c ON e.a = c.name")
+@check("s10_lineage_edges", "from_table to_table n_rows:f",
+       f"SELECT e.a AS from_table, e.b AS to_table, c.n_rows FROM (VALUES {_rows(_EDGES)}) e(a, b) LEFT JOIN ({_COUNTS}) c ON e.a = c.name")
 def _(ctx):
     counts = row_counts(ctx.bronze).withColumnRenamed("table_name", "from_table")
-    return catalog.lineage_edges(ctx.spark).join(counts, "from_table")
+    return catalog.lineage_edges(ctx.spark).join(counts, "from_table", "left")
 
 
 @check("s11_source_system_edges", "source_system bronze_table n_rows:i",
@@ -92,17 +93,19 @@ def _(ctx):
     return catalog.source_edges(ctx.spark).join(counts, "bronze_table")
 
 
-_FIELDS = [(*a.split("."), *(b.split(".") + [None])[:2]) for a, b in catalog.FIELD_EDGES if a.startswith("bronze_")]
-_KNOWN = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, count({c}) AS n FROM {t}" for t, c in dict.fromkeys((r[0], r[1]) for r in _FIELDS))
+_FIELDS = [(*a.split("."), *(b.split(".") + [None])[:2]) for a, b in catalog.FIELD_EDGES]
+_KNOWN = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, count({c}) AS n FROM {t}" for t, c in dict.fromkeys((r[0], r[1]) for r in _FIELDS) if t.startswith(("bronze_", "silver_", "gold_"))
+)
 
 
-@check("s12_field_lineage", "from_table from_column to_table to_column n_values:i",
-       f"SELECT e.a AS from_table, e.b AS from_column, e.c AS to_table, e.d AS to_column, k.n AS n_values FROM (VALUES {_rows(_FIELDS)}) e(a, b, c, d) JOIN ({_KNOWN}) k ON e.a = k.t AND e.b = k.c")
+@check("s12_field_lineage", "from_table from_column to_table to_column n_values:f",
+       f"SELECT e.a AS from_table, e.b AS from_column, e.c AS to_table, e.d AS to_column, k.n AS n_values FROM (VALUES {_rows(_FIELDS)}) e(a, b, c, d) LEFT JOIN ({_KNOWN}) k ON e.a = k.t AND e.b = k.c")
 def _(ctx):
-    """Edges that start in a source extract, with the number of values the column holds."""
-    bronze = ctx.bronze
-    wanted = dict.fromkeys(tuple(a.split(".")) for a, _ in catalog.FIELD_EDGES if a.split(".")[0] in bronze)
+    """All edges with the number of values their source column holds now."""
+    tables_now = {**ctx.bronze, **ctx.silver, **ctx.gold}
+    wanted = dict.fromkeys(tuple(a.split(".")) for a, _ in catalog.FIELD_EDGES if a.split(".")[0] in tables_now)
     known = union_all([
-        bronze[t].agg(F.count(c).alias("n_values")).select(F.lit(t).alias("from_table"), F.lit(c).alias("from_column"), "n_values") for t, c in wanted
+        tables_now[t].agg(F.count(c).alias("n_values")).select(F.lit(t).alias("from_table"), F.lit(c).alias("from_column"), "n_values") for t, c in wanted
     ])
-    return catalog.field_edges(ctx.spark).join(known, ["from_table", "from_column"])
+    return catalog.field_edges(ctx.spark).join(known, ["from_table", "from_column"], "left")
