@@ -15,6 +15,9 @@ RUNTIME_DEFAULTS = {
     "spark.sql.requireAllClusterKeysForCoPartition": ("true", "false"),
     # Split a hot join key even where that costs one more exchange above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": ("false", "true"),
+    # Where every partition of the build side is known at run time to be small, join by hash
+    # and skip both sorts; a skewed build side keeps the sort-merge join.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": ("0b", "64m"),
     # mode() aggregates per deal: keep more groups in memory before sorting.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": ("128", "16384"),
 }
