@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import bpe, chat, mih, mixing, shards, simhash, toxicity, urls
+from lendlens.llm import ann, bpe, chat, mih, mixing, shards, simhash, suffix, toxicity, urls
 from lendlens.llm.common import importable, table
 from lendlens.session import tune
 
@@ -140,6 +140,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+@register("op7_ann")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return ann.nearest(vectors, asked, k=20)
+
+
 @register("op8_url_rules", """
 WITH u AS (
   SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS place FROM pages
@@ -167,6 +174,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@register("op9_suffix_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @register("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
