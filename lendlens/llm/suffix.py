@@ -172,6 +172,8 @@ def deep_shallow_sort(strings: Sequence[bytes], shallow: int = SHALLOW) -> tuple
     agree so far, to the depth ``shallow``. Deep: a blind trie orders each group that is left.
     """
     n = len(strings)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     order, group = np.arange(n), np.zeros(n, np.int64)
     fixed = np.frombuffer(b"".join([s[:shallow].ljust(shallow, b"\0") for s in strings]), ">u8").reshape(n, shallow // 8)
     for depth in range(shallow // 8):
@@ -180,7 +182,7 @@ def deep_shallow_sort(strings: Sequence[bytes], shallow: int = SHALLOW) -> tuple
         order, group, letter = order[by], group[by], letter[by]
         group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (letter[1:] != letter[:-1])]))
     common = np.zeros(n, np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.empty(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), n]):
         if stop - start > 1:
             trie = BlindTrie(strings)
