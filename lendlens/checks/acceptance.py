@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lendlens.operators import acceptance, explore
 from lendlens.operators.model import hash_split
 
-from .registry import check
+from .registry import check, key_hash_sql
 
 # Draws derived from the supplier table: at most 40 rows whatever its size.
 _DRAWS = """SELECT CAST(s_suppkey % 40 AS INT) AS draw_id, -1.3 + avg(s_nationkey) / 100e0 AS beta_0, -0.6 + (s_suppkey % 40) / 200e0 - avg(s_nationkey) / 500e0 AS beta_1,
@@ -60,10 +60,11 @@ def _(ctx):
     return acceptance.draw_summary(_draws(ctx))
 
 
-@check("o4_prior_predictive", "draw_id:i bin:i n:i accepted:i")
+@check("o4_prior_predictive", "draw_id:i bin:i n:i expected_accepted:f4",
+       f"""SELECT draw_id, floor(rate / 0.01::DOUBLE) AS bin, count(*) AS n, sum(1 / (1 + exp(-(beta_0 + beta_1 * rate)))) AS expected_accepted
+       FROM loan_offers, ({_DRAWS_SQL}) d WHERE tier = 2 GROUP BY 1, 2""")
 def _(ctx):
-    prior = acceptance.draw_prior(ctx.spark, 2, 10.0, n_draws=50)
-    return acceptance.prior_predictive(_tier(ctx), prior, "rate", ["offer_no", "offer_ref"])
+    return acceptance.predictive_by_price(_tier(ctx), _draws(ctx), "rate")
 
 
 @check("o5_posterior_predictive", "offer_no:i offer_ref:i acceptance_probability:f",
@@ -95,6 +96,34 @@ def _(ctx):
     return acceptance.target_price(_draws(ctx), _stats(ctx))
 
 
+def _each_sql(at, name, grid_sql, value):
+    return f"SELECT draw_id, {at}, {value} AS {name} FROM ({_DRAWS_SQL}) d, {grid_sql} g({at}), {_STATS_SQL} q"
+
+
+@check("o6_acceptance_curves", "draw_id:i rate:f acceptance:f", _each_sql("rate", "acceptance", _ACCEPT_RATES, "1 / (1 + exp(-(beta_0 + beta_1 * rate)))"))
+def _(ctx):
+    return acceptance.acceptance_curves(_draws(ctx))
+
+
+@check("o7_target_prices", "draw_id:i amount:f target_rate:f", _each_sql("amount", "target_rate", _AMOUNTS, "(ln(0.2 / 0.8) - beta_0 - beta_2 * (amount - am) / s) / beta_1 * rs + rm"))
+def _(ctx):
+    return acceptance.target_prices(_draws(ctx), _stats(ctx))
+
+
+def _drawn_loan(gain):
+    return f"25000 * {gain} / (1 + exp(-(beta_0 + beta_1 * (rate - rm) / rs + beta_2 * (25000 - am) / s)))"
+
+
+@check("o8_profit_curves", "draw_id:i rate:f expected_profit:f4", _each_sql("rate", "expected_profit", _RATES, _drawn_loan("(rate - 0.015)")))
+def _(ctx):
+    return acceptance.loan_curves(_draws(ctx), _stats(ctx), "profit", **acceptance.SAMPLE_LOAN)
+
+
+@check("o9_revenue_curves", "draw_id:i rate:f expected_revenue:f4", _each_sql("rate", "expected_revenue", _RATES, _drawn_loan("rate")))
+def _(ctx):
+    return acceptance.loan_curves(_draws(ctx), _stats(ctx), "revenue", **acceptance.SAMPLE_LOAN)
+
+
 def _loan_sql(name, gain):
     def value(b0, b1, b2):
         return f"25000 * {gain} / (1 + exp(-({b0} + {b1} * (rate - rm) / rs + {b2} * (25000 - am) / s)))"
@@ -158,7 +187,14 @@ def _(ctx):
     return parts[0].unionByName(parts[1])
 
 
-@check("o13_split", "part n:i")
+@check("o12_price_chain", _TOTALS)
+def _(ctx):
+    """Fit, draws, mean coefficients, best price of every loan, totals."""
+    return acceptance.price_chain(_tier(ctx))
+
+
+@check("o13_split", "part n:i",
+       f"SELECT CASE WHEN {key_hash_sql('1', 'offer_no', 'offer_ref')} % 10000 < 2000 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM loan_offers WHERE tier = 2 GROUP BY 1")
 def _(ctx):
     train, test = hash_split(_tier(ctx), ["offer_no", "offer_ref"], 0.2, 1)
     both = train.select(F.lit("train").alias("part")).unionByName(test.select(F.lit("test").alias("part")))

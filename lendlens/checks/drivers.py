@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lendlens.functions import standardize as S
 from lendlens.functions.economics import tenor_bucket  # noqa: F401
 from lendlens.operators import drivers
+from lendlens.plans import gold
 
 from .layers import _RATING_SQL, _STRENGTH_SQL
 from .registry import check
@@ -106,15 +107,16 @@ def _(ctx):
     return latest.select("facility_source_id", drivers.rate_card_floor("product_type_raw").alias("floor_margin_bps"))
 
 
-@check("g7_ftp_curve", "ftp_curve_date:t currency product_group_raw tenor_bucket_months:i ftp_bps:f liquidity_cost_bps:f",
-       """SELECT d.q AS ftp_curve_date, c.c AS currency, g.g AS product_group_raw, t.t AS tenor_bucket_months, 60 + 0.8 * t.t + c.a + g.a AS ftp_bps,
-         8 + 0.25 * t.t + CASE g.g WHEN 'Committed Lines' THEN 10 ELSE 0 END AS liquidity_cost_bps
-       FROM (SELECT DISTINCT date_trunc('quarter', o_orderdate) AS q FROM orders) d, (VALUES ('EUR', 0), ('USD', 25), ('GBP', 18)) c(c, a),
-         (VALUES ('Committed Lines', 20), ('Term Lending', 8), ('Trade', 5), ('Guarantee', 3)) g(g, a), (VALUES (12), (24), (36), (60), (84)) t(t)""")
+@check("g7_modelled_ftp", "deal_id facility_id modelled_ftp_bps:f modelled_liquidity_bps:f",
+       """SELECT deal_id, facility_id, 60 + 0.8 * tenor_bucket_months + c.a + g.a AS modelled_ftp_bps,
+         8 + 0.25 * tenor_bucket_months + CASE f.product_group WHEN 'Committed Lines' THEN 10 ELSE 0 END AS modelled_liquidity_bps
+       FROM facility_costs f LEFT JOIN (VALUES ('EUR', 0), ('USD', 25), ('GBP', 18)) c(c, a) ON f.currency = c.c
+         LEFT JOIN (VALUES ('Committed Lines', 20), ('Term Lending', 8), ('Trade', 5), ('Guarantee', 3)) g(g, a) ON f.product_group = g.g""")
 def _(ctx):
-    """A curve for every quarter in which orders exist."""
-    quarters = ctx.star("orders").select(F.date_trunc("quarter", "o_orderdate").alias("ftp_curve_date")).distinct()
-    return drivers.ftp_curve(quarters)
+    """The funding cost formula for every facility with a final quote."""
+    facilities = gold.quoted_facilities(ctx.economics_inputs)
+    ftp, liquidity = drivers.modelled_ftp("currency", "product_group", "tenor_bucket_months")
+    return facilities.select("deal_id", "facility_id", ftp.alias("modelled_ftp_bps"), liquidity.alias("modelled_liquidity_bps"))
 
 
 @check("g8_expected_loss", "risk_assessment_id pd:f8 lgd:f8 expected_loss:f4",

@@ -4,21 +4,19 @@ from pyspark.sql import functions as F
 
 from lendlens.functions.economics import win_label
 from lendlens.operators import evaluate, explore, model
+from lendlens.operators.dedupe import first_by
 from lendlens.operators.ordered import column_modes, column_quantiles
+from lendlens.plans import gold
 from lendlens.session import settle
 
-from .registry import check
+from .registry import check, key_hash_sql
 
-NUMERIC = ["pd_at_offer", "lgd_weighted", "relationship_strength_score", "existing_product_count", "number_of_facilities",
-           "total_commitment", "min_margin_above_floor_bps", "total_expected_profit_lifetime", "fee_income_share"]
-CATEGORICAL = ["customer_segment", "rating_at_offer", "anchor_product"]
-FEATURES = [*NUMERIC, *CATEGORICAL, "has_rcf"]
+FEATURES = [c for c in gold.FEATURES if c not in ("deal_id", "customer_id", "rm_id")]
 
 
 def _labelled(ctx):
-    """Closed deals with features and a 0/1 label, settled because training reads them many times."""
-    closed = ctx.lazy_features.where("deal_outcome IS NOT NULL AND commercial_relevance_flag")
-    return settle(closed.select("deal_id", "deal_outcome", *FEATURES, "total_expected_profit_annual").dropDuplicates(["deal_id"]))
+    """The training mart, settled because training reads it many times; one row per deal."""
+    return settle(first_by(ctx.gold["gold_deal_training_dataset"].select("deal_id", "deal_outcome", *FEATURES), "deal_id"))
 
 
 _IMPUTE = ["relationship_revenue_ltm", "deposit_balance_avg", "existing_product_count"]
@@ -50,7 +48,7 @@ def _(ctx):
     return model.preparation_stage(fitted).transform(snapshots).withColumnRenamed("_num_relationship_revenue_ltm", "z")
 
 
-@check("m4_one_hot", "deal_id slots:i")
+@check("m4_one_hot", "deal_id slots:i", "SELECT deal_id, CASE WHEN current_stage = 'Negotiation' THEN 0 ELSE 1 END AS slots FROM silver_deals")
 def _(ctx):
     """Encode levels learned on one part of the deals; a level unseen there gets no slot."""
     from pyspark.ml import Pipeline
@@ -62,31 +60,33 @@ def _(ctx):
     return fitted.transform(deals).select("deal_id", slots.alias("slots"))
 
 
-@check("m5_split", "part label:i n:i")
+@check("m5_split", "part label:i n:i",
+       f"""SELECT CASE WHEN r <= round(n * 0.25) THEN 'test' ELSE 'train' END AS part, label, count(*) AS n FROM (
+         SELECT label, rank() OVER (PARTITION BY label ORDER BY h) AS r, count(*) OVER (PARTITION BY label) AS n FROM (
+           SELECT CASE deal_outcome WHEN 'won' THEN 1 ELSE 0 END AS label, {key_hash_sql('42', 'deal_id')} AS h FROM silver_deals WHERE deal_outcome IS NOT NULL) d) x GROUP BY 1, 2""")
 def _(ctx):
-    data = ctx.deals.where("deal_outcome IS NOT NULL").select("deal_id", win_label("deal_outcome").alias("label"))
-    return model.split_shares(*model.hash_split(data, ["deal_id"], 0.25, 42), "label")
+    data = settle(ctx.deals.where("deal_outcome IS NOT NULL").select("deal_id", win_label("deal_outcome").alias("label")))
+    return model.split_shares(*model.stratified_split(data, "label", ["deal_id"], 0.25, 42), "label")
 
 
-@check("m6_logistic_regression", "intercept:f2 n_features:i")
+@check("m6_logistic_regression", "coefficient value:f2")
 def _(ctx):
+    """The intercept and every coefficient by the name of its feature and level."""
     data = _labelled(ctx).withColumn("_label", win_label("deal_outcome"))
-    fitted = model.fit_logistic(data, "_label", FEATURES).stages[-1]
-    return ctx.spark.createDataFrame([(float(fitted.intercept), int(fitted.numFeatures))], "intercept double, n_features int")
+    return ctx.spark.createDataFrame(model.coefficients(model.fit_logistic(data, "_label", FEATURES)), "coefficient string, value double")
 
 
 @check("m7_train_pipeline", "metric value:f4")
 def _(ctx):
     _, metrics = model.train_win_model(_labelled(ctx), "deal_outcome", FEATURES, ["deal_id"])
-    rows = [(k, float(v)) for k, v in metrics.items() if isinstance(v, float)]
-    return ctx.spark.createDataFrame(rows, "metric string, value double")
+    return ctx.spark.createDataFrame(list(model.flat_metrics(metrics)), "metric string, value double")
 
 
 @check("m8_score_active", "deal_id win_probability:f expected_deal_value:f4 priority_rank:i")
 def _(ctx):
     fitted, _ = model.train_win_model(_labelled(ctx), "deal_outcome", FEATURES, ["deal_id"])
-    active = ctx.lazy_features.where("deal_status = 'active'").dropDuplicates(["deal_id"])
-    slim = active.select("deal_id", *FEATURES, F.col("total_expected_profit_lifetime").alias("total_expected_profit"))
+    active = first_by(ctx.gold["gold_active_deal_scoring_dataset"].select("deal_id", *FEATURES), "deal_id")
+    slim = active.withColumn("total_expected_profit", F.col("total_expected_profit_lifetime"))
     return model.score_active_deals(fitted, slim, ["deal_id"])
 
 
@@ -95,7 +95,8 @@ def _(ctx):
        FROM (SELECT deal_id, p AS win_probability, p * total_expected_profit_lifetime AS expected_deal_value
          FROM (SELECT DISTINCT deal_id, total_expected_profit_lifetime, 1 / (1 + exp(-(0.25 - 0.014 * coalesce(min_margin_above_floor_bps, 55) - 0.12 * number_of_facilities))) AS p FROM gold_active_deal_scoring_dataset) s) t""")
 def _(ctx):
-    active = ctx.lazy_features.where("deal_status = 'active'").dropDuplicates(["deal_id"])
+    slim = ctx.lazy_features.where("deal_status = 'active'").select("deal_id", "min_margin_above_floor_bps", "number_of_facilities", "total_expected_profit_lifetime")
+    active = first_by(slim, "deal_id")
     logit = F.lit(0.25) - 0.014 * F.coalesce("min_margin_above_floor_bps", F.lit(55.0)) - 0.12 * F.col("number_of_facilities")
     scored = active.select("deal_id", F.col("total_expected_profit_lifetime").alias("total_expected_profit"), (1 / (1 + F.exp(-logit))).alias("win_probability"))
     return model.prioritise(scored, ["deal_id"])

@@ -7,9 +7,10 @@ from lendlens.functions import standardize as S
 from lendlens.operators import dedupe, drivers, explore, features, model, ordered, quality
 from lendlens.plans import gold, silver
 from lendlens.session import scratch_folder, settle
+from lendlens.sources.catalog import LAYERS
 
 from . import tables_sql as Q
-from .registry import check
+from .registry import check, key_hash_sql
 
 DEALS = "deal_id opportunity_id application_id customer_id deal_type financing_purpose deal_status offer_date:t expected_close_date:t decision_date:t deal_outcome lost_reason commercial_relevance_flag rm_id current_stage"
 FACILITIES = "facility_id facility_source_id deal_id application_id product_type commitment_amount:f4 drawn_amount_initial:f4 expected_utilization:f expected_utilized_volume:f4 currency tenor_months:f maturity_date:t repayment_type interest_type collateral_type covenant_package"
@@ -35,6 +36,11 @@ def _table(key, columns, sql_table, build):
         return build(ctx)
 
 
+RUN_SUMMARY_SQL = " UNION ALL ".join(
+    f"SELECT '{t.partition('_')[0]}' AS section, '{t}' AS item, count(*) AS value FROM {t}" for layer in LAYERS.values() for t in layer.values()
+) + " UNION ALL SELECT 'summary', 'warning_share', 0.0"
+
+
 # --- layer plans -----------------------------------------------------------------------------
 
 _table("l1_silver_customers", CUSTOMERS, "silver_customers", lambda c: c.customers)
@@ -56,7 +62,7 @@ _table("l4_training_features", FEATURES.replace(" deal_complexity_score:f", "")
 _table("l5_rm_dashboard", DASHBOARD, "gold_rm_deal_dashboard", lambda c: gold.rm_dashboard(c.lazy_features))
 
 
-@check("l6_pipeline_run", "section item value:f")
+@check("l6_pipeline_run", "section item value:f", RUN_SUMMARY_SQL)
 def _(ctx):
     from lendlens.plans.pipeline import run_pipeline
 
@@ -236,7 +242,7 @@ _LEVEL_ROWS = """SELECT CASE WHEN CAST(substring(e.deal_id, 5) AS BIGINT) % 10 =
 
 
 def _level_features(ctx):
-    rows = gold.facility_inputs(ctx.economics_inputs)
+    rows = gold.quoted_facilities(ctx.economics_inputs)
     keyed = F.when(F.substring("deal_id", 5, 20).cast("bigint") % 10 != 0, F.col("deal_id"))
     return features.deal_level_features(rows.withColumn("deal_id", keyed).drop("expected_utilized_volume", "margin_above_floor_bps"))
 
@@ -274,7 +280,7 @@ def _(ctx):
 
 
 def _closed(ctx):
-    rows = gold.facility_inputs(ctx.economics_inputs).select("deal_id", "facility_id", "product_type", "tenor_months", "margin_above_floor_bps")
+    rows = gold.quoted_facilities(ctx.economics_inputs).select("deal_id", "facility_id", "product_type", "tenor_months", "margin_above_floor_bps")
     outcomes = ctx.deals.where("deal_outcome IS NOT NULL").select("deal_id", "application_id", "deal_outcome")
     ratings = ctx.risk.select("facility_id", "rating")
     return rows.join(outcomes, "deal_id").join(ratings, "facility_id", "left")
@@ -500,7 +506,8 @@ def _(ctx):
     return dedupe.top_row(ctx.star("orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()])
 
 
-@check("t3_seeded_sample", "opportunity_id deal_status")
+@check("t3_seeded_sample", "opportunity_id deal_status",
+       f"SELECT DISTINCT opportunity_id, deal_status, {key_hash_sql('1', 'opportunity_id')} AS place FROM silver_deals WHERE deal_status = 'active' ORDER BY place, opportunity_id LIMIT 8")
 def _(ctx):
     return model.seeded_sample(ctx.deals.where("deal_status = 'active'").select("opportunity_id", "deal_status").distinct(), 8, ["opportunity_id"], 1)
 
@@ -514,11 +521,9 @@ def _(ctx):
 
 
 @check("u2_union_of_layers", "table_name n_rows:i",
-       " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in
-                          ["bronze_crm_accounts", "bronze_crm_opportunities", "silver_customers", "silver_deals", "silver_facilities"]))
+       " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for layer in LAYERS.values() for t in layer.values()))
 def _(ctx):
-    bronze = {t: ctx[t] for t in ("bronze_crm_accounts", "bronze_crm_opportunities")}
-    return quality.row_counts({**bronze, "silver_customers": ctx.customers, "silver_deals": ctx.deals, "silver_facilities": ctx.facilities})
+    return quality.row_counts({**ctx.bronze, **ctx.silver, **ctx.gold})
 
 
 @check("u4_value_difference", "value", "SELECT DISTINCT lower(stage_raw) AS value FROM bronze_crm_opportunities EXCEPT SELECT * FROM (VALUES ('closed won'), ('closed lost')) v")

@@ -10,7 +10,7 @@ different sides because of summation order.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from lendlens.checks.tables_sql import TABLES
 from lendlens.plans import gold, silver
+from lendlens.plans.lazy import LazyTables
 from lendlens.session import settle, tune
-from lendlens.sources.star import StarSource
+from lendlens.checks.star import StarSource
 
 
 class Context:
@@ -101,16 +102,16 @@ class Context:
         }
 
     @cached_property
-    def silver(self) -> dict[str, DataFrame]:
-        return {
-            "silver_customers": self.customers,
-            "silver_deals": self.kept_deals,
-            "silver_facilities": self.kept_facilities,
-            "silver_pricing_cases": self.pricing,
-            "silver_risk_assessments": self.kept_risk,
-            "silver_relationship_snapshots": self.relationships,
-            "silver_ftp_rates": self.ftp,
-        }
+    def silver(self) -> Mapping[str, DataFrame]:
+        return LazyTables({
+            "silver_customers": lambda: self.customers,
+            "silver_deals": lambda: self.kept_deals,
+            "silver_facilities": lambda: self.kept_facilities,
+            "silver_pricing_cases": lambda: self.pricing,
+            "silver_risk_assessments": lambda: self.kept_risk,
+            "silver_relationship_snapshots": lambda: self.relationships,
+            "silver_ftp_rates": lambda: self.ftp,
+        })
 
     @cached_property
     def economics(self) -> DataFrame:
@@ -122,7 +123,7 @@ class Context:
         return settle(gold.facility_economics(self.silver).select(*gold.DEAL_INPUTS))
 
     @cached_property
-    def gold(self) -> dict[str, DataFrame]:
+    def gold(self) -> Mapping[str, DataFrame]:
         return gold.build_gold(self.silver)
 
     @cached_property
@@ -140,7 +141,7 @@ class Context:
         return totals.where("lower(stage_raw) LIKE '%closed%'").select(
             "deal_no",
             F.when(F.col("stage_raw") == "Closed Won", 1).otherwise(0).alias("y"),
-            ((F.col("deal_no") * 7919 % 101) / 100.0).alias("p"),
+            ((F.col("deal_no") * 7919 % 99991) / 99991.0).alias("p"),
         )
 
 
@@ -167,6 +168,12 @@ def check(key: str, columns: str, sql: str | None = None):
     return register
 
 
+def key_hash_sql(seed: str, *columns: str) -> str:
+    """The SQL of ``lendlens.operators.model.key_hash``."""
+    texts = ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {texts})), 1, 15) AS BIGINT)"
+
+
 def _digits(code: str) -> int:
     return int(code[1:] or 6)
 

@@ -224,7 +224,7 @@ _CUT_SQL = """CASE WHEN tenor_months > 0 AND tenor_months <= 12 THEN 'short' WHE
 
 @check("f41_fixed_bins", "facility_id tenor_bucket margin_bucket", f"SELECT facility_id, {_CUT_SQL} FROM facility_costs")
 def _(ctx):
-    return gold.facility_inputs(ctx.economics_inputs).select(
+    return gold.quoted_facilities(ctx.economics_inputs).select(
         "facility_id",
         E.cut("tenor_months", *explore.TENOR_CUT).alias("tenor_bucket"),
         E.cut("margin_above_floor_bps", *explore.MARGIN_CUT).alias("margin_bucket"),
@@ -253,8 +253,7 @@ def _(ctx):
 
 @check("p3_training_filter", "deal_id deal_outcome", "SELECT deal_id, deal_outcome FROM gold_deal_training_dataset")
 def _(ctx):
-    closed = ctx.lazy_features.withColumn("deal_complexity_score", F.lit(None).cast("double"))
-    return gold.training_set(closed)
+    return ctx.gold["gold_deal_training_dataset"]
 
 
 @check("p4_active_filter", "deal_id current_stage", "SELECT deal_id, current_stage FROM silver_deals WHERE deal_status = 'active'")
@@ -283,4 +282,4 @@ def _(ctx):
 @check("p9_projection_rename", "deal_id pricing_zone total_expected_profit_annual:f4",
        "SELECT deal_id, pricing_zone, total_expected_profit_annual FROM gold_active_deal_scoring_dataset")
 def _(ctx):
-    return gold.active_set(ctx.lazy_features.withColumn("deal_complexity_score", F.lit(None).cast("double")))
+    return ctx.gold["gold_active_deal_scoring_dataset"]

@@ -42,7 +42,7 @@ def _(ctx):
 def _round_trip(ctx, df: DataFrame, fmt: str) -> DataFrame:
     folder = scratch_folder(ctx.spark)
     tables.write_tables({"offers": df}, folder, fmt)
-    return tables.load_table(ctx.spark, folder, "offers")
+    return tables.load_table(ctx.spark, folder, "offers", schema=df.schema)
 
 
 _OFFERS = "offer_no:i offer_ref:i tier:i rate:f amount:f loan_type outcome:i"
@@ -76,7 +76,7 @@ def _(ctx):
     return counted_registry(ctx.spark, ctx.bronze)
 
 
-_EDGES = [(e.name, d) for e in catalog.ENTRIES for d in e.downstream.split() if d in catalog.REGISTRY]
+_EDGES = [(e.name, d) for e in catalog.ENTRIES for d in e.downstream]
 
 
 @check("s10_lineage_edges", "from_table to_table n_rows:f",

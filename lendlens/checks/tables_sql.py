@@ -3,7 +3,7 @@ Spark plans. The extracts share their text with the Spark side (they are the inp
 
 from __future__ import annotations
 
-from lendlens.sources.star import EXTRACTS, extract_sql
+from lendlens.checks.star import EXTRACTS, extract_sql
 
 TABLES: dict[str, str] = {name: extract_sql(name) for name in EXTRACTS}
 
@@ -22,7 +22,7 @@ def norm(x: str) -> str:
 
 
 def title(x: str) -> str:
-    return f"array_to_string(list_transform(regexp_extract_all(lower({x}), '[a-z]+|[^a-z]+'), lambda w: upper(w[1:1]) || w[2:]), '')"
+    return f"array_to_string(list_transform(regexp_extract_all(lower({x}), '[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+|[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+'), lambda w: upper(w[1:1]) || w[2:]), '')"
 
 
 def segment(x: str) -> str:
@@ -260,6 +260,6 @@ TABLES["gold_rm_deal_dashboard"] = """
   FROM gold_active_deal_scoring_dataset"""
 
 TABLES["scored_deals"] = """
-  SELECT deal_no, CASE WHEN stage_raw = 'Closed Won' THEN 1 ELSE 0 END AS y, (deal_no * 7919 % 101) / 100e0 AS p
+  SELECT deal_no, CASE WHEN stage_raw = 'Closed Won' THEN 1 ELSE 0 END AS y, (deal_no * 7919 % 99991) / 99991e0 AS p
   FROM (SELECT CAST(substring(opportunity_id, 4) AS BIGINT) AS deal_no, stage_raw FROM bronze_crm_opportunities) o
   WHERE lower(stage_raw) LIKE '%closed%'"""

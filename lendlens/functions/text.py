@@ -28,8 +28,9 @@ def norm(c: Column | str) -> Column:
 
 
 def title_case(c: Column | str) -> Column:
-    """Upper-case the first letter of every run of letters (``initcap`` only looks at blanks)."""
-    runs = F.regexp_extract_all(F.lower(col(c)), F.lit("([a-z]+|[^a-z]+)"), F.lit(1))
+    """Upper-case the first letter of every run of letters that have a case, in any alphabet
+    (``initcap`` only looks at blanks)."""
+    runs = F.regexp_extract_all(F.lower(col(c)), F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), F.lit(1))
     return F.array_join(
         F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), ""
     )

@@ -1,7 +1,8 @@
 """Price acceptance: posterior of a logistic model, acceptance and profit curves, best price per loan.
 
-The posterior is approximated by its mode and curvature (Newton steps, one aggregate each);
-draws are a small table whose size is a parameter, never a function of the data.
+The posterior is approximated by its mode and curvature (Newton steps, one aggregate each). Draws
+are a table whose size is a parameter of the sampling, never a function of the data; where rows are
+scored with all of them, they enter the plan as one array value.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlens.functions.economics import sigmoid
-
-MAX_DRAWS = 20_000
+from lendlens.operators.explore import standard_stats, standardize
 
 # Price grid 0..29 %, loan amounts and acceptance target of the price curves.
 RATE_GRID = [0.01 * i for i in range(30)]
@@ -49,26 +49,29 @@ def fit_posterior(df: DataFrame, columns: Sequence[str], label: str, sigma: floa
     xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in columns]
     k = len(xs)
     data = df.select(*columns, label).dropna().persist()
+
+    def slopes(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and negative Hessian of the log posterior at ``beta``."""
+        p = sigmoid(linear(xs[1:], beta))
+        weight, residual = p * (1 - p), F.col(label) - p
+        sums = [F.sum(residual * x) for x in xs] + [F.sum(weight * xs[i] * xs[j]) for i in range(k) for j in range(i, k)]
+        row = [v or 0.0 for v in data.agg(*sums).first()]
+        hessian = np.eye(k) / sigma**2
+        upper = np.triu_indices(k)
+        hessian[upper] += row[k:]
+        return np.array(row[:k]) - beta / sigma**2, np.triu(hessian) + np.triu(hessian, 1).T
+
     try:
         beta = np.zeros(k)
         for step in range(1, max_iter + 1):
-            p = sigmoid(linear(xs[1:], beta))
-            weight, residual = p * (1 - p), F.col(label) - p
-            sums = [F.sum(residual * x) for x in xs] + [F.sum(weight * xs[i] * xs[j]) for i in range(k) for j in range(i, k)]
-            row = [v or 0.0 for v in data.agg(*sums).first()]
-            gradient = np.array(row[:k]) - beta / sigma**2
-            hessian = np.eye(k) / sigma**2
-            cells = iter(row[k:])
-            for i in range(k):
-                for j in range(i, k):
-                    v = next(cells)
-                    hessian[i, j] += v
-                    if i != j:
-                        hessian[j, i] += v
+            gradient, hessian = slopes(beta)
             move = np.linalg.solve(hessian, gradient)
             beta = beta + move
             if np.max(np.abs(move)) < tol:
                 break
+        else:
+            raise RuntimeError(f"no posterior mode after {max_iter} Newton steps; the last one moved {np.max(np.abs(move)):.3g}")
+        hessian = slopes(beta)[1]
     finally:
         data.unpersist()
     names = [f"beta_{i}" for i in range(k)]
@@ -80,14 +83,20 @@ def posterior_table(spark: SparkSession, posterior: Posterior) -> DataFrame:
     return spark.createDataFrame(rows, "parameter string, mean double, sd double")
 
 
+def _normal(key: Column, seed: int) -> Column:
+    """A standard normal number that depends on the key and the seed only (two hashed uniform numbers)."""
+    def uniform(salt: int) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), key), F.lit(2**52)) + 0.5) / float(2**52)
+
+    return F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * np.pi * uniform(1))
+
+
 def draw_posterior(spark: SparkSession, posterior: Posterior, n_draws: int = 500, seed: int = 1, independent: bool = False) -> DataFrame:
     """(draw_id, beta_0, …): joint normal draws, or one independent draw per coefficient."""
-    if n_draws > MAX_DRAWS:
-        raise ValueError(f"at most {MAX_DRAWS} draws")
     cov = np.array(posterior.cov)
     factor = np.diag(np.sqrt(np.diag(cov))) if independent else np.linalg.cholesky(cov)
-    base = spark.range(0, n_draws, 1, 1).select(
-        F.col("id").cast("int").alias("draw_id"), *[F.randn(seed + i).alias(f"_z{i}") for i in range(len(cov))]
+    base = spark.range(n_draws).select(
+        F.col("id").cast("int").alias("draw_id"), *[_normal(F.col("id"), seed + i).alias(f"_z{i}") for i in range(len(cov))]
     )
     return base.select(
         "draw_id",
@@ -98,34 +107,25 @@ def draw_posterior(spark: SparkSession, posterior: Posterior, n_draws: int = 500
     )
 
 
-def draw_prior(spark: SparkSession, k: int, sigma: float, n_draws: int = 50, seed: int = 123) -> DataFrame:
-    names = [f"beta_{i}" for i in range(k)]
-    return draw_posterior(spark, Posterior(names, [0.0] * k, (np.eye(k) * sigma**2).tolist(), 0), n_draws, seed)
+def draw_array(draws: DataFrame) -> Column:
+    """All draws as one array value, ordered by draw: a scalar subquery, computed once per query."""
+    return draws.agg(F.sort_array(F.collect_list(F.struct(*_draw_columns(draws))))).scalar()
+
+
+def _draw_columns(draws: DataFrame) -> list[str]:
+    return ["draw_id", *[c for c in draws.columns if c != "draw_id"]]
 
 
 def resample_draws(draws: DataFrame, n: int = 500, seed: int = 1, independent: bool = False) -> DataFrame:
     """n rows of the draws table with replacement; ``independent`` picks each coefficient on its own."""
-    spark = draws.sparkSession
-    names = [c for c in draws.columns if c != "draw_id"]
-    rows = collect_draws(draws)
-    rng = np.random.default_rng(seed)
-    table = np.array(rows)
-    if independent:
-        picked = np.column_stack([table[rng.integers(0, len(table), n), j] for j in range(len(names))])
-    else:
-        picked = table[rng.integers(0, len(table), n)]
-    return spark.createDataFrame(
-        [(i, *map(float, r)) for i, r in enumerate(picked)], "draw_id int, " + ", ".join(f"{c} double" for c in names)
-    )
+    names = _draw_columns(draws)[1:]
+    picked = draws.sparkSession.range(n).withColumn("_draws", draw_array(draws))
 
+    def value(j: int, name: str) -> Column:
+        place = F.pmod(F.xxhash64(F.lit(seed), F.lit(j if independent else 0), F.col("id")), F.size("_draws"))
+        return F.get("_draws", place.cast("int"))[name]
 
-def collect_draws(draws: DataFrame) -> list[tuple[float, ...]]:
-    """The draws as literals, refused above MAX_DRAWS rows."""
-    names = [c for c in draws.columns if c != "draw_id"]
-    rows = draws.orderBy("draw_id").select(*names).limit(MAX_DRAWS + 1).collect()
-    if len(rows) > MAX_DRAWS:
-        raise ValueError(f"at most {MAX_DRAWS} draws")
-    return [tuple(r) for r in rows]
+    return picked.select(F.col("id").cast("int").alias("draw_id"), *[value(j, name).alias(name) for j, name in enumerate(names)])
 
 
 def draw_means(draws: DataFrame) -> tuple[float, ...]:
@@ -146,40 +146,31 @@ def draw_summary(draws: DataFrame, low: float = 0.03, high: float = 0.97) -> Dat
     )
 
 
-def _draw_array(rows: Sequence[tuple[float, ...]]) -> Column:
-    return F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in rows])
-
-
-def _draw_logit(d: Column, xs: Sequence[Column]) -> Column:
-    total = d[0]
-    for i, x in enumerate(xs, start=1):
-        total = total + d[i] * x
+def _draw_logit(d: Column, names: Sequence[str], xs: Sequence[Column]) -> Column:
+    total = d[names[0]]
+    for name, x in zip(names[1:], xs):
+        total = total + d[name] * x
     return total
 
 
 def posterior_predictive(df: DataFrame, draws: DataFrame, columns: Sequence[str], output: str = "acceptance_probability") -> DataFrame:
     """Mean acceptance probability over the draws, per row: an array fold, no row is multiplied."""
-    rows = collect_draws(draws)
+    names = _draw_columns(draws)[1:]
     xs = [F.col(c).cast("double") for c in columns]
-    total = F.aggregate(_draw_array(rows), F.lit(0.0), lambda acc, d: acc + 1 / (1 + F.exp(-_draw_logit(d, xs))))
-    return df.withColumn(output, total / len(rows))
-
-
-def prior_predictive(df: DataFrame, draws: DataFrame, column: str, keys: Sequence[str], bin_width: float = 0.01, seed: int = 123) -> DataFrame:
-    """(draw_id, bin, n, accepted): simulated acceptance by price bin. One aggregate with a column
-    per draw; a hash of the row key and the draw decides each simulated answer."""
-    rows = collect_draws(draws)
-    names = [f"d{i}" for i in range(len(rows))]
-
-    def accepted(i: int, b: tuple[float, ...]) -> Column:
-        u = F.pmod(F.xxhash64(*keys, F.lit(seed + i)), F.lit(1_000_000)) / 1_000_000
-        return F.count_if(u < sigmoid(F.lit(b[0]) + F.lit(b[1]) * F.col(column))).alias(names[i])
-
-    binned = df.groupBy(F.floor(F.col(column) / bin_width).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), *[accepted(i, b) for i, b in enumerate(rows)]
+    rows = df.withColumn("_draws", draw_array(draws))
+    total = F.aggregate("_draws", F.lit(0.0), lambda acc, d: acc + 1 / (1 + F.exp(-_draw_logit(d, names, xs))))
+    return rows.withColumn(output, total / F.size("_draws")).drop("_draws")
+
+
+def predictive_by_price(df: DataFrame, draws: DataFrame, column: str, bin_width: float = 0.01) -> DataFrame:
+    """(draw_id, bin, n, expected_accepted): what each draw of a price-only model expects of the
+    loans in each price bin. Prices are counted first, so a draw meets every distinct price once."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    met = counted.withColumn("d", F.explode(draw_array(draws)))
+    p = sigmoid(F.col("d.beta_0") + F.col("d.beta_1") * F.col("_x"))
+    return met.groupBy(F.col("d.draw_id").alias("draw_id"), F.floor(F.col("_x") / bin_width).alias("bin")).agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_n") * p).alias("expected_accepted")
     )
-    cells = F.array(*[F.struct(F.lit(i).alias("draw_id"), F.col(n).alias("accepted")) for i, n in enumerate(names)])
-    return binned.select("bin", "n", F.explode(cells).alias("c")).select("c.draw_id", "bin", "n", "c.accepted")
 
 
 def on_grid(draws: DataFrame, name: str, grid: Sequence[float]) -> DataFrame:
@@ -197,6 +188,16 @@ def curve_band(points: DataFrame, at: str, value: Column, mean_curve: Column, na
     )
 
 
+def per_draw(points: DataFrame, at: str, value: Column, name: str) -> DataFrame:
+    """(draw_id, at, <name>): one curve for every draw."""
+    return points.select("draw_id", at, value.alias(name))
+
+
+def acceptance_curves(draws: DataFrame, grid: Sequence[float] = ACCEPTANCE_GRID) -> DataFrame:
+    """Acceptance by price of a price-only model, one curve per draw."""
+    return per_draw(on_grid(draws, "rate", grid), "rate", sigmoid(F.col("beta_0") + F.col("beta_1") * F.col("rate")), "acceptance")
+
+
 def acceptance_curve(draws: DataFrame, grid: Sequence[float] = ACCEPTANCE_GRID) -> DataFrame:
     """Acceptance by price for a price-only model: mean curve and band over the draws."""
     b0, b1 = draw_means(draws)[:2]
@@ -212,36 +213,48 @@ def _std(x, stat: tuple[float, float]):
     return (x - F.lit(stat[0])) / F.lit(stat[1])
 
 
-def target_price(draws: DataFrame, stats: Stats, target: float = TARGET_ACCEPTANCE, amounts: Sequence[float] = TARGET_AMOUNTS) -> DataFrame:
-    """Price at which the model reaches the target acceptance, per loan amount: closed form, with band."""
+def _target_rate(b: Sequence[Column], stats: Stats, target: float) -> Column:
     logit = float(-np.log((1 - target) / target))
-    means = draw_means(draws)
-    points = on_grid(draws, "amount", amounts)
-    q = _std(F.col("amount"), stats["amount"])
     mean_rate, sd_rate = stats["rate"]
+    return F.try_divide(F.lit(logit) - b[0] - b[2] * _std(F.col("amount"), stats["amount"]), b[1]) * F.lit(sd_rate) + F.lit(mean_rate)
+
 
-    def price(b0: Column, b1: Column, b2: Column) -> Column:
-        return F.try_divide(F.lit(logit) - b0 - b2 * q, b1) * F.lit(sd_rate) + F.lit(mean_rate)
+def _drawn() -> list[Column]:
+    return [F.col(f"beta_{i}") for i in range(3)]
 
-    value = price(F.col("beta_0"), F.col("beta_1"), F.col("beta_2"))
-    return curve_band(points, "amount", value, price(*[F.lit(m) for m in means[:3]]), "target_rate")
+
+def target_prices(draws: DataFrame, stats: Stats, target: float = TARGET_ACCEPTANCE, amounts: Sequence[float] = TARGET_AMOUNTS) -> DataFrame:
+    """Price at which the model reaches the target acceptance, per draw and loan amount."""
+    return per_draw(on_grid(draws, "amount", amounts), "amount", _target_rate(_drawn(), stats, target), "target_rate")
+
+
+def target_price(draws: DataFrame, stats: Stats, target: float = TARGET_ACCEPTANCE, amounts: Sequence[float] = TARGET_AMOUNTS) -> DataFrame:
+    """The same per loan amount: closed form at the mean coefficients, with the band over the draws."""
+    means = [F.lit(m) for m in draw_means(draws)[:3]]
+    points = on_grid(draws, "amount", amounts)
+    return curve_band(points, "amount", _target_rate(_drawn(), stats, target), _target_rate(means, stats, target), "target_rate")
 
 
 def acceptance_at(b0: Column, b1: Column, b2: Column, rate: Column, amount: Column, stats: Stats) -> Column:
     return sigmoid(b0 + b1 * _std(rate, stats["rate"]) + b2 * _std(amount, stats["amount"]))
 
 
-def loan_curve(draws: DataFrame, stats: Stats, kind: str, amount: float, cost: float, grid: Sequence[float] = RATE_GRID) -> DataFrame:
-    """Expected profit or revenue of one loan over the price grid: mean curve and band."""
-    means = draw_means(draws)
-    points = on_grid(draws, "rate", grid)
+def _loan_value(b: Sequence[Column], stats: Stats, kind: str, amount: float, cost: float) -> Column:
     gain = F.col("rate") - F.lit(cost) if kind == "profit" else F.col("rate")
+    return F.lit(amount) * gain * acceptance_at(*b, F.col("rate"), F.lit(amount), stats)
+
 
-    def value(b: Sequence[Column]) -> Column:
-        return F.lit(amount) * gain * acceptance_at(*b, F.col("rate"), F.lit(amount), stats)
+def loan_curves(draws: DataFrame, stats: Stats, kind: str, amount: float, cost: float, grid: Sequence[float] = RATE_GRID) -> DataFrame:
+    """Expected profit or revenue of one loan over the price grid, one curve per draw."""
+    return per_draw(on_grid(draws, "rate", grid), "rate", _loan_value(_drawn(), stats, kind, amount, cost), f"expected_{kind}")
 
-    drawn = [F.col(f"beta_{i}") for i in range(3)]
-    return curve_band(points, "rate", value(drawn), value([F.lit(m) for m in means[:3]]), f"expected_{kind}")
+
+def loan_curve(draws: DataFrame, stats: Stats, kind: str, amount: float, cost: float, grid: Sequence[float] = RATE_GRID) -> DataFrame:
+    """The same as one curve: at the mean coefficients, with the band over the draws."""
+    means = [F.lit(m) for m in draw_means(draws)[:3]]
+    points = on_grid(draws, "rate", grid)
+    value = _loan_value(_drawn(), stats, kind, amount, cost)
+    return curve_band(points, "rate", value, _loan_value(means, stats, kind, amount, cost), f"expected_{kind}")
 
 
 def realised_totals(df: DataFrame) -> DataFrame:
@@ -290,3 +303,16 @@ def best_price_totals(priced: DataFrame) -> DataFrame:
         F.sum("expected_revenue").alias("expected_revenue"),
         F.sum("expected_profit").alias("expected_profit"),
     )
+
+
+def price_chain(df: DataFrame, label: str = "outcome", n_draws: int = 500, sigma: float = 10.0, seed: int = 1) -> DataFrame:
+    """(goal, n_loans, avg_best_rate, expected_revenue, expected_profit): the whole way from loans to prices.
+
+    Rates and amounts are standardised, the acceptance model is fitted, its posterior drawn, and the loans are priced
+    at the mean of the draws, once for revenue and once for profit.
+    """
+    stats = standard_stats(df, ["rate", "amount"])
+    fitted = fit_posterior(standardize(df, stats), ["rate_std", "amount_std"], label, sigma)
+    means = draw_means(draw_posterior(df.sparkSession, fitted, n_draws, seed))
+    parts = [best_price_totals(best_price(df, means, stats, goal)).withColumn("goal", F.lit(goal)) for goal in ("revenue", "profit")]
+    return parts[0].unionByName(parts[1])

@@ -1,4 +1,4 @@
-"""One row per key: latest extract, first row, final quote, bounded sides of a join."""
+"""One row per key: latest extract, first row, final quote."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlens.functions.standardize import final_quote_eligible
-from lendlens.session import settle
-
-BROADCAST_ROWS = 200_000
 
 
 def top_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -88,12 +85,3 @@ def latest_curve(ftp: DataFrame) -> DataFrame:
     """Latest funding rate per (currency, product group, tenor bucket); rows with a missing key are dropped."""
     keys = ["currency", "product_group", "tenor_bucket_months"]
     return latest_by(ftp.dropna(subset=keys), keys, "ftp_curve_date").select(*keys, "ftp_bps", "liquidity_cost_bps")
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A lookup computed once and, if its counted rows stay within the bound, marked for broadcast.
-
-    Above the bound no hint is given and the join stays a shuffled one.
-    """
-    kept = settle(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lendlens.functions.economics import sigmoid
 from lendlens.functions.text import clamp01
-from lendlens.operators.dedupe import first_by, latest_by, latest_quotes, small_side, top_row
+from lendlens.operators.dedupe import first_by, latest_by, latest_quotes, top_row
 from lendlens.operators.ordered import percent_rank_columns, quantiles
 
 # Defaults of a missing driver.
@@ -28,7 +28,6 @@ OTHER_FLOOR = 120.0
 # Funding curve add-ons in bps.
 CURVE_CURRENCIES = {"EUR": 0, "USD": 25, "GBP": 18}
 CURVE_GROUPS = {"Committed Lines": 20, "Term Lending": 8, "Trade": 5, "Guarantee": 3}
-CURVE_TENORS = [12, 24, 36, 60, 84]
 # Default rate by rating and loss share by collateral, with bounds.
 RATING_PD = {"A": 0.003, "BBB": 0.008, "BB": 0.025, "B": 0.055}
 COLLATERAL_LGD = {"Cash": 0.18, "Real Estate": 0.28, "Receivables": 0.38, "Inventory": 0.45, "Unsecured": 0.55}
@@ -175,25 +174,12 @@ def rate_card_floor(product: str) -> Column:
     return lookup(F.col(product), RATE_CARD, OTHER_FLOOR)
 
 
-def ftp_curve(dates: DataFrame) -> DataFrame:
-    """Funding curve rows (currency x product group x tenor) for every distinct ``ftp_curve_date``."""
-    currencies = F.array(*[F.struct(F.lit(k).alias("currency"), F.lit(v).alias("c_add")) for k, v in CURVE_CURRENCIES.items()])
-    groups = F.array(*[F.struct(F.lit(k).alias("product_group_raw"), F.lit(v).alias("g_add")) for k, v in CURVE_GROUPS.items()])
-    tenors = F.array(*[F.lit(t) for t in CURVE_TENORS])
-    rows = (
-        dates.select("ftp_curve_date", F.explode(currencies).alias("c"))
-        .select("*", F.explode(groups).alias("g"))
-        .select("*", F.explode(tenors).alias("tenor_bucket_months"))
-    )
-    tenor = F.col("tenor_bucket_months")
-    return rows.select(
-        "ftp_curve_date",
-        "c.currency",
-        "g.product_group_raw",
-        "tenor_bucket_months",
-        (60 + tenor * F.lit(0.8) + F.col("c.c_add") + F.col("g.g_add")).alias("ftp_bps"),
-        (8 + tenor * F.lit(0.25) + F.when(F.col("g.product_group_raw") == "Committed Lines", 10).otherwise(0)).alias("liquidity_cost_bps"),
-    )
+def modelled_ftp(currency: str, product_group: str, tenor_months: str) -> tuple[Column, Column]:
+    """(funding cost, liquidity cost) in bps from currency, product group and tenor; null for an unknown currency or group."""
+    tenor = F.col(tenor_months)
+    add = lookup(F.col(currency), CURVE_CURRENCIES, F.lit(None).cast("int")) + lookup(F.col(product_group), CURVE_GROUPS, F.lit(None).cast("int"))
+    committed = F.when(F.col(product_group) == "Committed Lines", 10).otherwise(0)
+    return 60 + tenor * F.lit(0.8) + add, 8 + tenor * F.lit(0.25) + committed
 
 
 def modelled_expected_loss(ead: str, rating: str, collateral: str, pd_scale: float = 1.0, lgd_scale: float = 1.0) -> tuple[Column, Column, Column]:

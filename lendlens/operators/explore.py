@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions.economics import cut, win_label
-from lendlens.operators.dedupe import small_side
 from lendlens.operators.ordered import quantiles
+from lendlens.session import settle
 
 # Bins of the win/loss cuts.
 TENOR_CUT = ([0, 12, 36, 120], ["short", "medium", "long"])
@@ -28,11 +28,13 @@ def add_cuts(df: DataFrame) -> DataFrame:
 
 
 def win_rate_by_cuts(df: DataFrame, cuts: Sequence[str], label: str = "won_flag") -> DataFrame:
-    """(cut_name, cut_value, n_deals, win_rate) for every cut from one scan (grouping sets)."""
+    """(cut_name, cut_value, n_deals, win_rate) for every cut from one scan. Rows are counted by all cuts
+    together first; the grouping sets multiply those few counted rows only."""
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in cuts], label)
-    grouped = texts.groupingSets([[F.col(c)] for c in cuts], *[F.col(c) for c in cuts]).agg(
-        F.count(label).alias("n_deals"),
-        F.avg(label).alias("win_rate"),
+    counted = texts.groupBy(*cuts).agg(F.count(label).alias("_n"), F.sum(label).alias("_s"))
+    grouped = counted.groupingSets([[F.col(c)] for c in cuts], *[F.col(c) for c in cuts]).agg(
+        F.sum("_n").alias("n_deals"),
+        F.try_divide(F.sum("_s"), F.sum("_n")).alias("win_rate"),
         *[F.grouping(c).alias(f"_g_{c}") for c in cuts],
     )
     name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -55,7 +57,7 @@ def quantile_trim(df: DataFrame, value: str, low: float = 0.025, high: float = 0
         return df.where((F.col(value) > bounds["q0"]) & (F.col(value) < bounds["q1"]))
     bounds = quantiles(df, value, [low, high], by).select(F.col(by).alias("_by"), "q0", "q1")
     inside = (F.col(by) == F.col("_by")) & (F.col(value) > F.col("q0")) & (F.col(value) < F.col("q1"))
-    return df.join(small_side(bounds), inside, "left_semi")
+    return df.join(settle(bounds), inside, "left_semi")
 
 
 def trimmed_correlation(df: DataFrame, value: str, label: str, by: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -104,7 +106,7 @@ def auto_histograms(df: DataFrame, measures: Sequence[str], keys: Sequence[str],
     )
     place = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     return (
-        long.join(small_side(spans), group)
+        long.join(settle(spans), group)
         .groupBy(*group, "lo", "hi", F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

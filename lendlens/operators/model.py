@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendlens.functions.economics import expected_deal_value, win_label
 from lendlens.operators.evaluate import evaluate_classifier
-from lendlens.operators.ordered import column_modes, column_quantiles, row_numbers
+from lendlens.operators.ordered import column_modes, column_quantiles, prefix_counts, row_numbers
 from lendlens.operators.quality import require_columns
 
 
@@ -25,16 +26,36 @@ def split_features(df: DataFrame, features: Sequence[str]) -> tuple[list[str], l
     return numeric, [f for f in features if f not in numeric]
 
 
-def hash_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the row's key: a filter, no shuffle, stable under any partitioning.
+def key_hash(keys: Sequence[str], seed: int) -> Column:
+    """A number below 2^60 from a row's key: the first digits of an MD5 sum, which any engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
-    Hashing is independent of the label, so both classes keep their share up to sampling error.
-    """
-    place = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000))
+
+def hash_split(df: DataFrame, keys: Sequence[str], test_share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by a hash of the row's key: a filter, no shuffle, stable under any partitioning."""
+    place = F.pmod(key_hash(keys, seed), F.lit(10_000))
     edge = round(test_share * 10_000)
     return df.where(place >= edge), df.where(place < edge)
 
 
+def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(train, test) in which every class has its exact share: of each class the rows with the smallest key
+    hashes are tested, as many as ``test_share`` of the class, rounded. Rows with equal keys stay together.
+
+    The last hash of each class is read off running counts; the split itself is a filter. One number per class
+    reaches the driver: ``label`` must be a class column.
+    """
+    hashed = df.select(F.col(label).alias("_class"), key_hash(keys, seed).alias("_hash"))
+    counts = prefix_counts(hashed, "_hash", "_class")
+    tested = counts.where(F.col("n_before") < F.round(F.col("n_total") * F.lit(float(test_share))))
+    edges = tested.groupBy("_class").agg(F.max("_hash").alias("edge")).collect()
+    picked = F.lit(False)
+    for r in edges:
+        picked = picked | (F.col(label).eqNullSafe(F.lit(r["_class"])) & (key_hash(keys, seed) <= F.lit(r["edge"])))
+    return df.where(~picked), df.where(picked)
+
+
 def split_shares(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """(part, label, n): what the split did to each class."""
     parts = [d.select(F.lit(p).alias("part"), F.col(label).alias("label")) for p, d in (("train", train), ("test", test))]
@@ -64,6 +85,10 @@ def fit_imputation(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
     if categorical:
         found = {r["series"]: r["mode_value"] for r in column_modes(df, categorical).collect()}
         modes = {c: found.get(c) for c in categorical}
+    empty = [c for c in numeric if c not in medians]
+    if empty:
+        warnings.warn(f"features without any value are left out: {empty}", stacklevel=2)
+    numeric = [c for c in numeric if c in medians]
     scale = {}
     if numeric:
         filled = [F.coalesce(F.col(c), F.lit(medians.get(c))) for c in numeric]
@@ -108,14 +133,39 @@ def fit_logistic(df: DataFrame, target: str, features: Sequence[str]) -> Pipelin
     """L2-penalised logistic regression with unit penalty on the summed loss and a free intercept."""
     numeric, categorical = split_features(df, features)
     n = df.count()
-    inputs = [f"_num_{c}" for c in numeric] + [f"_hot_{c}" for c in categorical]
+    imputation = fit_imputation(df, numeric, categorical)
+    inputs = [f"_num_{c}" for c in imputation.scale] + [f"_hot_{c}" for c in categorical]
     regression = LogisticRegression(
         featuresCol="_features", labelCol=target, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8
     )
-    stages = [preparation_stage(fit_imputation(df, numeric, categorical)), *one_hot_stages(categorical)]
+    stages = [preparation_stage(imputation), *one_hot_stages(categorical)]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="_features"), regression]).fit(df)
 
 
+def coefficients(fitted: PipelineModel) -> list[tuple[str, float]]:
+    """(name, value) of the intercept and of every input, levels as ``feature=level``."""
+    regression = fitted.stages[-1]
+    indexer = next((s for s in fitted.stages if isinstance(s, StringIndexerModel)), None)
+    levels = dict(zip(indexer.getInputCols(), indexer.labelsArray)) if indexer else {}
+    names: list[str] = []
+    for c in next(s for s in fitted.stages if isinstance(s, VectorAssembler)).getInputCols():
+        if c.startswith("_num_"):
+            names.append(c.removeprefix("_num_"))
+        else:
+            feature = c.removeprefix("_hot_")
+            names += [f"{feature}={level}" for level in levels[f"_cat_{feature}"]]
+    return [("intercept", float(regression.intercept)), *zip(names, map(float, regression.coefficients.toArray()))]
+
+
+def flat_metrics(metrics: dict, prefix: str = "") -> Iterator[tuple[str, float]]:
+    """Every number among the metrics with its path as name, the confusion matrix included."""
+    for k, v in metrics.items():
+        if isinstance(v, (dict, list)):
+            yield from flat_metrics(dict(enumerate(v)) if isinstance(v, list) else v, f"{prefix}{k}.")
+        elif isinstance(v, (int, float)):
+            yield f"{prefix}{k}", float(v)
+
+
 def add_win_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
     """The input columns plus ``win_probability``."""
     scored = model.transform(df)
@@ -125,12 +175,12 @@ def add_win_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
 def train_win_model(
     df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str], test_share: float = 0.25, seed: int = 42
 ) -> tuple[PipelineModel, dict]:
-    """(model, test metrics): drop rows without label, encode it, split by key hash, fit, evaluate."""
+    """(model, test metrics): drop rows without label, encode it, split each class by key hash, fit, evaluate."""
     require_columns(df, [target, *features, *keys])
     data = df.where(F.col(target).isNotNull())
     label = win_label(target) if isinstance(df.schema[target].dataType, T.StringType) else F.col(target).cast("int")
     data = data.select(label.alias("_label"), *dict.fromkeys([*features, *keys]))
-    train, test = hash_split(data, keys, test_share, seed)
+    train, test = stratified_split(data, "_label", keys, test_share, seed)
     model = fit_logistic(train, "_label", features)
     scored = add_win_probability(model, test).select("_label", "win_probability").persist()
     try:
@@ -161,4 +211,4 @@ def top_deals(df: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
 
 def seeded_sample(df: DataFrame, k: int, keys: Sequence[str], seed: int) -> DataFrame:
     """k rows in hash order of their key: the same rows for any partitioning."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(k)
+    return df.orderBy(key_hash(keys, seed), *keys).limit(k)

@@ -4,7 +4,7 @@ Every operator here first collapses its input to one row per distinct value (has
 aggregation combines on the map side, so a value that holds a third of all rows
 becomes one counted row), sorts those rows with a range exchange, and turns running
 totals inside each sorted block into global ones by adding the totals of the blocks
-before it. Only one total per block and series reaches the driver.
+before it.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendlens.operators.dedupe import BROADCAST_ROWS, top_row
+from lendlens.operators.dedupe import top_row
 from lendlens.session import settle
 
-MAX_TOTALS = 500_000
 _BLOCK_BITS = 33  # monotonically_increasing_id keeps the partition above, the row below
 
 
@@ -32,31 +31,14 @@ def _sorted_blocks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def _offsets(totals: list, series: str | None, measures: Sequence[str]) -> tuple[dict, dict]:
-    """Running totals of the measures before each block of a series, and the series totals."""
-    running: dict = {}
-    offsets = {}
-    for row in sorted(totals, key=lambda r: r["_block"]):
-        name = row[series] if series else None
-        before = running.get(name, [0] * len(measures))
-        offsets[(name, row["_block"])] = before
-        running[name] = [b + row[m] for b, m in zip(before, measures)]
-    return offsets, running
-
-
 def prefix_counts(df: DataFrame, value: str, series: str | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
     """Per distinct value: ``n`` rows and the requested sums, plus each of them summed over all
     smaller values of the same series (``n_before``, ``<name>_before``) and over the whole series
     (``n_total``, ``<name>_total``). Null values are left out.
 
-    ``series`` names a column with few distinct labels (a column name, a tier); ``sums`` must be
-    integer expressions.
+    ``series`` may have any number of labels; ``sums`` must be integer expressions.
     """
-    return _prefix_counts(df, value, series, sums or {})[0]
-
-
-def _prefix_counts(df: DataFrame, value: str, series: str | None, sums: dict[str, Column]) -> tuple[DataFrame, dict]:
-    """The counts and the number of distinct values per series."""
+    sums = sums or {}
     keys = ([series] if series else []) + [value]
     counted = (
         df.where(F.col(value).isNotNull())
@@ -66,40 +48,26 @@ def _prefix_counts(df: DataFrame, value: str, series: str | None, sums: dict[str
     measures = ["n", *sums]
     blocks = _sorted_blocks(counted, [F.col(k) for k in keys])
     block_keys = ([series] if series else []) + ["_block"]
-    totals = (
-        blocks.groupBy(*block_keys)
-        .agg(F.count(F.lit(1)).alias("_values"), *[F.sum(m).cast("bigint").alias(m) for m in measures])
-        .limit(MAX_TOTALS + 1)
-        .collect()
+    totals = blocks.groupBy(*block_keys).agg(*[F.sum(m).cast("bigint").alias(m) for m in measures])
+    # one row per sorted block of a series, so a window task holds as many rows as there are sort partitions
+    of_series = Window.partitionBy(F.col(series) if series else F.col("_block") * 0)
+    earlier = of_series.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    table = totals.select(
+        *[F.col(k).alias(f"_t{k}") for k in block_keys],
+        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures],
+        *[F.sum(m).over(of_series).alias(f"{m}_total") for m in measures],
     )
-    if len(totals) > MAX_TOTALS:
-        raise ValueError(f"column {series} has too many labels to be used as a series")
-    offsets, whole = _offsets(totals, series, measures)
-    sizes: dict = {}
-    for row in totals:
-        name = row[series] if series else None
-        sizes[name] = sizes.get(name, 0) + row["_values"]
-
-    fields = [f"{series} {counted.schema[series].dataType.simpleString()}"] if series else []
-    fields += ["_block int"] + [f"_off_{m} bigint" for m in measures] + [f"{m}_total bigint" for m in measures]
-    rows = [
-        (*([name] if series else []), block, *before, *whole[name]) for (name, block), before in offsets.items()
-    ]
-    # At most one row per block and series: bounded by the sort partitions and MAX_TOTALS.
-    table = F.broadcast(df.sparkSession.createDataFrame(rows, ", ".join(fields)))
-
     w = Window.partitionBy(*block_keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = blocks.select("*", *[(F.sum(m).over(w) - F.col(m)).alias(f"_in_{m}") for m in measures])
-    same_block = running["_block"] == table["_block"]
+    same_block = running["_block"] == table["_t_block"]
     if series:
-        same_block = same_block & running[series].eqNullSafe(table[series])
-    counts = running.join(table, same_block).select(
+        same_block = same_block & running[series].eqNullSafe(table[f"_t{series}"])
+    return running.join(table, same_block).select(
         *[running[k] for k in keys],
         *measures,
         *[(F.col(f"_in_{m}") + F.col(f"_off_{m}")).alias(f"{m}_before") for m in measures],
         *[f"{m}_total" for m in measures],
     )
-    return counts, sizes
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -108,34 +76,29 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.series", "p.value").where("value IS NOT NULL")
 
 
-def _rank_table(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict]:
-    counts, sizes = _prefix_counts(_long(df, columns), "value", "series", {})
-    average_rank = (2 * F.col("n_before") + F.col("n") + 1) / 2
-    return counts.select("series", "value", (average_rank / F.col("n_total")).alias("pct")), sizes
-
-
 def rank_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(series, value, pct): average rank of each distinct value divided by the non-null count."""
-    return _rank_table(df, columns)[0]
+    counts = prefix_counts(_long(df, columns), "value", "series")
+    average_rank = (2 * F.col("n_before") + F.col("n") + 1) / 2
+    return counts.select("series", "value", (average_rank / F.col("n_total")).alias("pct"))
 
 
 def percent_rank_columns(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
     """Adds ``output`` = percent rank (average ties, null for null) of ``column`` for each
     ``{output: column}``.
 
-    The rank of a value is joined back on the value. A column whose distinct values were counted
-    to be few is broadcast, which also covers hot values without any shuffle of ``df``; for the
-    others the planner chooses the join and splits hot values at run time.
+    Only narrow (row, series, value) rows meet the rank table, all columns in one join; the ranks of a row are
+    gathered by one aggregate and joined back, so the wide rows are shuffled once for any number of
+    ranks. A hot value is split at run time. The rows are written once to give each a number.
     """
-    table, sizes = _rank_table(df, list(dict.fromkeys(ranks.values())))
-    for output, column in ranks.items():
-        one = table.where(F.col("series") == column).select(
-            F.col("value").alias(f"_v_{output}"), F.col("pct").alias(output)
-        )
-        if sizes.get(column, 0) <= BROADCAST_ROWS:
-            one = F.broadcast(one)
-        df = df.join(one, F.col(column).cast("double") == F.col(f"_v_{output}"), "left").drop(f"_v_{output}")
-    return df
+    columns = list(dict.fromkeys(ranks.values()))
+    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns])
+    narrow = rows.select("_row", F.explode(cells).alias("c")).select("_row", "c.series", "c.value").where("value IS NOT NULL")
+    found = narrow.join(rank_table(rows, columns), ["series", "value"]).groupBy("_row").agg(
+        *[F.max(F.when(F.col("series") == column, F.col("pct"))).alias(output) for output, column in ranks.items()]
+    )
+    return rows.join(found, "_row", "left").select(*df.columns, *ranks)
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -161,13 +124,13 @@ def row_numbers(df: DataFrame, order: Sequence[Column], output: str = "row_numbe
     The range exchange cuts inside ties of the leading column, so equal leading values spread out.
     """
     blocks = _sorted_blocks(df, order)
-    totals = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()
-    offsets, whole = _offsets(totals, None, ["n"])
-    n = whole.get(None, [0])[0]
-    table = df.sparkSession.createDataFrame(
-        [(block, before[0]) for (_, block), before in offsets.items()], "_block int, _off bigint"
-    )
+    before, offsets = 0, []
     # one row per sort partition
+    for row in blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).orderBy("_block").collect():
+        offsets.append((row["_block"], before))
+        before += row["n"]
+    n = before
+    table = df.sparkSession.createDataFrame(offsets, "_block int, _off bigint")
     return blocks.join(F.broadcast(table), "_block").select(
         *df.columns,
         (F.col("_off") + F.col("_pos") + 1).alias(output),

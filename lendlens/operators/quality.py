@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlens.functions.standardize import unknown_stage
+from lendlens.functions.text import number_or_percent
+from lendlens.session import settle
 from lendlens.sources.catalog import BRONZE, ENTRIES, GOLD, SILVER, forbidden_columns
 
 # Columns a deal table must have, and columns it should have.
@@ -29,12 +31,11 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """(column_name, dtype, row_count, missing, unique_values), one row per column.
+    """(column_name, dtype, row_count, column_count, missing, unique_values), one row per column.
 
-    Exact distinct counts go through one (column, value) aggregate that combines on the map
-    side; ``approximate`` replaces them by sketches in a single global aggregate.
+    Exact counts group each column on its own values in their own type: such a scan reads one column, and
+    the aggregate combines on the map side. ``approximate`` takes sketches of all columns from one scan.
     """
-    types = dict(df.dtypes)
     if approximate:
         parts = [
             F.struct(
@@ -47,15 +48,16 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         ]
         rows = df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
     else:
-        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns])
-        values = df.select(F.explode(cells).alias("c")).groupBy("c.column_name", "c.v").agg(F.count(F.lit(1)).alias("n"))
-        rows = values.groupBy("column_name").agg(
-            F.sum("n").alias("row_count"),
-            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-            F.count("v").alias("unique_values"),
-        )
-    dtype = F.element_at(F.create_map(*[F.lit(x) for pair in types.items() for x in pair]), F.col("column_name"))
-    return rows.select("column_name", dtype.alias("dtype"), "row_count", "missing", "unique_values")
+        rows = union_all([
+            df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+                F.count("v").alias("unique_values"),
+            ).withColumn("column_name", F.lit(c))
+            for c in df.columns
+        ])
+    dtype = F.element_at(F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair]), F.col("column_name"))
+    return rows.select("column_name", dtype.alias("dtype"), "row_count", F.lit(len(df.columns)).alias("column_count"), "missing", "unique_values")
 
 
 def profile_tables(tables: Mapping[str, DataFrame], approximate: bool = False) -> DataFrame:
@@ -84,8 +86,30 @@ def surplus_rows(df: DataFrame, *keys: str) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_surplus"))
 
 
-def _metric(df: DataFrame, name: str, value) -> DataFrame:
-    return df.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("metric"), "value")
+def _surplus(*keys: str) -> Column:
+    """The same as an aggregate next to others."""
+    return F.count(F.lit(1)) - F.count_distinct(F.struct(*keys))
+
+
+@dataclass(frozen=True)
+class Measured:
+    """A table and the metrics that one aggregate over it yields; ``frame`` has the table's rows."""
+
+    table: str
+    frame: DataFrame
+    metrics: dict[str, Column]
+
+
+def _measure(parts: list[Measured], with_rows: bool = False) -> DataFrame:
+    """(table_name, metric, value): every table is aggregated once."""
+    found = []
+    for part in parts:
+        metrics = ({"rows": F.count(F.lit(1))} if with_rows else {}) | part.metrics
+        if metrics:
+            row = part.frame.agg(*[c.cast("bigint").alias(m) for m, c in metrics.items()])
+            cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
+            found.append(row.select(F.lit(part.table).alias("table_name"), F.explode(cells).alias("c")).select("table_name", "c.*"))
+    return union_all(found)
 
 
 def validation_report(df: DataFrame) -> DataFrame:
@@ -114,51 +138,60 @@ def validation_report(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ValidationResult:
+    """Whether the required columns are there, and the whole report as a table."""
+
     is_valid: bool
     missing_columns: list[str]
-    warnings: list[str]
+    report: DataFrame
+
+    def warnings(self) -> Iterator[str]:
+        """All warnings as texts, fetched a partition at a time."""
+        for r in self.report.where("severity = 'warning'").orderBy("check_name", "detail").toLocalIterator():
+            yield f"{r.check_name}: {r.detail} ({r.n_rows} rows)" if r.n_rows else f"{r.check_name}: {r.detail}"
 
 
-def validate_deals(df: DataFrame, max_values: int = 1000) -> ValidationResult:
-    """The report as one object; lists at most ``max_values`` findings (the report itself is whole)."""
-    rows = validation_report(df).orderBy("check_name", "detail").limit(max_values).collect()
-    texts = [f"{r.check_name}: {r.detail} ({r.n_rows} rows)" if r.n_rows else f"{r.check_name}: {r.detail}" for r in rows if r.severity == "warning"]
+def validate_deals(df: DataFrame) -> ValidationResult:
     missing = missing_columns(df, REQUIRED_DEAL_COLUMNS)
-    return ValidationResult(not missing, missing, texts)
+    return ValidationResult(not missing, missing, validation_report(df))
+
+
+def _bronze(bronze: Mapping[str, DataFrame]) -> list[Measured]:
+    accounts, facilities = BRONZE["crm_accounts"], BRONZE["los_facilities"]
+    use = F.lower(F.col("expected_utilisation_raw").cast("string"))
+    return [
+        Measured(accounts, bronze[accounts], {
+            "duplicate_crm_account_rows": _surplus("crm_account_id"),
+            "missing_region_rows": F.count_if(F.col("region_raw").isNull()),
+        }),
+        Measured(facilities, bronze[facilities], {
+            "duplicate_facility_rows": _surplus("facility_source_id"),
+            "missing_expected_utilisation_rows": F.count_if(use.isNull() | use.isin(MISSING_UTILISATION)),
+        }),
+    ]
 
 
 def bronze_summary(bronze: Mapping[str, DataFrame]) -> DataFrame:
     """(metric, value) of known source defects."""
-    accounts, facilities = bronze[BRONZE["crm_accounts"]], bronze[BRONZE["los_facilities"]]
-    repeats = F.col("n_surplus")
-    text = F.lower(F.col("expected_utilisation_raw").cast("string"))
-    return union_all([
-        _metric(surplus_rows(accounts, "crm_account_id"), "duplicate_crm_account_rows", F.max(repeats)),
-        _metric(surplus_rows(facilities, "facility_source_id"), "duplicate_facility_rows", F.max(repeats)),
-        _metric(accounts, "missing_region_rows", F.count_if(F.col("region_raw").isNull())),
-        _metric(facilities, "missing_expected_utilisation_rows", F.count_if(text.isNull() | text.isin(MISSING_UTILISATION))),
-    ])
+    return _measure(_bronze(bronze)).select("metric", "value")
 
 
 def dirty_value_summary(bronze: Mapping[str, DataFrame]) -> DataFrame:
     """(metric, value): rows whose raw values were read by a fallback rule."""
-    from lendlens.functions.text import number_or_percent
 
-    opportunities, facilities = bronze[BRONZE["crm_opportunities"]], bronze[BRONZE["los_facilities"]]
-    quotes, risk = bronze[BRONZE["pricing_quotes"]], bronze[BRONZE["risk_assessments"]]
-
-    def unreadable(c: str):
+    def unreadable(c: str) -> Column:
         return F.count_if(F.col(c).isNotNull() & number_or_percent(c).isNull())
 
-    return union_all([
-        _metric(opportunities, "unrecognised_stage_rows", F.count_if(unknown_stage("stage_raw"))),
-        _metric(facilities, "unreadable_utilisation_rows", unreadable("expected_utilisation_raw")),
-        _metric(risk, "unreadable_pd_rows", unreadable("pd_raw")),
-        _metric(risk, "unreadable_lgd_rows", unreadable("lgd_raw")),
-        _metric(risk, "missing_watchlist_flag_rows", F.count_if(F.col("watchlist_flag").isNull())),
-        _metric(quotes, "missing_override_flag_rows", F.count_if(F.col("rm_override_flag").isNull())),
-        _metric(bronze[BRONZE["crm_accounts"]], "missing_account_id_rows", F.count_if(F.col("crm_account_id").isNull())),
-    ])
+    def of(name: str, **metrics: Column) -> Measured:
+        return Measured(BRONZE[name], bronze[BRONZE[name]], metrics)
+
+    return _measure([
+        of("crm_opportunities", unrecognised_stage_rows=F.count_if(unknown_stage("stage_raw"))),
+        of("los_facilities", unreadable_utilisation_rows=unreadable("expected_utilisation_raw")),
+        of("risk_assessments", unreadable_pd_rows=unreadable("pd_raw"), unreadable_lgd_rows=unreadable("lgd_raw"),
+           missing_watchlist_flag_rows=F.count_if(F.col("watchlist_flag").isNull())),
+        of("pricing_quotes", missing_override_flag_rows=F.count_if(F.col("rm_override_flag").isNull())),
+        of("crm_accounts", missing_account_id_rows=F.count_if(F.col("crm_account_id").isNull())),
+    ]).select("metric", "value")
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
@@ -167,28 +200,45 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
     return child.join(keys, key, "left_anti")
 
 
+def _with_parent(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """Child rows with ``_known``: whether the parent table has the key."""
+    keys = parent.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct()
+    return child.join(keys, child[key] == keys["_key"], "left").withColumn("_known", F.col("_key").isNotNull()).drop("_key")
+
+
+def _silver(silver: Mapping[str, DataFrame]) -> list[Measured]:
+    customers, deals, facilities = (SILVER[t] for t in ("customers", "deals", "facilities"))
+    missing = F.count_if(~F.col("_known"))
+    return [
+        Measured(customers, silver[customers], {"duplicate_customer_ids": _surplus("customer_id")}),
+        Measured(deals, _with_parent(silver[deals], silver[customers], "customer_id"), {
+            "deals_missing_customer_reference": missing,
+            "active_deals_with_outcome": F.count_if((F.col("deal_status") == "active") & F.col("deal_outcome").isNotNull()),
+        }),
+        Measured(facilities, _with_parent(silver[facilities], silver[deals], "deal_id"), {"facilities_missing_deal_reference": missing}),
+    ]
+
+
 def silver_summary(silver: Mapping[str, DataFrame]) -> DataFrame:
-    customers, deals, facilities = (silver[SILVER[t]] for t in ("customers", "deals", "facilities"))
-    count = F.count(F.lit(1))
-    return union_all([
-        _metric(surplus_rows(customers, "customer_id"), "duplicate_customer_ids", F.max("n_surplus")),
-        _metric(orphans(deals, customers, "customer_id"), "deals_missing_customer_reference", count),
-        _metric(orphans(facilities, deals, "deal_id"), "facilities_missing_deal_reference", count),
-        _metric(deals, "active_deals_with_outcome", F.count_if((F.col("deal_status") == "active") & F.col("deal_outcome").isNotNull())),
-    ])
+    return _measure(_silver(silver)).select("metric", "value")
+
+
+def _gold(gold: Mapping[str, DataFrame]) -> list[Measured]:
+    training, active, facilities = (GOLD[t] for t in ("deal_training_dataset", "active_deal_scoring_dataset", "facility_economics"))
+    rows = F.count(F.lit(1))
+    return [
+        Measured(training, gold[training], {"training_deals": rows, "training_outcome_values": F.countDistinct("deal_outcome")}),
+        Measured(active, gold[active], {
+            "active_scoring_deals": rows,
+            "active_contains_outcome_column": F.max(F.lit(int("deal_outcome" in gold[active].columns))),
+        }),
+        Measured(facilities, gold[facilities], {"facility_economics_rows": rows}),
+    ]
 
 
 def gold_summary(gold: Mapping[str, DataFrame]) -> DataFrame:
-    training, active = gold[GOLD["deal_training_dataset"]], gold[GOLD["active_deal_scoring_dataset"]]
-    count = F.count(F.lit(1))
-    leak = int("deal_outcome" in active.columns)
-    return union_all([
-        _metric(training, "training_deals", count),
-        _metric(active, "active_scoring_deals", count),
-        _metric(gold[GOLD["facility_economics"]], "facility_economics_rows", count),
-        _metric(training, "training_outcome_values", F.countDistinct("deal_outcome")),
-        _metric(training.sparkSession.range(1), "active_contains_outcome_column", F.max(F.lit(leak))),
-    ])
+    found = _measure(_gold(gold)).select("metric", "value")
+    return found.select("metric", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def training_outcomes(training: DataFrame) -> DataFrame:
@@ -196,31 +246,42 @@ def training_outcomes(training: DataFrame) -> DataFrame:
     return training.select("deal_outcome").where("deal_outcome IS NOT NULL").distinct()
 
 
-def quality_summary(bronze, silver, gold) -> DataFrame:
-    """(layer, metric, value) of all layers plus the warnings raised by them."""
-    layers = union_all([
-        f(tables).withColumn("layer", F.lit(layer))
-        for layer, f, tables in (("bronze", bronze_summary, bronze), ("silver", silver_summary, silver), ("gold", gold_summary, gold))
-    ])
+# Metrics that warn when they are above zero.
+WARNINGS = ["active_deals_with_outcome", "active_contains_outcome_column", "forbidden_columns"]
+
+
+def _measured_layers(bronze, silver, gold, with_rows: bool) -> DataFrame:
+    """(layer, table_name, metric, value) of all layers, computed once."""
+    parts = []
+    for layer, tables, known in (("bronze", bronze, _bronze(bronze)), ("silver", silver, _silver(silver)), ("gold", gold, _gold(gold))):
+        rest = [Measured(t, df, {}) for t, df in tables.items() if with_rows and t not in {m.table for m in known}]
+        parts.append(_measure(known + rest, with_rows).select(F.lit(layer).alias("layer"), "table_name", "metric", F.coalesce("value", F.lit(0)).alias("value")))
     policy = len(forbidden_columns({**bronze, **silver, **gold}))
-    spark = layers.sparkSession
-    static = spark.createDataFrame([("all", "forbidden_columns", policy)], "layer string, metric string, value bigint")
-    metrics = layers.select("layer", "metric", "value").unionByName(static)
-    raised = F.col("metric").isin("active_deals_with_outcome", "active_contains_outcome_column", "forbidden_columns")
-    warnings = metrics.agg(F.count_if(raised & (F.col("value") > 0)).alias("value"))
+    static = parts[0].sparkSession.createDataFrame([("all", None, "forbidden_columns", policy)], "layer string, table_name string, metric string, value bigint")
+    return settle(union_all([*parts, static]))
+
+
+def quality_summary(bronze, silver, gold) -> DataFrame:
+    """(layer, metric, value) of all layers plus the number of warnings raised by them."""
+    metrics = _measured_layers(bronze, silver, gold, with_rows=False).select("layer", "metric", "value")
+    warnings = metrics.agg(F.count_if(F.col("metric").isin(WARNINGS) & (F.col("value") > 0)).alias("value"))
     return metrics.unionByName(warnings.select(F.lit("all").alias("layer"), F.lit("warning_count").alias("metric"), "value"))
 
 
+def quality_warnings(bronze, silver, gold) -> DataFrame:
+    """(layer, warning, value): the warnings themselves."""
+    metrics = _measured_layers(bronze, silver, gold, with_rows=False)
+    return metrics.where(F.col("metric").isin(WARNINGS) & (F.col("value") > 0)).select("layer", F.col("metric").alias("warning"), "value")
+
+
 def run_summary(bronze, silver, gold) -> DataFrame:
-    """(section, item, value): row counts per table and the share of tables with warnings."""
-    tables = {**bronze, **silver, **gold}
-    counts = row_counts(tables).select(
-        F.split("table_name", "_")[0].alias("section"), F.col("table_name").alias("item"), F.col("n_rows").cast("double").alias("value")
-    )
-    summary = quality_summary(bronze, silver, gold)
-    share = summary.where("metric = 'warning_count'").select(
-        F.lit("summary").alias("section"), F.lit("warning_share").alias("item"), (F.col("value") / max(1, len(tables))).alias("value")
-    )
+    """(section, item, value): row counts per table and the share of tables with warnings. Every table is
+    aggregated once, for its rows and its metrics together."""
+    metrics = _measured_layers(bronze, silver, gold, with_rows=True)
+    n_tables = max(1, len(bronze) + len(silver) + len(gold))
+    counts = metrics.where("metric = 'rows'").select(F.col("layer").alias("section"), F.col("table_name").alias("item"), F.col("value").cast("double").alias("value"))
+    raised = F.count_if(F.col("metric").isin(WARNINGS) & (F.col("value") > 0))
+    share = metrics.agg((raised / n_tables).alias("value")).select(F.lit("summary").alias("section"), F.lit("warning_share").alias("item"), "value")
     return counts.unionByName(share)
 
 
@@ -260,4 +321,4 @@ def counted_registry(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Da
     from lendlens.sources.catalog import registry_table
 
     counts = row_counts(tables).select(F.col("table_name").alias("name"), "n_rows")
-    return registry_table(spark).join(counts, "name", "left")
+    return registry_table(spark, tables).join(counts, "name", "left")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions import economics as E
 from lendlens.functions.text import clamp01
-from lendlens.operators.dedupe import first_by, latest_by, latest_curve, small_side
+from lendlens.operators.dedupe import first_by, latest_by, latest_curve
 from lendlens.operators.ordered import percent_rank_columns
+from lendlens.plans.lazy import LazyTables
 from lendlens.session import settle
 from lendlens.sources.catalog import GOLD, SILVER, assert_no_forbidden_columns
 
+# The features of a deal, in the order of the result.
 FEATURES = [
     "deal_id", "customer_id", "rm_id", "customer_segment", "industry", "region",
     "rating_at_offer", "pd_at_offer", "lgd_weighted",
@@ -32,6 +34,7 @@ DEAL_INPUTS = [
     "annualized_fee_bps", "offered_margin_bps", "pricing_zone",
 ]
 
+# Product flags.
 PRODUCT_FLAGS = {
     "has_rcf": "RCF",
     "has_term_loan": "Term Loan",
@@ -40,32 +43,35 @@ PRODUCT_FLAGS = {
 }
 
 
-def facility_inputs(silver: dict[str, DataFrame]) -> DataFrame:
-    """Facilities with their final quote, their risk row and the latest funding curve."""
+def quoted_facilities(silver: Mapping[str, DataFrame]) -> DataFrame:
+    """Facilities with their final quote."""
     quotes = silver[SILVER["pricing_cases"]].where("is_final_quote").select(
         "deal_id", "facility_id", "offered_margin_bps", "upfront_fee_bps", "commitment_fee_bps",
         "utilisation_fee_bps", "arrangement_fee_bps", "floor_margin_bps", "target_margin_bps",
         "stretch_margin_bps", "margin_above_floor_bps",
     )
-    risk = silver[SILVER["risk_assessments"]].select("deal_id", "facility_id", "expected_loss", "rwa", "ead")
     facilities = silver[SILVER["facilities"]].select(
         "deal_id", "facility_id", "product_type", "commitment_amount", "expected_utilization",
         "expected_utilized_volume", "currency", "tenor_months",
     )
-    keys = ["deal_id", "facility_id"]
-    df = facilities.join(quotes, keys).join(risk, keys, "left")
-    df = df.withColumns(
+    return facilities.join(quotes, ["deal_id", "facility_id"]).withColumns(
         {
             "tenor_years": E.tenor_years("tenor_months"),
             "product_group": E.product_group("product_type"),
             "tenor_bucket_months": E.tenor_bucket("tenor_months"),
         }
     )
-    curve = small_side(latest_curve(silver[SILVER["ftp_rates"]]))
+
+
+def facility_inputs(silver: Mapping[str, DataFrame]) -> DataFrame:
+    """Facilities with their final quote, their risk row and the latest funding curve."""
+    risk = silver[SILVER["risk_assessments"]].select("deal_id", "facility_id", "expected_loss", "rwa", "ead")
+    df = quoted_facilities(silver).join(risk, ["deal_id", "facility_id"], "left")
+    curve = settle(latest_curve(silver[SILVER["ftp_rates"]]))
     return df.join(curve, ["currency", "product_group", "tenor_bucket_months"], "left")
 
 
-def facility_economics(silver: dict[str, DataFrame]) -> DataFrame:
+def facility_economics(silver: Mapping[str, DataFrame]) -> DataFrame:
     df = facility_inputs(silver)
     costs = df.withColumns(
         {
@@ -175,7 +181,7 @@ def latest_relationship(snapshots: DataFrame) -> DataFrame:
     return latest_by(snapshots, "customer_id", "snapshot_month")
 
 
-def deal_features(silver: dict[str, DataFrame], economics: DataFrame, deal_econ: DataFrame) -> DataFrame:
+def deal_features(silver: Mapping[str, DataFrame], economics: DataFrame, deal_econ: DataFrame) -> DataFrame:
     """Deals with customer, relationship, economics and risk attributes."""
     customers = silver[SILVER["customers"]].select("customer_id", "customer_segment", "industry", "region")
     relation = latest_relationship(
@@ -230,26 +236,35 @@ def rm_dashboard(features: DataFrame) -> DataFrame:
     )
 
 
-def build_gold(silver: dict[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The five Gold tables.
+def build_gold(silver: Mapping[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] | None = None) -> Mapping[str, DataFrame]:
+    """The five Gold tables, each built when it is first asked for.
 
-    Facility economics feed two consumers and deal economics three. ``keep(name, df)`` cuts both
-    (the pipeline writes and reads them back); without it they are settled once.
+    What several marts are built on is written once, and only if one of them is asked for: facility
+    measures and deal economics. ``keep(name, df)`` is applied to every mart (the pipeline writes it and reads it back);
+    then marts are built on the kept ones.
     """
-    shared = (GOLD["facility_economics"], GOLD["deal_economics"])
-    keep = keep or (lambda name, df: settle(df) if name in shared else df)
 
-    def build(name: str, df: DataFrame) -> DataFrame:
+    def mart(name: str, df: DataFrame) -> DataFrame:
         assert_no_forbidden_columns({name: df})
-        return keep(name, df)
-
-    economics = build(GOLD["facility_economics"], facility_economics(silver))
-    econ = build(GOLD["deal_economics"], deal_economics(economics, silver[SILVER["deals"]]))
-    features = deal_features(silver, economics, econ)
-    return {
-        GOLD["facility_economics"]: economics,
-        GOLD["deal_economics"]: econ,
-        GOLD["deal_training_dataset"]: build(GOLD["deal_training_dataset"], training_set(features)),
-        GOLD["active_deal_scoring_dataset"]: build(GOLD["active_deal_scoring_dataset"], active_set(features)),
-        GOLD["rm_deal_dashboard"]: build(GOLD["rm_deal_dashboard"], rm_dashboard(features)),
-    }
+        return keep(name, df) if keep else df
+
+    def economics() -> DataFrame:
+        """Facility measures for the other marts."""
+        return tables[GOLD["facility_economics"]] if keep else shared["measures"]
+
+    def econ() -> DataFrame:
+        return tables[GOLD["deal_economics"]] if keep else shared["deals"]
+
+    shared = LazyTables({
+        "measures": lambda: settle(facility_economics(silver).select(*DEAL_INPUTS)),
+        "deals": lambda: settle(deal_economics(economics(), silver[SILVER["deals"]])),
+        "features": lambda: deal_features(silver, economics(), econ()),
+    })
+    tables = LazyTables({
+        GOLD["facility_economics"]: lambda: mart(GOLD["facility_economics"], facility_economics(silver)),
+        GOLD["deal_economics"]: lambda: mart(GOLD["deal_economics"], deal_economics(economics(), silver[SILVER["deals"]])),
+        GOLD["deal_training_dataset"]: lambda: mart(GOLD["deal_training_dataset"], training_set(shared["features"])),
+        GOLD["active_deal_scoring_dataset"]: lambda: mart(GOLD["active_deal_scoring_dataset"], active_set(shared["features"])),
+        GOLD["rm_deal_dashboard"]: lambda: mart(GOLD["rm_deal_dashboard"], rm_dashboard(shared["features"])),
+    })
+    return tables

@@ -3,7 +3,8 @@ relationship ranks need their counts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lendlens.functions import standardize as S
 from lendlens.functions.text import clamp01, clean_double, clean_timestamp, number_or_percent, title_case
 from lendlens.operators.dedupe import facility_final_quotes, latest_by
 from lendlens.operators.ordered import percent_rank_columns
+from lendlens.plans.lazy import LazyTables
 from lendlens.session import settle
 from lendlens.sources.catalog import BRONZE, SILVER, assert_no_forbidden_columns
 
@@ -211,28 +213,33 @@ def ftp_rates(raw: DataFrame) -> DataFrame:
     )
 
 
-def build_silver(bronze: dict[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The seven Silver tables.
+def build_silver(bronze: Mapping[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] | None = None) -> Mapping[str, DataFrame]:
+    """The seven Silver tables, each built when it is first asked for.
 
-    ``keep(name, df)`` is applied to each table before others are built on it: the pipeline writes
-    the table and reads it back. Without it the tables with several consumers in Silver and Gold
-    are settled and the others stay lazy.
+    ``keep(name, df)`` is applied to a table before others are built on it: the pipeline writes the
+    table and reads it back. Without it the tables with several consumers in Silver and Gold are settled and the
+    others stay lazy.
     """
     shared = (SILVER["deals"], SILVER["facilities"], SILVER["risk_assessments"])
     keep = keep or (lambda name, df: settle(df) if name in shared else df)
 
-    def build(name: str, df: DataFrame) -> DataFrame:
-        assert_no_forbidden_columns({name: df})
-        return keep(name, df)
-
-    d = build(SILVER["deals"], deals(bronze[BRONZE["crm_opportunities"]], bronze[BRONZE["los_applications"]]))
-    f = build(SILVER["facilities"], facilities(bronze[BRONZE["los_facilities"]], d))
-    rest = {
-        SILVER["customers"]: customers(bronze[BRONZE["crm_accounts"]]),
-        SILVER["pricing_cases"]: pricing_cases(bronze[BRONZE["pricing_quotes"]], f),
-        SILVER["risk_assessments"]: risk_assessments(bronze[BRONZE["risk_assessments"]], f),
-        SILVER["relationship_snapshots"]: relationship_snapshots(bronze[BRONZE["core_relationship_snapshot"]]),
-        SILVER["ftp_rates"]: ftp_rates(bronze[BRONZE["treasury_ftp_rates"]]),
+    def raw(name: str) -> DataFrame:
+        return bronze[BRONZE[name]]
+
+    builders = {
+        "customers": lambda: customers(raw("crm_accounts")),
+        "deals": lambda: deals(raw("crm_opportunities"), raw("los_applications")),
+        "facilities": lambda: facilities(raw("los_facilities"), tables[SILVER["deals"]]),
+        "pricing_cases": lambda: pricing_cases(raw("pricing_quotes"), tables[SILVER["facilities"]]),
+        "risk_assessments": lambda: risk_assessments(raw("risk_assessments"), tables[SILVER["facilities"]]),
+        "relationship_snapshots": lambda: relationship_snapshots(raw("core_relationship_snapshot")),
+        "ftp_rates": lambda: ftp_rates(raw("treasury_ftp_rates")),
     }
-    tables = {SILVER["deals"]: d, SILVER["facilities"]: f, **{name: build(name, df) for name, df in rest.items()}}
-    return {name: tables[name] for name in SILVER.values()}
+
+    def build(name: str) -> DataFrame:
+        df = builders[name]()
+        assert_no_forbidden_columns({SILVER[name]: df})
+        return keep(SILVER[name], df)
+
+    tables = LazyTables({full: partial(build, name) for name, full in SILVER.items()})
+    return tables

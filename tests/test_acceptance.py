@@ -52,8 +52,7 @@ def test_draws_have_the_posterior_moments(spark):
     assert abs(free["beta_1"].corr(free["beta_2"])) < 0.05
     again = acceptance.draw_posterior(spark, POSTERIOR, 5000).toPandas()
     pd.testing.assert_frame_equal(draws, again)
-    with pytest.raises(ValueError):
-        acceptance.draw_posterior(spark, POSTERIOR, acceptance.MAX_DRAWS + 1)
+    assert acceptance.draw_posterior(spark, POSTERIOR, 50_000).count() == 50_000
 
 
 def test_resampling_keeps_rows_joint(spark):
@@ -72,17 +71,42 @@ def test_posterior_predictive(spark, frame, offers):
     z = b[:, 0] + np.outer((offers.rate - 0.06) / 0.03, b[:, 1]) + np.outer((offers.amount - 30_000) / 16_000, b[:, 2])
     np.testing.assert_allclose(got["acceptance_probability"], (1 / (1 + np.exp(-z))).mean(axis=1), atol=1e-12)
     plan = acceptance.posterior_predictive(frame, draws, ["rate", "amount"])._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Generate" not in plan
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_many_draws_keep_the_plan_small(spark, frame):
+    draws = acceptance.draw_posterior(spark, POSTERIOR, 30_000)
+    plan = acceptance.posterior_predictive(frame, draws, ["rate", "amount"])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+
+
+def test_no_verdict_without_convergence(spark, frame):
+    with pytest.raises(RuntimeError):
+        acceptance.fit_posterior(frame, ["rate"], "outcome", 1.0, max_iter=1)
+
+
+def test_expectation_by_price(spark, frame, offers):
+    draws = spark.createDataFrame([(0, -1.0, -3.0), (1, 0.5, -9.0)], "draw_id int, beta_0 double, beta_1 double")
+    got = acceptance.predictive_by_price(frame, draws, "rate").toPandas()
+    assert (got.groupby("draw_id")["n"].sum() == len(offers)).all()
+    for d, b0, b1 in ((0, -1.0, -3.0), (1, 0.5, -9.0)):
+        p = 1 / (1 + np.exp(-(b0 + b1 * offers.rate)))
+        assert got[got.draw_id == d]["expected_accepted"].sum() == pytest.approx(p.sum())
+
+
+def test_price_chain(frame):
+    got = {r.goal: r for r in acceptance.price_chain(frame, n_draws=100).collect()}
+    assert got["revenue"].expected_revenue >= got["profit"].expected_revenue and got["profit"].expected_profit >= got["revenue"].expected_profit
+    assert got["profit"].n_loans == frame.count()
 
 
-def test_prior_predictive_counts(spark, frame, offers):
-    prior = acceptance.draw_prior(spark, 2, 10.0, 12)
-    got = acceptance.prior_predictive(frame, prior, "rate", ["id"]).toPandas()
-    assert got["draw_id"].nunique() == 12 and (got.groupby("draw_id")["n"].sum() == len(offers)).all()
-    assert (got["accepted"] <= got["n"]).all()
-    again = acceptance.prior_predictive(frame.repartition(9), prior, "rate", ["id"]).toPandas()
-    key = ["draw_id", "bin"]
-    pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), again.sort_values(key).reset_index(drop=True))
+def test_one_curve_per_draw(spark):
+    draws = acceptance.draw_posterior(spark, POSTERIOR, 20)
+    curves = acceptance.loan_curves(draws, STATS, "profit", 25_000.0, 0.015).toPandas()
+    band = acceptance.loan_curve(draws, STATS, "profit", 25_000.0, 0.015).toPandas().set_index("rate")
+    assert len(curves) == 20 * 30
+    np.testing.assert_allclose(curves.groupby("rate")["expected_profit"].mean(), band.sort_index()["expected_profit_mean"])
+    assert acceptance.acceptance_curves(draws).count() == 20 * 15 and acceptance.target_prices(draws, STATS).count() == 20 * 8
 
 
 def test_target_price_reaches_target(spark):

@@ -19,7 +19,7 @@ QUICK = [
     "f1_customer_id", "f4_segment", "f8_lost_reason", "f10_parse_utilization", "f23_tenor_bucket", "f32_pricing_zone", "p6_quantile_trim", "j1_opportunity_applications",
     "j3_quote_facilities", "a13_mean_rate_two_keys", "a15_fixed_histogram", "a17_auto_histograms", "w1_latest_by", "w1_latest_by_null_time", "w8_percent_rank",
     "w12_priority_rank", "w13_decile", "q1_profile", "q4_bronze_summary", "m11_roc_auc", "m12_average_precision", "m15_roc_curve", "o3_posterior_summary", "o6_acceptance_curve",
-    "o12_profit_price", "g5_application_status", "g7_ftp_curve", "l3_facility_economics", "s6_parquet_sink", "s9_schema_registry",
+    "o12_profit_price", "g5_application_status", "g7_modelled_ftp", "l3_facility_economics", "s6_parquet_sink", "s9_schema_registry",
 ]
 
 
@@ -67,7 +67,7 @@ def test_every_inventory_family_is_registered():
 
 
 @pytest.mark.parametrize("build", [
-    lambda c: facility_economics({**c.economics_inputs, "silver_ftp_rates": settle(c.ftp)}),  # the curve extract holds a global maximum
+    lambda c: facility_economics({**c.economics_inputs, "silver_ftp_rates": settle(c.ftp)}),
     lambda c: c.pricing, lambda c: c.risk, lambda c: c.deals, lambda c: c.customers, lambda c: c.lazy_features,
 ])
 def test_core_plans(context, build):
@@ -79,9 +79,35 @@ def test_core_plans(context, build):
 def test_scans_read_only_needed_columns(context):
     plan = context["bronze_los_facilities"].select("facility_source_id", "currency")._jdf.queryExecution().executedPlan().toString()
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
-    assert {c.partition(":")[0] for c in schema.split(",")} == {"l_orderkey", "l_linenumber"}
+    assert {c.partition(":")[0] for c in schema.split(",")} == {"l_orderkey", "l_linenumber", "l_suppkey"}
 
 
 def test_tier_filter_reaches_the_scan(context):
     plan = context.offers.where("amount > 50000").select("amount")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_extendedprice,50000.0)" in plan
+
+
+def test_facility_economics_write_no_rank_and_no_deal_table(context, monkeypatch):
+    """A mart is built from what it reads alone."""
+    from lendlens.checks import Context
+    from lendlens.operators import ordered
+    from lendlens.plans import gold
+
+    def refuse(*_args, **_kwargs):
+        raise AssertionError("not needed here")
+
+    monkeypatch.setattr(ordered, "rank_table", refuse)
+    monkeypatch.setattr(gold, "deal_totals", refuse)
+    assert "pricing_zone" in Context(context.spark, SMALL).gold["gold_facility_economics"].columns
+
+
+def test_deal_features_read_neither_risk_nor_curves(context):
+    plan = CHECKS["a7_deal_features"].build(context)._jdf.queryExecution().executedPlan().toString()
+    assert "rating_raw" not in plan and "ftp_bps" not in plan
+
+
+def test_run_summary_scans_each_table_once(context):
+    from lendlens.operators.quality import _bronze, _measure
+
+    plan = _measure(_bronze(context.bronze), with_rows=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("c_custkey") and plan.count("Relation [l_orderkey") == 1

@@ -39,11 +39,8 @@ def test_final_quote_across_raw_ids_of_one_facility(spark):
     assert got == {("FS1", "q2"), ("X-1", "q2")}
 
 
-def test_latest_curve_and_bounded_broadcast(spark):
+def test_latest_curve(spark):
     rows = [("EUR", "Trade", 12, "2024-01-01", 1.0), ("EUR", "Trade", 12, "2024-04-01", 2.0), (None, "Trade", 12, "2024-04-01", 3.0)]
     df = spark.createDataFrame(rows, "currency string, product_group string, tenor_bucket_months int, ftp_curve_date string, ftp_bps double").selectExpr("*", "ftp_bps AS liquidity_cost_bps")
     curve = dedupe.latest_curve(df)
     assert [tuple(r) for r in curve.collect()] == [("EUR", "Trade", 12, 2.0, 2.0)]
-    side = dedupe.small_side(curve)
-    assert "Hint" in side._jdf.queryExecution().logical().toString() and side.count() == 1
-    assert "Hint" not in dedupe.small_side(df, max_rows=2)._jdf.queryExecution().logical().toString()

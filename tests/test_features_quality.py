@@ -44,8 +44,15 @@ def test_validation(spark):
                                "deal_id string, customer_id string, deal_status string, deal_outcome string, commercial_relevance_flag boolean")
     result = quality.validate_deals(df)
     assert result.is_valid
-    assert any("unexpected_outcome: pending" in w for w in result.warnings) and any("duplicate_deal_id" in w for w in result.warnings)
-    assert any("missing_relevance_flag" in w for w in result.warnings)
+    warnings = list(result.warnings())
+    assert any("unexpected_outcome: pending" in w for w in warnings) and any("duplicate_deal_id" in w for w in warnings)
+    assert any("missing_relevance_flag" in w for w in warnings)
+
+
+def test_every_unexpected_outcome_is_listed(spark):
+    df = spark.range(1500).selectExpr("CAST(id AS STRING) AS deal_id", "'c' AS customer_id", "'active' AS deal_status", "concat('odd ', id) AS deal_outcome", "true AS commercial_relevance_flag")
+    warnings = list(quality.validate_deals(df).warnings())
+    assert sum(w.startswith("unexpected_outcome") for w in warnings) == 1500
 
 
 def test_required_columns_and_value_difference(spark):
@@ -57,9 +64,9 @@ def test_required_columns_and_value_difference(spark):
 
 def test_profile_matches_sketch_on_small_data(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", 1.5), (3, None, 1.5)], "i int, s string, d double")
-    exact = {r.column_name: (r.dtype, r.row_count, r.missing, r.unique_values) for r in quality.profile(df).collect()}
-    assert exact == {"i": ("int", 3, 0, 3), "s": ("string", 3, 1, 1), "d": ("double", 3, 1, 1)}
-    sketch = {r.column_name: (r.dtype, r.row_count, r.missing, r.unique_values) for r in quality.profile(df, approximate=True).collect()}
+    exact = {r.column_name: (r.dtype, r.row_count, r.missing, r.unique_values, r.column_count) for r in quality.profile(df).collect()}
+    assert exact == {"i": ("int", 3, 0, 3, 3), "s": ("string", 3, 1, 1, 3), "d": ("double", 3, 1, 1, 3)}
+    sketch = {r.column_name: (r.dtype, r.row_count, r.missing, r.unique_values, r.column_count) for r in quality.profile(df, approximate=True).collect()}
     assert sketch == exact
 
 
@@ -93,9 +100,11 @@ def test_field_lineage_names_real_columns(layers, spark):
         for table, column in ((r.from_table, r.from_column), (r.to_table, r.to_column)):
             if table in tables and column:
                 assert column in tables[table].columns, (table, column)
+    registry = {r["name"]: r for r in catalog.registry_table(spark, tables).collect()}
     for e in catalog.ENTRIES:
         if e.name in tables:
-            assert set(e.columns.split()) <= set(tables[e.name].columns), e.name
+            assert registry[e.name]["columns"] == tables[e.name].columns
+            assert set((e.primary_key or "").split(",")) - {""} | set(e.foreign_keys) <= set(tables[e.name].columns), e.name
 
 
 def test_summaries(layers):
@@ -113,3 +122,5 @@ def test_warning_is_counted(layers):
     poor = silver["silver_deals"].withColumn("deal_outcome", F.lit("won"))
     summary = quality.quality_summary(bronze, {**silver, "silver_deals": poor}, gold).where("metric = 'warning_count'").first()
     assert summary.value == 1
+    found = quality.quality_warnings(bronze, {**silver, "silver_deals": poor}, gold).collect()
+    assert [(r.layer, r.warning) for r in found] == [("silver", "active_deals_with_outcome")] and found[0].value > 0

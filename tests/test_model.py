@@ -54,15 +54,32 @@ def test_constant_column_scales_by_one(spark):
     assert model.fit_imputation(df, ["x"], []).scale["x"] == (5.0, 1.0)
 
 
-def test_hash_split_is_stable_and_stratified(frame):
+def test_hash_split_is_stable(frame):
     train, test = model.hash_split(frame, ["deal_id"], 0.25, 42)
     again = model.hash_split(frame.repartition(13), ["deal_id"], 0.25, 42)[1]
     assert {r.deal_id for r in test.collect()} == {r.deal_id for r in again.collect()}
     assert train.count() + test.count() == frame.count() and train.join(test, "deal_id").count() == 0
-    shares = {(r.part, r.label): r.n for r in model.split_shares(train, test, "deal_outcome").collect()}
-    for label in ("won", "lost"):
+
+
+def test_split_gives_every_class_its_share(frame):
+    rare = frame.withColumn("cls", F.when(F.col("deal_id") < "D0021", "rare").otherwise(F.col("deal_outcome")))
+    train, test = model.stratified_split(rare, "cls", ["deal_id"], 0.25, 42)
+    again = model.stratified_split(rare.repartition(13), "cls", ["deal_id"], 0.25, 42)[1]
+    assert {r.deal_id for r in test.collect()} == {r.deal_id for r in again.collect()}
+    assert train.count() + test.count() == frame.count() and train.join(test, "deal_id").count() == 0
+    shares = {(r.part, r.label): r.n for r in model.split_shares(train, test, "cls").collect()}
+    for label in ("won", "lost", "rare"):
         n = shares[("test", label)] + shares[("train", label)]
-        assert abs(shares[("test", label)] / n - 0.25) < 0.08
+        assert abs(shares[("test", label)] - 0.25 * n) <= 1
+
+
+def test_feature_without_values_is_left_out(frame):
+    data = frame.withColumn("empty", F.lit(None).cast("double")).withColumn("_label", F.when(F.col("deal_outcome") == "won", 1).otherwise(0))
+    with pytest.warns(UserWarning, match="empty"):
+        fitted = model.fit_logistic(data, "_label", [*FEATURES, "empty"])
+    assert model.add_win_probability(fitted, data).where("win_probability IS NULL").count() == 0
+    names = [n for n, _ in model.coefficients(fitted)]
+    assert names[0] == "intercept" and "rating=BB" in names and "watch" in names and "empty" not in names
 
 
 def test_coefficients_match_newton(spark, frame, deals):
@@ -91,6 +108,8 @@ def test_coefficients_match_newton(spark, frame, deals):
 def test_training_scoring_and_unseen_level(spark, frame, tmp_path):
     fitted, metrics = model.train_win_model(frame, "deal_outcome", FEATURES, ["deal_id"])
     assert 0.5 < metrics["roc_auc"] <= 1 and 0 < metrics["brier_score"] < 0.3
+    flat = dict(model.flat_metrics(metrics))
+    assert sum(flat[f"confusion_matrix.{i}.{j}"] for i in (0, 1) for j in (0, 1)) == pytest.approx(frame.count() / 4, abs=2)
     active = frame.limit(50).withColumn("rating", F.lit("CCC")).drop("deal_outcome")
     ranked = model.score_active_deals(fitted, active, ["deal_id"]).orderBy("priority_rank").toPandas()
     assert ranked["priority_rank"].tolist() == list(range(1, 51))

@@ -95,18 +95,23 @@ def test_no_single_partition(spark, frame, build):
     assert "SinglePartition" not in plan and "BatchEvalPython" not in plan and "NestedLoop" not in plan
 
 
-def test_few_values_are_broadcast_and_many_are_not(spark, frame, monkeypatch):
-    df = to_spark(spark, frame, 4)
-
-    def joins(out):
-        return out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
-
-    assert joins(ordered.percent_rank_columns(df, {"r": "few"})) >= 2  # block offsets and the ranks
-    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 3)
-    many = ordered.percent_rank_columns(df, {"r": "few"})
-    assert joins(many) == 1
-    got = many.toPandas().sort_values("id")
-    np.testing.assert_allclose(got["r"].to_numpy(), frame["few"].rank(pct=True).to_numpy(), atol=1e-15)
+def test_wide_rows_are_shuffled_once_for_any_number_of_ranks(spark, frame):
+    df = to_spark(spark, frame, 4).withColumn("payload", F.repeat(F.lit("x"), 5))
+    out = ordered.percent_rank_columns(df, {"r1": "hot", "r2": "few", "r3": "id"})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        physical = out.drop("r1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = [line for line in plan.splitlines() if "Join" in line]
+    assert sum("_row" in line for line in wide) == 1 and "payload" in physical
+
+
+def test_any_number_of_labels_is_a_series(spark):
+    df = spark.range(100_000).select(F.concat(F.lit("s"), F.col("id")).alias("label"), (F.col("id") % 7).cast("double").alias("x"))
+    got = ordered.prefix_counts(df, "x", "label")
+    assert got.where("n_total <> 1 OR n_before <> 0").count() == 0 and got.count() == 100_000
 
 
 def test_modes_take_the_smallest_on_ties(spark):
