@@ -16,7 +16,7 @@ from lendlens.llm.common import same, slices
 
 #: The training sample: at most so many toxic and so many unlabelled documents, those with the
 #: smallest hash of their id. What is learnt from is bounded; what is scored is not.
-MAX_TOXIC, MAX_UNLABELLED = 4_000, 12_000
+MAX_TOXIC, MAX_UNLABELLED = 3_000, 9_000
 MIN_DOCS = 8  # documents of the sample that hold a word at least, to be a feature
 FEATURES = 1_000  # words that differ most between the two parts of the sample ...
 LEAST_Z = 4.0  # ... by so many standard errors at least
