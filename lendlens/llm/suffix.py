@@ -371,7 +371,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     reach, key_size = length - length // 2, length // 2
     found = settle(_find_anchors(docs, length))
     keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
-    again = keys.where("times > 1").select("key", (F.col("lo") != F.col("hi")).alias("several"))
+    # written, so that both sides of the join are plain exchanges and a hot key is split at run time
+    again = settle(keys.where("times > 1").select("key", (F.col("lo") != F.col("hi")).alias("several")))
     seen = settle(found.join(again, "key"))
 
     place = F.struct("doc_id", "_th", "pos")
