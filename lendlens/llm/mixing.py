@@ -90,11 +90,11 @@ def take_copies(df: DataFrame, **options) -> DataFrame:
     Decisions meet the rows by (doc_id, source, size); rows equal in all three are told apart by a
     number, so that repeated ids multiply nothing.
     """
-    wide = df.withColumn("_size", word_count(F.col("text")))
+    wide = df.withColumn("__size", word_count(F.col("text")))
     chosen = mix(df, **options)
-    key = ["doc_id", "source", "_size"]
-    chosen = chosen.withColumnRenamed("size", "_size").select(*key, "copies")
-    chosen = chosen.withColumn("_twin", F.row_number().over(Window.partitionBy(*key).orderBy("copies"))).where("copies > 0")
-    wide = wide.withColumn("_twin", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
-    taken = wide.join(chosen, same(wide, chosen, *key, "_twin"))
+    key = ["doc_id", "source", "__size"]
+    chosen = chosen.withColumnRenamed("size", "__size").select(*key, "copies")
+    chosen = chosen.withColumn("__twin", F.row_number().over(Window.partitionBy(*key).orderBy("copies"))).where("copies > 0")
+    wide = wide.withColumn("__twin", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    taken = wide.join(chosen, same(wide, chosen, *key, "__twin"))
     return taken.select(*[wide[c] for c in df.columns], F.explode(F.array_repeat(F.lit(1), chosen["copies"]))).select(*df.columns)

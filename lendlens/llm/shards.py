@@ -65,7 +65,8 @@ def shard_rows(df: DataFrame, order: Sequence[Column], shards: int, seed: int =
     depends on the rows and the seed, not on partitions or runs. Pass narrow rows: they are sorted
     once by a range exchange and written to the checkpoint folder; only one count per sort block
     reaches the driver. Nulls in the order sort first; rows that tie in all of it may swap places
-    with each other. An empty table stays empty; columns named like the added ones are replaced.
+    with each other. An empty table stays empty; columns named like the added ones are replaced, and names that begin
+    with an underscore are reserved.
     """
     kept = df.drop("row_number", "shard", "slot")
     numbered = row_numbers(kept, order, "_n", "_total")

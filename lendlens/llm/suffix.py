@@ -237,7 +237,7 @@ def repeated_offsets(groups: np.ndarray, lefts: Sequence[bytes], rights: Sequenc
 
 # --- the operator ----------------------------------------------------------------------------------
 
-_KEY = ("doc_id", "_th")
+_KEY = ("doc_id", "__th")
 
 
 def _find_anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -260,19 +260,19 @@ def _find_anchors(docs: DataFrame, length: int) -> DataFrame:
             sizes = np.array(list(map(len, texts)), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(row)), batch.column("_th").take(pa.array(row)),
+                    batch.column("doc_id").take(pa.array(row)), batch.column("__th").take(pa.array(row)),
                     pa.array(np.concatenate(found)), pa.array(sizes[row]),
                     pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(contexts, np.uint64).view(np.int64)),
                 ],
-                ["doc_id", "_th", "pos", "n", "key", "ctx"],
+                ["doc_id", "__th", "pos", "n", "key", "ctx"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, _th long, pos long, n long, key long, ctx long")
+    return docs.mapInArrow(run, f"doc_id {kind}, __th long, pos long, n long, key long, ctx long")
 
 
 def _fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(key, ctx, c, left, right) for one occurrence of every wanted context."""
-    lists = wanted.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("pos", "key", "ctx", "c")).alias("places"))
+    lists = wanted.groupBy("doc_id", "__th").agg(F.collect_list(F.struct("pos", "key", "ctx", "c")).alias("places"))
     met = docs.join(lists, same(docs, lists, *_KEY)).select(docs["text"], lists["places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,9 +364,9 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, _th, spans): byte ranges that repeated strings cover, overlapping, for documents that have any.
+    """(doc_id, __th, spans): byte ranges that repeated strings cover, overlapping, for documents that have any.
 
-    ``docs`` holds doc_id, text and ``_th``, a hash of the text.
+    ``docs`` holds doc_id, text and ``__th``, a hash of the text.
     """
     reach, key_size = length - length // 2, length // 2
     found = settle(_find_anchors(docs, length))
@@ -375,7 +375,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = settle(keys.where("times > 1").select("key", (F.col("lo") != F.col("hi")).alias("several")))
     seen = settle(found.join(again, "key"))
 
-    place = F.struct("doc_id", "_th", "pos")
+    place = F.struct("doc_id", "__th", "pos")
     contexts = settle(
         seen.where("several").groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at"))
         .select("key", "ctx", "c", "at.*")
@@ -389,18 +389,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         offsets = some.union(others.select(*some.columns))
 
     alone = seen.where("NOT several").select(
-        "doc_id", "_th", "pos", F.greatest(F.lit(0), length - F.least(F.lit(length), F.col("n") - F.col("pos"))).alias("least"),
+        "doc_id", "__th", "pos", F.greatest(F.lit(0), length - F.least(F.lit(length), F.col("n") - F.col("pos"))).alias("least"),
         F.least(F.lit(reach), F.col("pos")).alias("largest"),
     ).where("least <= largest")
-    shared = seen.where("several").join(offsets, ["key", "ctx"]).select("doc_id", "_th", "pos", "least", "largest")
+    shared = seen.where("several").join(offsets, ["key", "ctx"]).select("doc_id", "__th", "pos", "least", "largest")
     spans = alone.union(shared).select(
-        "doc_id", "_th", F.struct((F.col("pos") - F.col("largest")).alias("start"), (F.col("pos") - F.col("least") + length).alias("stop")).alias("s")
+        "doc_id", "__th", F.struct((F.col("pos") - F.col("largest")).alias("start"), (F.col("pos") - F.col("least") + length).alias("stop")).alias("s")
     )
-    return spans.groupBy("doc_id", "_th").agg(F.collect_list("s").alias("spans"))
+    return spans.groupBy("doc_id", "__th").agg(F.collect_list("s").alias("spans"))
 
 
 def _with_hash(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_th", F.xxhash64("text"))
+    return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__th", F.xxhash64("text"))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -439,8 +439,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(df: DataFrame, length: int = LENGTH) -> DataFrame:
     """``df`` with repeated strings taken out of ``text`` and ``n_chars`` counted anew; no row is dropped. What is left of a
     character that was cut is left out. Rows are told apart by doc_id and a hash of their text."""
-    wide = df.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_th", F.xxhash64("_text"))
-    docs = wide.select("doc_id", F.col("_text").alias("text"), "_th")
+    wide = df.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__th", F.xxhash64("__text"))
+    docs = wide.select("doc_id", F.col("__text").alias("text"), "__th")
     lists = repeated_spans(docs, length)
 
     @F.arrow_udf("string")
@@ -451,8 +451,8 @@ def without_repeats(df: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])]).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
-    met = wide.join(lists, same(wide, lists, *_KEY), "left").select(*[wide[c] for c in df.columns], lists["spans"].alias("_spans"))
-    text = F.when(F.col("_spans").isNotNull(), cut(F.coalesce("text", F.lit("")), F.col("_spans"))).otherwise(F.col("text"))
+    met = wide.join(lists, same(wide, lists, *_KEY), "left").select(*[wide[c] for c in df.columns], lists["spans"].alias("__spans"))
+    text = F.when(F.col("__spans").isNotNull(), cut(F.coalesce("text", F.lit("")), F.col("__spans"))).otherwise(F.col("text"))
     done = met.withColumn("text", text)
     if "n_chars" in df.columns:
         done = done.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))

@@ -116,5 +116,5 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", default:
             })
         return pa.array(out, result)
 
-    judged = df.withColumn("_judged", judge(F.col(url)))
-    return judged.withColumns({c: F.col(f"_judged.{c}") for c in ("host", "path", "rule", "verdict")}).drop("_judged")
+    judged = df.withColumn("__judged", judge(F.col(url)))
+    return judged.withColumns({c: F.col(f"__judged.{c}") for c in ("host", "path", "rule", "verdict")}).drop("__judged")

@@ -65,6 +65,12 @@ def test_rows_are_taken_as_often_as_chosen(spark):
     assert take_copies(df.limit(0)).count() == mix(df.limit(0)).count() == 0
 
 
+def test_clashing_names_pass_through(spark):
+    df = frame(spark).selectExpr("*", "doc_id AS _size", "'t' AS _twin", "1 AS copies", "2 AS target")
+    rows = take_copies(df).collect()
+    assert all(r["_size"] == r["doc_id"] and r["_twin"] == "t" and r["copies"] == 1 and r["target"] == 2 for r in rows) and rows
+
+
 def test_word_count(spark):
     texts = [None, "", " \t\n", "a", " a\x0bb\x0cc ", "a\u00a0b c\x1fd"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

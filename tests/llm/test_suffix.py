@@ -73,6 +73,11 @@ def test_texts_without_repeats(spark):
     assert without_repeats(df.limit(0)).columns == df.columns and remove_repeats(df.limit(0)).count() == 0
 
 
+def test_clashing_names_pass_through(spark):
+    df = spark.createDataFrame([(1, "x" * 90, 5, "a", 7)], "doc_id long, text string, _th int, _text string, _spans int")
+    assert [tuple(r) for r in without_repeats(df, 40).collect()] == [(1, "", 5, "a", 7)]
+
+
 def test_deep_shallow_sort():
     rng = random.Random(1)
     for _ in range(100):
