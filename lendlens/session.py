@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,10 +62,32 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, on leaving, the intermediate tables that were written inside; results must be
+    written or collected before. Tables of other runs in the folder are not touched."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        jvm = spark.sparkContext._jvm
+        for path in paths:
+            location = jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh path in the folder that holds intermediate tables."""
     _checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/lendlens-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/lendlens-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:

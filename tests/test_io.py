@@ -48,3 +48,16 @@ def test_unknown_format_fails_before_any_job(spark, tmp_path):
 def test_head(spark):
     df = spark.createDataFrame([(3,), (1,), (2,), (5,)], "i int")
     assert [r.i for r in tables.head(df, ["i"]).collect()] == [1, 2, 3]
+
+
+def test_scope_removes_its_own_tables_only(spark):
+    from lendlens.session import scratch_scope, settle
+
+    kept = settle(spark.range(3))
+    with scratch_scope(spark):
+        inner = settle(spark.range(5))
+        assert inner.count() == 5
+        path = inner.inputFiles()[0]
+    assert kept.count() == 3
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
