@@ -206,5 +206,5 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.3)
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array([model.score(t or "") for t in texts.to_pylist()], pa.float64())
 
-    kept = documents.withColumn("_toxicity", scored(F.col("text"))).where(F.col("_toxicity") < threshold)
+    kept = documents.withColumn("__toxicity", scored(F.col("text"))).where(F.col("__toxicity") < threshold)
     return kept.select(*documents.columns)
