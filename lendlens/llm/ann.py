@@ -20,7 +20,7 @@ SAMPLE = 16_384
 LIST = 128  # vectors meant for a list, before replicas
 REPLICAS = 3  # lists that a vector near a boundary may stand in
 EDGE = 1.12  # ... if their centroids are at most so much farther than the nearest
-PRUNE = 1.14  # a query reads the lists whose centroids are at most so much farther than the nearest
+PRUNE = 1.16  # a query reads the lists whose centroids are at most so much farther than the nearest
 BEAM = 256  # centroids that a search keeps in view
 LINKS, FAR_LINKS = 16, 4  # graph links of a centroid: to its nearest, and to any others
 PART = 1024  # rows of a list, or queries of it, in one task
