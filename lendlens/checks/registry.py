@@ -27,9 +27,9 @@ from lendlens.checks.star import StarSource
 class Context:
     """Lazy access to extracts, Silver and Gold of one folder; nothing is built before it is asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, spread: int | None = None):
         self.spark, self.folder = tune(spark), folder
-        self.source = StarSource(spark, folder)
+        self.source = StarSource(spark, folder, spread)
         self._extracts: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -203,9 +203,9 @@ def _sql_value(name: str, code: str) -> str:
     return name
 
 
-def run_check(key: str, spark: SparkSession, folder: str) -> DataFrame:
+def run_check(key: str, spark: SparkSession, folder: str, spread: int | None = None) -> DataFrame:
     c = CHECKS[key]
-    return c.build(Context(spark, folder)).select(*[_spark_value(n, code) for n, code in c.columns])
+    return c.build(Context(spark, folder, spread)).select(*[_spark_value(n, code) for n, code in c.columns])
 
 
 def _referenced(text: str) -> list[str]:
