@@ -20,6 +20,7 @@ QUICK = [
     "j3_quote_facilities", "a13_mean_rate_two_keys", "a15_fixed_histogram", "a17_auto_histograms", "w1_latest_by", "w1_latest_by_null_time", "w8_percent_rank",
     "w12_priority_rank", "w13_decile", "q1_profile", "q4_bronze_summary", "m11_roc_auc", "m12_average_precision", "m15_roc_curve", "o3_posterior_summary", "o6_acceptance_curve",
     "o12_profit_price", "g5_application_status", "g7_modelled_ftp", "l3_facility_economics", "s6_parquet_sink", "s9_schema_registry",
+    "f15_case_folds", "m4_one_hot", "m5_split", "t3_seeded_sample", "o4_prior_predictive", "o8_profit_curves", "o13_split", "q2_profile_tables",
 ]
 
 
