@@ -48,24 +48,35 @@ def mean_and_count(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mean_rate"), F.count(F.lit(1)).alias("n_loans"))
 
 
-def quantile_trim(df: DataFrame, value: str, low: float = 0.025, high: float = 0.975, by: str | None = None) -> DataFrame:
-    """Rows strictly between two exact quantiles, of the whole frame or of each ``by`` label."""
+def quantile_trim(df: DataFrame, value: str, low: float = 0.025, high: float = 0.975, by: str | None = None, weight: str | None = None) -> DataFrame:
+    """Rows strictly between two exact quantiles, of the whole frame or of each ``by`` label; ``weight`` says how
+    many rows a row stands for."""
     if by is None:
-        bounds = quantiles(df, value, [low, high]).first()
+        bounds = quantiles(df, value, [low, high], weight=weight).first()
         if bounds is None:
             return df.where(F.lit(False))
         return df.where((F.col(value) > bounds["q0"]) & (F.col(value) < bounds["q1"]))
-    bounds = quantiles(df, value, [low, high], by).select(F.col(by).alias("_by"), "q0", "q1")
+    bounds = quantiles(df, value, [low, high], by, weight).select(F.col(by).alias("_by"), "q0", "q1")
     inside = (F.col(by) == F.col("_by")) & (F.col(value) > F.col("q0")) & (F.col(value) < F.col("q1"))
     return df.join(settle(bounds), inside, "left_semi")
 
 
 def trimmed_correlation(df: DataFrame, value: str, label: str, by: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(series, n_rows, correlation) on trimmed rows, for the whole frame ('all') and per ``by`` label."""
-    pair = F.array(F.lit("all"), F.col(by).cast("string"))
-    both = df.select(F.explode(pair).alias("series"), value, label).where("series IS NOT NULL")
-    kept = quantile_trim(both, value, low, high, "series")
-    return kept.groupBy("series").agg(F.count(F.lit(1)).alias("n_rows"), F.corr(value, label).alias("correlation"))
+    """(series, n_rows, correlation) on trimmed rows, for the whole frame ('all') and per ``by`` label.
+
+    The rows are read once and counted by value; bounds and sums are taken from the counted values."""
+    known = F.col(value).isNotNull() & F.col(label).isNotNull()
+    counted = settle(df.where(F.col(value).isNotNull()).groupBy(F.col(by).cast("string").alias("_by"), F.col(value).cast("double").alias("x")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("m"), F.sum(label).cast("double").alias("s"), F.sum(F.col(label) * F.col(label)).cast("double").alias("q")
+    ))
+    both = counted.select(F.explode(F.array(F.lit("all"), F.col("_by"))).alias("series"), "x", "n", "m", "s", "q").where("series IS NOT NULL")
+    kept = quantile_trim(both, "x", low, high, "series", "n").groupBy("series").agg(
+        F.sum("n").alias("n_rows"), F.sum("m").alias("m"), F.sum("s").alias("sy"), F.sum("q").alias("syy"),
+        F.sum(F.col("m") * F.col("x")).alias("sx"), F.sum(F.col("m") * F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("s") * F.col("x")).alias("sxy"),
+    )
+    spread_x, spread_y = (F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("m") for c in "xy")
+    common = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("m")
+    return kept.select("series", "n_rows", F.try_divide(common, F.sqrt(spread_x * spread_y)).alias("correlation"))
 
 
 def edge_bin(value: Column, edges: Sequence[float]) -> Column:
@@ -95,10 +106,12 @@ def rate_histogram(df: DataFrame, value: str, label: str, by: str, edges: Sequen
 
 
 def auto_histograms(df: DataFrame, measures: Sequence[str], keys: Sequence[str], bins: int = 10) -> DataFrame:
-    """(measure, keys…, lo, hi, bin, n): equal bins between the extremes of each measure and group."""
+    """(measure, keys…, lo, hi, bin, n): equal bins between the extremes of each measure and group. The rows are
+    read once and counted by value."""
     cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])
-    long = df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.measure", "c.x").where("x IS NOT NULL")
     group = ["measure", *keys]
+    values = df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.measure", "c.x").where("x IS NOT NULL")
+    long = settle(values.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("n")))
     spans = long.groupBy(*group).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi")).select(
         *group,
         F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
@@ -108,7 +121,7 @@ def auto_histograms(df: DataFrame, measures: Sequence[str], keys: Sequence[str],
     return (
         long.join(settle(spans), group)
         .groupBy(*group, "lo", "hi", F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 

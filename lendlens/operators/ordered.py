@@ -31,19 +31,20 @@ def _sorted_blocks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def prefix_counts(df: DataFrame, value: str, series: str | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+def prefix_counts(df: DataFrame, value: str, series: str | None = None, sums: dict[str, Column] | None = None, weight: str | None = None) -> DataFrame:
     """Per distinct value: ``n`` rows and the requested sums, plus each of them summed over all
     smaller values of the same series (``n_before``, ``<name>_before``) and over the whole series
     (``n_total``, ``<name>_total``). Null values are left out.
 
-    ``series`` may have any number of labels; ``sums`` must be integer expressions.
+    ``series`` may have any number of labels; ``sums`` must be integer expressions. ``weight`` names a column that
+    says how many rows a row stands for.
     """
     sums = sums or {}
     keys = ([series] if series else []) + [value]
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("bigint").alias(k) for k, c in sums.items()])
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(c).cast("bigint").alias(k) for k, c in sums.items()])
     )
     measures = ["n", *sums]
     blocks = _sorted_blocks(counted, [F.col(k) for k in keys])
@@ -138,15 +139,16 @@ def row_numbers(df: DataFrame, order: Sequence[Column], output: str = "row_numbe
     )
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], series: str | None = None) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], series: str | None = None, weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per series with columns ``q0``, ``q1``, …
 
     Reads the order statistics off the running counts, so no task holds the values of a series.
     """
     data = df.select(
-        (F.col(series) if series else F.lit(0)).alias("series"), F.col(value).cast("double").alias("value")
+        (F.col(series) if series else F.lit(0)).alias("series"), F.col(value).cast("double").alias("value"),
+        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("weight"),
     ).where("value IS NOT NULL")
-    counts = prefix_counts(data, "value", "series")
+    counts = prefix_counts(data, "value", "series", weight="weight")
 
     def order_stat(position: Column) -> Column:
         hit = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
