@@ -8,7 +8,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlens.llm.common import byte_list, same, slices
@@ -153,11 +153,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     )
 
 
-def keep_one(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` whose key is the smallest of its group, one row of each group.
+def survivors(df: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of ``df`` for each ``root`` of ``named`` (doc_id, text_hash, root), which has a row for every row of ``df``.
 
-    Rows that repeat the kept key are left out too: the one with the smallest text hash stays."""
-    groups = near_duplicates(df, **options)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    once = df.join(kept, same(df, kept, "doc_id"), "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    The row of a root with the smallest id stays, null ids last, then the one with the smallest text hash (xxhash64), whatever
+    other roots hold rows under the same id. Of rows equal in both the smallest hash of all columns stays."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_hash")).alias("_first")
+    kept = named.groupBy("root").agg(first).select("_first.doc_id", F.col("_first.text_hash").alias("__text"))
+    rows = df.withColumn("__text", F.xxhash64("text"))
+    once = rows.join(kept, same(rows, kept, "doc_id", "__text"), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.xxhash64(*df.columns)))
+    return once.withColumn("__place", place).where("__place = 1").select(*df.columns)
+
+
+def keep_one(df: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each group that links of ``radius`` bits connect, as ``survivors`` chooses it."""
+    rows = df.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("_row"), "text")
+    fps = settle(fingerprints(rows, "_row", "text", width))
+    roots = components(near_links(fps, radius))
+    named = fps.join(roots, fps["fp"] == roots["node"], "left")
+    named = named.select("_row.doc_id", "_row.text_hash", F.coalesce("root", "fp").alias("root"))
+    return survivors(df, named)

@@ -76,3 +76,21 @@ def test_components_of_a_path_a_star_and_loops(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    base = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdefgh"]
+    rows = [
+        (None, base[0], "x"), (None, base[1], "x"), (None, base[1], "x"),  # two groups without any id
+        (1, base[2], "x"), (7, base[2], "x"), (7, base[3], "x"),  # 7 repeats: one row is a copy of 1, the other is not
+        (8, base[4], "x"), (8, base[5], "x"), (None, base[5], "x"),  # 8 stands for two texts
+        (9, base[6], "b"), (9, base[6], "a"), (10, None, "x"), (11, "", "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    empty = next((k, t) for k, t in got if not t)
+    assert empty == (10, None)
+    assert got == Counter([(None, base[0]), (None, base[1]), (1, base[2]), (7, base[3]), (8, base[4]), (8, base[5]), (9, base[6]), (10, None)])
+    assert keep_one(df.limit(0)).count() == 0
