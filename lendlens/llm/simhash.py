@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendlens.llm.common import byte_list, same, slices
+from lendlens.llm.common import byte_list, slices
 from lendlens.llm.components import components
 from lendlens.session import settle
 
@@ -160,9 +160,12 @@ def survivors(df: DataFrame, named: DataFrame) -> DataFrame:
     other roots hold rows under the same id. Of rows equal in both the smallest hash of all columns stays."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_hash")).alias("_first")
     kept = named.groupBy("root").agg(first).select("_first.doc_id", F.col("_first.text_hash").alias("__text"))
-    rows = df.withColumn("__text", F.xxhash64("text"))
-    once = rows.join(kept, same(rows, kept, "doc_id", "__text"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.xxhash64(*df.columns)))
+    # keys without nulls, by which the join and the window share one shuffle of the texts
+    id_key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
+    keys = [*id_key, "__text"]
+    rows = df.withColumns({**id_key, "__text": F.xxhash64("text")})
+    once = rows.join(kept.withColumns(id_key).select(*keys), keys, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*df.columns)))
     return once.withColumn("__place", place).where("__place = 1").select(*df.columns)
 
 
