@@ -20,8 +20,10 @@ SAMPLE = 16_384
 LIST = 128  # vectors meant for a list, before replicas
 REPLICAS = 3  # lists that a vector near a boundary may stand in
 EDGE = 1.12  # ... if their centroids are at most so much farther than the nearest
-PRUNE = 1.14  # a query reads the lists whose centroids are at most so much farther than the nearest
-BEAM = 256  # centroids that a search keeps in view
+PRUNE = 1.14  # a query reads the lists whose centroids are at most so much farther than the nearest, or more:
+#: as far as it takes to reach a share of ``TARGET`` of the true neighbours of ``PROBES`` queries
+TARGET, PROBES = 0.95, 256
+BEAM = 256  # centroids that a search keeps in view at first; twice as many until the limit is in view
 LINKS, FAR_LINKS = 16, 4  # graph links of a centroid: to its nearest, and to any others
 PART = 1024  # rows of a list, or queries of it, in one task
 
@@ -137,15 +139,65 @@ class Index:
         r, c = np.nonzero(near)
         return r, lists[r, c]
 
-    def readings(self, queries: np.ndarray, sizes: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    def asked(self, queries: np.ndarray) -> np.ndarray:
+        return self.lifted(queries * (self.norm / np.sqrt((queries**2).sum(1)))[:, None], self.norm)
+
+    def readings(self, queries: np.ndarray, sizes: np.ndarray, enough: int, ratio: float = PRUNE) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs that queries read: all within the distance ratio, and as many as hold ``enough`` rows."""
-        scaled = queries * (self.norm / np.sqrt((queries**2).sum(1)))[:, None]
-        lists, dist = self.search(self.lifted(scaled, self.norm), BEAM)
-        limit = PRUNE * np.maximum(dist[:, :1], self.radius)
-        held = np.cumsum(np.where(lists >= 0, sizes[lists], 0), axis=1)
-        before = np.concatenate([np.zeros((len(held), 1)), held[:, :-1]], axis=1)
-        r, c = np.nonzero((lists >= 0) & ((dist <= limit) | (before < enough)))
-        return r, lists[r, c]
+        points, todo, beam, found = self.asked(queries), np.arange(len(queries)), BEAM, []
+        while len(todo):
+            lists, dist = self.search(points[todo], beam)
+            limit = ratio * np.maximum(dist[:, :1], self.radius)
+            held = np.cumsum(np.where(lists >= 0, sizes[lists], 0), axis=1)
+            before = np.concatenate([np.zeros((len(held), 1)), held[:, :-1]], axis=1)
+            # a view whose farthest centroid is still to be read may hide others
+            whole = (beam >= len(self.centroids)) | ((dist[:, -1] > limit[:, 0]) & (before[:, -1] >= enough))
+            r, c = np.nonzero((lists >= 0) & ((dist <= limit) | (before < enough)) & whole[:, None])
+            found.append((todo[r], lists[r, c]))
+            todo, beam = todo[~whole], 2 * beam
+        rows, lists = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        return rows, lists
+
+
+def reach(known: DataFrame, asked: DataFrame, homes: DataFrame, index: Index, k: int) -> float:
+    """The distance ratio within which a share of ``TARGET`` of the true neighbours of a sample of queries stand.
+
+    At most ``PROBES`` queries, those with the smallest hash of their id, are compared with every vector."""
+    probes = asked.orderBy(F.xxhash64(F.lit("probe"), "query_id"), "query_id").limit(PROBES).toArrow()
+    if not probes.num_rows:
+        return PRUNE
+    width = index.centroids.shape[1] - 1
+    own, x = probes.column("query_id").to_numpy(), matrix(probes.column("vector").combine_chunks(), width)
+    shared = known.sparkSession.sparkContext.broadcast((own, x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, x = shared.value
+        best = np.full((len(own), 2 * k), -np.inf)
+        ids = np.zeros(best.shape, np.int64)
+        rows = np.arange(len(own))[:, None]
+        for batch in slices(batches, 4096):
+            new = batch.column(0).to_numpy()
+            scores = np.where(own[:, None] == new[None, :], -np.inf, x @ matrix(batch.column(1), width).T)
+            scores, names = np.concatenate([best, scores], 1), np.concatenate([ids, np.broadcast_to(new, scores.shape)], 1)
+            at = np.argpartition(-scores, 2 * k - 1, axis=1)[:, : 2 * k]
+            best, ids = scores[rows, at], names[rows, at]
+        r, c = np.nonzero(np.isfinite(best))
+        columns = [pa.array(r.astype(np.int32)), pa.array(ids[r, c]), pa.array(best[r, c])]
+        yield pa.RecordBatch.from_arrays(columns, ["probe", "vec_id", "score"])
+
+    met = known.select("vec_id", "vector").mapInArrow(run, "probe int, vec_id long, score double")
+    met = met.groupBy("probe", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("probe").orderBy(F.col("score").desc(), "vec_id"))
+    true = met.withColumn("place", place).where(F.col("place") <= k).select("probe", "vec_id")
+    # at most PROBES * k neighbours with the lists that hold them
+    found = true.join(homes.select("vec_id", "list"), "vec_id").distinct().toPandas()
+    if found.empty:
+        return PRUNE
+    dist = np.sqrt(_squares(index.asked(x), index.centroids))
+    far = dist / np.maximum(dist.min(axis=1, keepdims=True), index.radius)
+    found["ratio"] = far[found["probe"].to_numpy(), found["list"].to_numpy()]
+    ratios = np.sort(found.groupby(["probe", "vec_id"])["ratio"].min().to_numpy())
+    return max(PRUNE, float(ratios[int(np.ceil(TARGET * len(ratios))) - 1]) * (1 + 1e-9))
 
 
 def _score(k: int):
@@ -184,7 +236,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     no part. Centroids come from a bounded sample; every vector is listed with its nearest centroid and, near a boundary,
     with up to ``REPLICAS``. A list of any size is read whole: lists and the queries that read them are dealt into parts
     of about ``PART`` rows, so a very common vector spreads over tasks. If the lists in reach hold too few rows, a query
-    reads on in the order of distance. Ids that repeat count once, with their best score. An empty table gives an empty result.
+    reads on in the order of distance. How far queries read is measured on a sample of them against all vectors (``reach``). Ids that repeat count once, with their best score. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     known = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
@@ -221,7 +273,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     for row in homes.groupBy("list").count().collect():  # at most one row per centroid
         sizes[row["list"]] = row["count"]
     enough = REPLICAS * (k + 1)
-    readings = settle(asked.mapInArrow(listed("query_id", lambda ix, x: ix.readings(x, sizes, enough)), f"list int, query_id long, vector {dict(asked.dtypes)['vector']}"))
+    ratio = reach(known, asked, homes, index, k)
+    readings = settle(asked.mapInArrow(listed("query_id", lambda ix, x: ix.readings(x, sizes, enough, ratio)), f"list int, query_id long, vector {dict(asked.dtypes)['vector']}"))
     readers = np.zeros(k_lists, np.int64)
     for row in readings.groupBy("list").count().collect():
         readers[row["list"]] = row["count"]

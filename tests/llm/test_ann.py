@@ -57,3 +57,33 @@ def test_few_and_no_rows(spark):
     asked = vectors.where("vec_id = 0").withColumnRenamed("vec_id", "query_id")
     assert [tuple(r) for r in nearest(vectors, asked).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.0)]
     assert nearest(vectors.limit(0), asked).count() == 0 and nearest(vectors, asked.limit(0)).count() == 0
+
+
+def test_all_lists_within_the_ratio_are_read(monkeypatch):
+    from lendlens.llm import ann
+
+    monkeypatch.setattr(ann, "BEAM", 16)
+    x = np.random.default_rng(4).normal(size=(3200, 64))
+    index = ann.Index.fit(x, float(np.sqrt((x**2).sum(1).max())), 240)
+    k = len(index.centroids)
+    r, lists = index.readings(x[:50], np.full(k, 1000), 63)
+    points = index.lifted(x[:50] * (index.norm / np.sqrt((x[:50] ** 2).sum(1)))[:, None], index.norm)
+    dist = np.sqrt(((points[:, None] - index.centroids[None]) ** 2).sum(-1))
+    want = np.argwhere(dist <= ann.PRUNE * np.maximum(dist.min(1, keepdims=True), index.radius))
+    found = {tuple(p) for p in want.tolist()} & set(zip(r.tolist(), lists.tolist()))
+    assert len(want) > 50 * 16 and len(found) >= 0.99 * len(want)  # the graph search itself is approximate
+
+
+def test_the_ratio_follows_the_measured_recall(spark, monkeypatch):
+    from lendlens.llm import ann
+
+    monkeypatch.setattr(ann, "PRUNE", 1.0)
+    monkeypatch.setattr(ann, "EDGE", 1.0)
+    x = np.random.default_rng(6).normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    got: dict = {}
+    for r in nearest(vectors, vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(np.arange(3000), x, range(0, 3000, 20), 20)
+    assert sum(len({i for i, _ in own} & got[q]) for q, own in want.items()) >= 0.9 * 20 * len(want)
