@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import ann, bpe, chat, mih, mixing, shards, simhash, suffix, toxicity, urls
+from lendlens.llm import align, ann, bpe, chat, mih, mixing, ppm, shards, simhash, suffix, toxicity, tries, urls
 from lendlens.llm.common import importable, table
 from lendlens.session import tune
 
@@ -186,3 +186,54 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@register("op11_prefix_trie", """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS seq FROM turns GROUP BY conv_id
+), heads AS (
+  -- the bytes of the decimal number go through the bitwise CRC-32
+  SELECT conv_id, seq, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+      lambda c, i: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 9 AS h
+  FROM own
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.seq[1:a.h], []), a.seq[a.h + 1:]) AS seq
+  FROM heads a LEFT JOIN heads b ON b.conv_id = a.conv_id - a.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, len(seq) AS total, seq[1:d] AS seq, d AS depth FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT depth, seq, min(conv_id) AS conv_id, count(*) AS n_convs, max(total) AS deepest,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE total = depth), '') AS ends
+  FROM prefixes GROUP BY depth, seq
+), weights AS (
+  SELECT *, CASE WHEN depth > 0 THEN (n_convs - 1) * octet_length(encode(seq[depth].text)) ELSE 0 END AS saved FROM nodes
+), below AS (
+  SELECT a.depth, a.conv_id, sum(CASE WHEN b.deepest = b.depth THEN 1 ELSE 0 END) AS n_leaves, sum(b.saved) AS saved_tokens,
+    sum(CASE WHEN b.depth = a.depth + 1 THEN 1 ELSE 0 END) AS n_children
+  FROM weights a JOIN weights b ON b.depth >= a.depth AND b.seq[1:a.depth] = a.seq GROUP BY a.depth, a.conv_id
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN below USING (depth, conv_id) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.seq = n.seq[1:n.depth - 1]
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return tries.prefix_trie(
+        table(spark, folder, "conversations"), base=lambda c: c - c % 5, head=lambda c: F.crc32(c.cast("string")) % 9, most=8
+    )
+
+
+@register("op12_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    documents, _ = align.align(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return documents
+
+
+@register("op13_language")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))))
+    found = ppm.predict(docs, model)
+    return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
