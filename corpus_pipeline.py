@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import bpe, mixing, similar, suffix, toxicity
+from lendlens.llm import bpe, mixing, simhash, suffix, toxicity
 from lendlens.llm.common import importable, table
 from lendlens.llm.queries import tokenizer_path
 from lendlens.session import settle, tune
@@ -22,9 +22,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingle similarities of 0.8 or more link."""
+    """One document of each group that fingerprints of three-word shingles link within two bits."""
     importable(tune(spark))
-    return similar.keep_one_similar(docs)
+    return simhash.keep_one(docs, width=3, radius=2)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
