@@ -57,8 +57,8 @@ _table("l2_gold_active_deal_scoring_dataset", FEATURES + " expected_close_date:t
        lambda c: c.gold["gold_active_deal_scoring_dataset"])
 _table("l2_gold_rm_deal_dashboard", DASHBOARD, "gold_rm_deal_dashboard", lambda c: c.gold["gold_rm_deal_dashboard"])
 _table("l3_facility_economics", ECONOMICS, "gold_facility_economics", lambda c: c.economics)
-_table("l4_training_features", FEATURES.replace(" deal_complexity_score:f", "") + " deal_status deal_outcome commercial_relevance_flag", "deal_feature_rows",
-       lambda c: c.lazy_features)
+_table("l4_training_features", FEATURES + " deal_status deal_outcome commercial_relevance_flag", "deal_feature_rows", lambda c: c.features)
+_table("l4_training_features_as_of", FEATURES + " deal_status deal_outcome commercial_relevance_flag", "deal_feature_rows_as_of", lambda c: c.features_as_of)
 _table("l5_rm_dashboard", DASHBOARD, "gold_rm_deal_dashboard", lambda c: gold.rm_dashboard(c.lazy_features))
 
 
@@ -118,6 +118,19 @@ def _(ctx):
     return gold.facility_inputs(ctx.economics_inputs)
 
 
+@check("j7_facility_ftp_as_of", "facility_id ftp_bps:f liquidity_cost_bps:f", "SELECT facility_id, ftp_bps, liquidity_cost_bps FROM facility_costs_as_of")
+def _(ctx):
+    return gold.facility_economics(ctx.past_silver, as_of=True)
+
+
+@check("j11_deal_relationship_as_of", "deal_id application_id existing_product_count:f days_since_last_contact:f relationship_strength_score:f",
+       """SELECT d.deal_id, d.application_id, existing_product_count, days_since_last_contact, relationship_strength_score FROM silver_deals d
+       JOIN known_deals k ON d.deal_id = k.deal_id ASOF LEFT JOIN silver_relationship_history l ON d.customer_id = l.customer_id AND k.known_until >= l.snapshot_month""")
+def _(ctx):
+    deals = ctx.kept_deals
+    return gold.with_relationship(deals, ctx.past_silver["silver_relationship_snapshots"], gold.known_until(deals))
+
+
 @check("j8_deal_reference", "deal_id customer_id rm_id number_of_facilities:i",
        "SELECT s.deal_id, o.customer_id, o.rm_id, s.number_of_facilities FROM deal_sums s JOIN deal_owner o ON s.deal_id = o.deal_id")
 def _(ctx):

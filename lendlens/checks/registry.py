@@ -132,6 +132,26 @@ class Context:
         econ = gold.deal_economics(self.kept_economics, self.kept_deals, with_complexity=False)
         return gold.deal_features(self.silver, self.kept_economics, econ)
 
+    @cached_property
+    def features(self) -> DataFrame:
+        """Deal features with all scores."""
+        return gold.deal_features(self.silver, self.kept_economics, gold.deal_economics(self.kept_economics, self.kept_deals))
+
+    @cached_property
+    def past_silver(self) -> Mapping[str, DataFrame]:
+        """Silver with a relationship history that reaches back to the first deals."""
+        return {**self.silver_parts, "silver_relationship_snapshots": silver.relationship_snapshots(self["relationship_history"])}
+
+    @cached_property
+    def features_as_of(self) -> DataFrame:
+        """Deal features from the curve and the relationship known at each decision."""
+        economics = settle(gold.facility_economics(self.past_silver, as_of=True).select(*gold.DEAL_INPUTS))
+        return gold.deal_features(self.past_silver, economics, gold.deal_economics(economics, self.kept_deals), as_of=True)
+
+    @property
+    def silver_parts(self) -> dict[str, DataFrame]:
+        return {name: self.silver[name] for name in self.silver if name != "silver_relationship_snapshots"}
+
     @cached_property
     def scored(self) -> DataFrame:
         """(deal_id, y, p): every deal with a label and a score computed from its attributes."""

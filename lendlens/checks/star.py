@@ -206,6 +206,16 @@ def _snapshots(d: Dialect) -> str:
     FROM customer {d.times('12', 'month')} WHERE c_custkey % 47 <> 12"""
 
 
+def _history(d: Dialect) -> str:
+    """Snapshots that reach back as far as the orders: one for every month in which a customer ordered."""
+    return f"""
+    SELECT concat('AC-', {text('o_custkey')}) AS crm_account_id, CAST(date_trunc('month', o_orderdate) AS {d.timestamp}) AS snapshot_month,
+      max(o_totalprice) AS total_existing_exposure, min(o_totalprice) AS total_drawn_amount, max(o_totalprice) / 5 AS deposit_balance_avg,
+      CAST(1 + count(*) AS INT) AS existing_product_count, max(o_totalprice) / 9 AS relationship_revenue_ltm, min(o_totalprice) / 30 AS relationship_cost_ltm,
+      max(o_totalprice) / 20 AS relationship_margin_ltm, CAST(max(o_orderkey % 140) AS INT) AS days_since_last_contact, max(o_orderdate) AS source_extract_ts
+    FROM orders WHERE o_custkey % 47 <> 12 GROUP BY o_custkey, date_trunc('month', o_orderdate)"""
+
+
 def _activities(d: Dialect) -> str:
     return f"""
     SELECT concat('EV', {text('event_id')}) AS activity_id, concat('AC-', {text('user_id')}) AS crm_account_id,
@@ -235,6 +245,7 @@ EXTRACTS: dict[str, tuple[Callable[[Dialect], str], list[str]]] = {
     "bronze_core_relationship_snapshot": (_snapshots, ["customer"]),
     "bronze_rm_activities": (_activities, ["events"]),
     "loan_offers": (_offers, ["lineitem"]),
+    "relationship_history": (_history, ["orders"]),
 }
 
 
@@ -243,7 +254,7 @@ def extract_sql(name: str, dialect: Dialect = ANSI) -> str:
 
 
 # Extracts that begin with an aggregate, whose exchange deals out their rows anyway.
-AGGREGATED = {"bronze_pricing_quotes", "bronze_risk_assessments", "bronze_treasury_ftp_rates"}
+AGGREGATED = {"bronze_pricing_quotes", "bronze_risk_assessments", "bronze_treasury_ftp_rates", "relationship_history"}
 
 
 class StarSource:

@@ -3,6 +3,8 @@ Spark plans. The extracts share their text with the Spark side (they are the inp
 
 from __future__ import annotations
 
+import re
+
 from lendlens.checks.star import EXTRACTS, extract_sql
 
 TABLES: dict[str, str] = {name: extract_sql(name) for name in EXTRACTS}
@@ -263,3 +265,32 @@ TABLES["scored_deals"] = """
   SELECT deal_no, CASE WHEN stage_raw = 'Closed Won' THEN 1 ELSE 0 END AS y, (deal_no * 7919 % 99991) / 99991e0 AS p
   FROM (SELECT CAST(substring(opportunity_id, 4) AS BIGINT) AS deal_no, stage_raw FROM bronze_crm_opportunities) o
   WHERE lower(stage_raw) LIKE '%closed%'"""
+
+# What was known at a deal's decision: the same tables on the curve and the snapshot of that time.
+TABLES["known_deals"] = "SELECT deal_id, coalesce(max(decision_date), TIMESTAMP '9999-12-31') AS known_until FROM silver_deals GROUP BY deal_id"
+
+TABLES["silver_relationship_history"] = TABLES["silver_relationship_snapshots"].replace("bronze_core_relationship_snapshot", "relationship_history")
+
+TABLES["facility_costs_as_of"] = TABLES["facility_costs"].replace("SELECT f.*, p.", "SELECT f.* EXCLUDE (known_until), p.").replace(
+    "THEN 'Guarantee' ELSE 'Trade' END AS product_group FROM silver_facilities)",
+    "THEN 'Guarantee' ELSE 'Trade' END AS product_group FROM silver_facilities JOIN known_deals USING (deal_id))",
+).replace(
+    "LEFT JOIN latest_ftp c ON", "ASOF LEFT JOIN silver_ftp_rates c ON"
+) + " AND f.known_until >= c.ftp_curve_date"
+
+_CHAIN = [
+    "facility_costs", "facility_margins", "gold_facility_economics", "deal_anchor", "deal_sums", "gold_deal_economics", "risk_weighted",
+    "deal_rating", "deal_risk",
+]
+
+
+def _as_of(sql: str) -> str:
+    return re.sub(r"\b(" + "|".join(_CHAIN) + r")\b", r"\1_as_of", sql)
+
+
+for _name in _CHAIN[1:]:
+    TABLES[f"{_name}_as_of"] = _as_of(TABLES[_name])
+
+TABLES["deal_feature_rows_as_of"] = _as_of(TABLES["deal_feature_rows"]).replace("FROM silver_deals d", "FROM silver_deals d JOIN known_deals k ON d.deal_id = k.deal_id").replace(
+    "LEFT JOIN latest_relationship l ON d.customer_id = l.customer_id", "ASOF LEFT JOIN silver_relationship_history l ON d.customer_id = l.customer_id AND k.known_until >= l.snapshot_month"
+)

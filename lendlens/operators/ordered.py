@@ -21,13 +21,13 @@ from lendlens.session import settle
 _BLOCK_BITS = 33  # monotonically_increasing_id keeps the partition above, the row below
 
 
-def _sorted_blocks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Globally sorted rows, settled, with the block number and the position in the block."""
-    ids = settle(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+def sorted_blocks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Globally sorted rows, settled, with the number of their block (``__block``) and their position in it (``__pos``, from 0)."""
+    ids = settle(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
     return ids.select(
         *df.columns,
-        F.shiftright("_id", _BLOCK_BITS).cast("int").alias("_block"),
-        F.col("_id").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("_pos"),
+        F.shiftright("__id", _BLOCK_BITS).cast("int").alias("__block"),
+        F.col("__id").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("__pos"),
     )
 
 
@@ -47,26 +47,26 @@ def prefix_counts(df: DataFrame, value: str, series: str | None = None, sums: di
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(c).cast("bigint").alias(k) for k, c in sums.items()])
     )
     measures = ["n", *sums]
-    blocks = _sorted_blocks(counted, [F.col(k) for k in keys])
-    block_keys = ([series] if series else []) + ["_block"]
+    blocks = sorted_blocks(counted, [F.col(k) for k in keys])
+    block_keys = ([series] if series else []) + ["__block"]
     totals = blocks.groupBy(*block_keys).agg(*[F.sum(m).cast("bigint").alias(m) for m in measures])
     # one row per sorted block of a series, so a window task holds as many rows as there are sort partitions
-    of_series = Window.partitionBy(F.col(series) if series else F.col("_block") * 0)
-    earlier = of_series.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    of_series = Window.partitionBy(F.col(series) if series else F.col("__block") * 0)
+    earlier = of_series.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     table = totals.select(
-        *[F.col(k).alias(f"_t{k}") for k in block_keys],
-        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures],
+        *[F.col(k).alias(f"__t{k}") for k in block_keys],
+        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"__off_{m}") for m in measures],
         *[F.sum(m).over(of_series).alias(f"{m}_total") for m in measures],
     )
-    w = Window.partitionBy(*block_keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = blocks.select("*", *[(F.sum(m).over(w) - F.col(m)).alias(f"_in_{m}") for m in measures])
-    same_block = running["_block"] == table["_t_block"]
+    w = Window.partitionBy(*block_keys).orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = blocks.select("*", *[(F.sum(m).over(w) - F.col(m)).alias(f"__in_{m}") for m in measures])
+    same_block = running["__block"] == table["__t__block"]
     if series:
-        same_block = same_block & running[series].eqNullSafe(table[f"_t{series}"])
+        same_block = same_block & running[series].eqNullSafe(table[f"__t{series}"])
     return running.join(table, same_block).select(
         *[running[k] for k in keys],
         *measures,
-        *[(F.col(f"_in_{m}") + F.col(f"_off_{m}")).alias(f"{m}_before") for m in measures],
+        *[(F.col(f"__in_{m}") + F.col(f"__off_{m}")).alias(f"{m}_before") for m in measures],
         *[f"{m}_total" for m in measures],
     )
 
@@ -93,13 +93,13 @@ def percent_rank_columns(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
     ranks. A hot value is split at run time. The rows are written once to give each a number.
     """
     columns = list(dict.fromkeys(ranks.values()))
-    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    rows = settle(df.withColumn("__row", F.monotonically_increasing_id()))
     cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns])
-    narrow = rows.select("_row", F.explode(cells).alias("c")).select("_row", "c.series", "c.value").where("value IS NOT NULL")
-    found = narrow.join(rank_table(rows, columns), ["series", "value"]).groupBy("_row").agg(
+    narrow = rows.select("__row", F.explode(cells).alias("c")).select("__row", "c.series", "c.value").where("value IS NOT NULL")
+    found = narrow.join(rank_table(rows, columns), ["series", "value"]).groupBy("__row").agg(
         *[F.max(F.when(F.col("series") == column, F.col("pct"))).alias(output) for output, column in ranks.items()]
     )
-    return rows.join(found, "_row", "left").select(*df.columns, *ranks)
+    return rows.join(found, "__row", "left").select(*df.columns, *ranks)
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -124,50 +124,101 @@ def row_numbers(df: DataFrame, order: Sequence[Column], output: str = "row_numbe
 
     The range exchange cuts inside ties of the leading column, so equal leading values spread out.
     """
-    blocks = _sorted_blocks(df, order)
+    blocks = sorted_blocks(df, order)
     before, offsets = 0, []
     # one row per sort partition
-    for row in blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).orderBy("_block").collect():
-        offsets.append((row["_block"], before))
+    for row in blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("n")).orderBy("__block").collect():
+        offsets.append((row["__block"], before))
         before += row["n"]
     n = before
-    table = df.sparkSession.createDataFrame(offsets, "_block int, _off bigint")
-    return blocks.join(F.broadcast(table), "_block").select(
+    table = df.sparkSession.createDataFrame(offsets, "__block int, __off bigint")
+    return blocks.join(F.broadcast(table), "__block").select(
         *df.columns,
-        (F.col("_off") + F.col("_pos") + 1).alias(output),
+        (F.col("__off") + F.col("__pos") + 1).alias(output),
         *([F.lit(n).cast("bigint").alias(total)] if total else []),
     )
 
 
+_DIGIT = 16  # bits of an ordered number that one round of the selection settles
+
+
+def ordered_bits(value: Column) -> Column:
+    """A bigint that orders as the double does, infinities and, above them, NaN included; 0.0 and -0.0 are 0.
+
+    The magnitude is the bit pattern of the IEEE double: its exponent, found by a logarithm and put right by exact powers of two, and the
+    52 bits behind it. All steps are exact, so ``double_of`` gives the value back.
+    """
+    size = F.abs(value)
+    finite = F.when(size < F.lit(float("inf")), size)  # NaN is larger than infinity
+    near = F.greatest(F.floor(F.log2(F.when(finite > 0, finite))), F.lit(-1022)).cast("int")
+    power = F.lit(2.0)
+    exponent = F.greatest(near + F.when(finite >= F.pow(power, near + 1), 1).when(finite < F.pow(power, near), -1).otherwise(0), F.lit(-1022))
+    # two halves, because the inverse of the largest power is no normal number
+    share = finite * F.pow(power, -F.floor(exponent / 2)) * F.pow(power, F.floor(exponent / 2) - exponent)
+    bits = (exponent + 1022).cast("bigint") * F.lit(1 << 52) + (share * F.lit(float(1 << 52))).cast("bigint")
+    infinite = F.lit(2047 << 52)
+    bits = F.when(F.isnan(value), infinite + 1).when(size == F.lit(float("inf")), infinite).when(size == 0, 0).otherwise(bits)
+    return F.when(value < 0, -bits).otherwise(bits).cast("bigint")
+
+
+def double_of(bits: Column) -> Column:
+    """The double whose ``ordered_bits`` these are."""
+    size = F.abs(bits)
+    exponent = F.greatest(F.shiftright(size, 52), F.lit(1))
+    share = (size - (exponent - 1) * F.lit(1 << 52)) / F.lit(float(1 << 52))
+    value = share * F.pow(F.lit(2.0), (exponent - 1023).cast("double"))
+    value = F.when(size > F.lit(2047 << 52), F.lit(float("nan"))).when(size == F.lit(2047 << 52), F.lit(float("inf"))).otherwise(value)
+    return F.when(bits < 0, -value).otherwise(value)
+
+
+def _selected(data: DataFrame, series: str, ranks: DataFrame) -> DataFrame:
+    """(series, rank, value): the order statistics of (series, bits, weight) rows at the 0-based ranks (series, rank).
+
+    Radix selection. Each round counts the next ``_DIGIT`` bits of the rows that still share their leading bits with a wanted rank: at
+    most 2^16 counted rows per series and rank, combined on the map side. Running counts name the
+    digit of every rank, and only its rows are read on. No row is sorted, and no task holds the rows of a series.
+    """
+    rounds = 64 // _DIGIT
+    wanted = ranks.withColumns({"lead": F.lit(0).cast("bigint"), "rest": F.col("rank")})
+    for r in range(rounds):
+        wanted = settle(wanted)
+        shift = 64 - _DIGIT * (r + 1)
+        digit = F.shiftright("bits", shift) if r == 0 else F.shiftright("bits", shift).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+        lead = F.lit(0).cast("bigint") if r == 0 else F.shiftright("bits", shift + _DIGIT)
+        rows = data.select("series", lead.alias("lead"), digit.alias("digit"), "weight")
+        if r:
+            rows = rows.join(wanted.select("series", "lead").distinct(), ["series", "lead"], "left_semi")
+        counted = rows.groupBy("series", "lead", "digit").agg(F.sum("weight").alias("n"))
+        order = Window.partitionBy("series", "lead").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bands = counted.withColumn("until", F.sum("n").over(order)).withColumn("before", F.col("until") - F.col("n"))
+        found = bands.join(wanted, ["series", "lead"]).where("before <= rest AND rest < until")
+        step = F.col("digit") if r == 0 else F.col("lead") * F.lit(1 << _DIGIT) + F.col("digit")
+        wanted = found.select("series", "rank", step.alias("lead"), (F.col("rest") - F.col("before")).alias("rest"))
+    return wanted.select("series", "rank", double_of(F.col("lead")).alias("value"))
+
+
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], series: str | None = None, weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per series with columns ``q0``, ``q1``, …
 
-    Reads the order statistics off the running counts, so no task holds the values of a series.
+    The two order statistics around each quantile are found by radix selection: the values are written once as narrow
+    rows and counted in four rounds, all series and quantiles together. Rows without series are left out.
     """
-    data = df.select(
-        (F.col(series) if series else F.lit(0)).alias("series"), F.col(value).cast("double").alias("value"),
+    data = settle(df.select(
+        (F.col(series) if series else F.lit(0)).alias("series"), ordered_bits(F.col(value).cast("double")).alias("bits"),
         (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("weight"),
-    ).where("value IS NOT NULL")
-    counts = prefix_counts(data, "value", "series", weight="weight")
-
-    def order_stat(position: Column) -> Column:
-        hit = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
-        return F.max(F.when(hit, F.col("value")))
-
-    aggs = []
-    for i, p in enumerate(probs):
-        place = (F.col("n_total") - 1) * F.lit(float(p))
-        aggs += [
-            order_stat(F.floor(place)).alias(f"lo{i}"),
-            order_stat(F.ceil(place)).alias(f"hi{i}"),
-            F.max(place - F.floor(place)).alias(f"w{i}"),
-        ]
-    stats = counts.groupBy("series").agg(F.max("n_total").alias("n_values"), *aggs)
-    out = [
-        (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"q{i}")
-        for i in range(len(probs))
-    ]
-    return stats.select(F.col("series").alias(series or "series"), "n_values", *out)
+    ).where("bits IS NOT NULL"))
+    if series:
+        data = data.where("series IS NOT NULL")
+    totals = settle(data.groupBy("series").agg(F.sum("weight").alias("n_values")))
+    places = [(F.col("n_values") - 1) * F.lit(float(p)) for p in probs]
+    ends = F.array_distinct(F.array(*[f(p) for p in places for f in (F.floor, F.ceil)]))
+    stats = _selected(data, "series", totals.select("series", F.explode(ends).alias("rank")))
+    held = stats.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    out = []
+    for i, p in enumerate(places):
+        low, high = F.try_element_at("at", F.floor(p)), F.try_element_at("at", F.ceil(p))
+        out.append((low + (high - low) * (p - F.floor(p))).alias(f"q{i}"))
+    return totals.join(held, "series").select(F.col("series").alias(series or "series"), "n_values", *out)
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lendlens.functions import economics as E
 from lendlens.functions.text import clamp01
+from lendlens.operators.asof import as_of_join
 from lendlens.operators.dedupe import first_by, latest_by, latest_curve
 from lendlens.operators.ordered import percent_rank_columns
 from lendlens.plans.lazy import LazyTables
@@ -63,16 +64,28 @@ def quoted_facilities(silver: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def facility_inputs(silver: Mapping[str, DataFrame]) -> DataFrame:
-    """Facilities with their final quote, their risk row and the latest funding curve."""
+def known_until(deals: DataFrame) -> DataFrame:
+    """(deal_id, known_until): what was known at a deal's decision may explain it; an undecided deal knows all."""
+    dated = deals.select("deal_id", "decision_date").groupBy("deal_id").agg(F.max("decision_date").alias("known_until"))
+    forever = F.lit("9999-12-31 00:00:00").cast(dated.schema["known_until"].dataType)
+    return dated.withColumn("known_until", F.coalesce("known_until", forever))
+
+
+def facility_inputs(silver: Mapping[str, DataFrame], as_of: bool = False) -> DataFrame:
+    """Facilities with their final quote, their risk row and the latest funding curve, or with ``as_of`` the one
+    that was the latest when the deal was decided."""
     risk = silver[SILVER["risk_assessments"]].select("deal_id", "facility_id", "expected_loss", "rwa", "ead")
     df = quoted_facilities(silver).join(risk, ["deal_id", "facility_id"], "left")
+    keys = ["currency", "product_group", "tenor_bucket_months"]
+    if as_of:
+        dated = settle(df.join(known_until(silver[SILVER["deals"]]), "deal_id", "left"))
+        return as_of_join(dated, silver[SILVER["ftp_rates"]], keys, "known_until", "ftp_curve_date", ["ftp_bps", "liquidity_cost_bps"])
     curve = settle(latest_curve(silver[SILVER["ftp_rates"]]))
-    return df.join(curve, ["currency", "product_group", "tenor_bucket_months"], "left")
+    return df.join(curve, keys, "left")
 
 
-def facility_economics(silver: Mapping[str, DataFrame]) -> DataFrame:
-    df = facility_inputs(silver)
+def facility_economics(silver: Mapping[str, DataFrame], as_of: bool = False) -> DataFrame:
+    df = facility_inputs(silver, as_of)
     costs = df.withColumns(
         {
             "ftp_bps": F.coalesce("ftp_bps", F.lit(E.DEFAULT_FTP_BPS)),
@@ -181,14 +194,20 @@ def latest_relationship(snapshots: DataFrame) -> DataFrame:
     return latest_by(snapshots, "customer_id", "snapshot_month")
 
 
-def deal_features(silver: Mapping[str, DataFrame], economics: DataFrame, deal_econ: DataFrame) -> DataFrame:
-    """Deals with customer, relationship, economics and risk attributes."""
+def with_relationship(deals: DataFrame, snapshots: DataFrame, as_of: DataFrame | None = None) -> DataFrame:
+    """Deals with the latest snapshot of their customer, or the latest one not after ``as_of`` (deal_id, known_until)."""
+    measures = ["relationship_strength_score", "existing_product_count", "days_since_last_contact"]
+    slim = snapshots.select("customer_id", "snapshot_month", *measures)
+    if as_of is None:
+        return deals.join(latest_relationship(slim).drop("snapshot_month"), "customer_id", "left")
+    dated = deals.join(as_of, "deal_id", "left")
+    return as_of_join(dated, slim, "customer_id", "known_until", "snapshot_month", measures).drop("known_until")
+
+
+def deal_features(silver: Mapping[str, DataFrame], economics: DataFrame, deal_econ: DataFrame, as_of: bool = False) -> DataFrame:
+    """Deals with customer, relationship, economics and risk attributes. With ``as_of`` the relationship is the one
+    known at the decision; ``economics`` should be built the same way."""
     customers = silver[SILVER["customers"]].select("customer_id", "customer_segment", "industry", "region")
-    relation = latest_relationship(
-        silver[SILVER["relationship_snapshots"]].select(
-            "customer_id", "snapshot_month", "relationship_strength_score", "existing_product_count", "days_since_last_contact"
-        )
-    ).drop("snapshot_month")
     risk = risk_by_deal(silver[SILVER["risk_assessments"]], economics)
     deals = silver[SILVER["deals"]].select(
         "deal_id", "customer_id", "rm_id", "deal_status", "deal_outcome", "commercial_relevance_flag",
@@ -201,11 +220,11 @@ def deal_features(silver: Mapping[str, DataFrame], economics: DataFrame, deal_ec
         & (F.col("customer_id") == F.col("_customer"))
         & F.col("rm_id").eqNullSafe(F.col("_rm")),
     ).drop("_deal", "_customer", "_rm")
-    return (
-        matched.join(risk, "deal_id", "left")
-        .join(customers, "customer_id", "left")
-        .join(relation, "customer_id", "left")
-    )
+    described = matched.join(risk, "deal_id", "left").join(customers, "customer_id", "left")
+    if as_of:
+        described = settle(described)  # read for the questions and for the rows
+    known = known_until(silver[SILVER["deals"]]) if as_of else None
+    return with_relationship(described, silver[SILVER["relationship_snapshots"]], known)
 
 
 def training_set(features: DataFrame) -> DataFrame:
@@ -236,8 +255,11 @@ def rm_dashboard(features: DataFrame) -> DataFrame:
     )
 
 
-def build_gold(silver: Mapping[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] | None = None) -> Mapping[str, DataFrame]:
-    """The five Gold tables, each built when it is first asked for.
+def build_gold(
+    silver: Mapping[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] | None = None, as_of: bool = False
+) -> Mapping[str, DataFrame]:
+    """The five Gold tables, each built when it is first asked for. With ``as_of`` funding curve and relationship of a decided deal
+    are those known at its decision, so that no later knowledge leaks into the training set.
 
     What several marts are built on is written once, and only if one of them is asked for: facility
     measures and deal economics. ``keep(name, df)`` is applied to every mart (the pipeline writes it and reads it back);
@@ -256,12 +278,12 @@ def build_gold(silver: Mapping[str, DataFrame], keep: Callable[[str, DataFrame],
         return tables[GOLD["deal_economics"]] if keep else shared["deals"]
 
     shared = LazyTables({
-        "measures": lambda: settle(facility_economics(silver).select(*DEAL_INPUTS)),
+        "measures": lambda: settle(facility_economics(silver, as_of).select(*DEAL_INPUTS)),
         "deals": lambda: settle(deal_economics(economics(), silver[SILVER["deals"]])),
-        "features": lambda: deal_features(silver, economics(), econ()),
+        "features": lambda: deal_features(silver, economics(), econ(), as_of),
     })
     tables = LazyTables({
-        GOLD["facility_economics"]: lambda: mart(GOLD["facility_economics"], facility_economics(silver)),
+        GOLD["facility_economics"]: lambda: mart(GOLD["facility_economics"], facility_economics(silver, as_of)),
         GOLD["deal_economics"]: lambda: mart(GOLD["deal_economics"], deal_economics(economics(), silver[SILVER["deals"]])),
         GOLD["deal_training_dataset"]: lambda: mart(GOLD["deal_training_dataset"], training_set(shared["features"])),
         GOLD["active_deal_scoring_dataset"]: lambda: mart(GOLD["active_deal_scoring_dataset"], active_set(shared["features"])),

@@ -51,6 +51,39 @@ def test_quantiles(spark, frame):
     assert medians == {"hot": frame["hot"].median(), "few": frame["few"].median()}
 
 
+def test_ordered_bits_are_the_doubles_order(spark):
+    rng = np.random.default_rng(8)
+    patterns = rng.integers(0, 1 << 64, 4000, dtype=np.uint64).view(np.float64)
+    powers = np.ldexp(1.0, np.arange(-1074, 1024))
+    edges = np.array([0.0, -0.0, np.inf, -np.inf, np.nan, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 0.1, 3.0])
+    values = np.concatenate([patterns[~np.isnan(patterns)], powers, -powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), edges])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)] + [(-1, None)], "i int, v double")
+    rows = df.select("i", "v", ordered.ordered_bits(F.col("v")).alias("b")).withColumn("back", ordered.double_of(F.col("b"))).collect()
+    for r in rows:
+        if r.v is None:
+            assert r.b is None
+        elif r.v == r.v:
+            want = int(np.array([abs(r.v)]).view(np.int64)[0]) * (-1 if r.v < 0 else 1)
+            assert r.b == want and r.back == r.v, r.v
+        else:
+            assert r.b > max(x.b for x in rows if x.v is not None and x.v == x.v) and r.back != r.back
+
+
+def test_quantiles_of_continuous_values_without_a_sort(spark):
+    rng = np.random.default_rng(9)
+    values = np.concatenate([rng.normal(0, 1, 4000) * 10.0 ** rng.integers(-300, 300, 4000), rng.normal(1e9, 1e-3, 4000)])
+    df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(values)], "v double, w int")
+    probs = [0.0, 0.001, 0.25, 0.5, 0.999, 1.0]
+    found = ordered.quantiles(df, "v", probs)
+    np.testing.assert_allclose(list(found.first()[2:]), np.quantile(values, probs), rtol=1e-12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    weighted = ordered.quantiles(df, "v", probs, weight="w").first()
+    want = np.quantile(np.repeat(values, np.arange(len(values)) % 3), probs)
+    assert weighted["n_values"] == sum(i % 3 for i in range(len(values)))
+    np.testing.assert_allclose(list(weighted[2:]), want, rtol=1e-12)
+
+
 def test_prefix_counts_by_series(spark, frame):
     df = to_spark(spark, frame, 3).withColumn("y", (F.col("id") % 2).cast("int"))
     got = ordered.prefix_counts(df, "few", "grp", {"pos": F.col("y")}).toPandas()
