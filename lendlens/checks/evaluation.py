@@ -76,6 +76,19 @@ def _(ctx):
     return ctx.spark.createDataFrame(model.coefficients(model.fit_logistic(data, "_label", FEATURES)), "coefficient string, value double")
 
 
+_LEVELS = ["customer_segment", "industry", "region", "rating_at_offer", "anchor_product"]
+
+
+@check("m6_optimum", "coefficient at_optimum",
+       "SELECT coefficient, true AS at_optimum FROM (VALUES ('intercept'), " + ", ".join(f"('{c}')" for c in FEATURES if c not in _LEVELS) + ") v(coefficient)"
+       + "".join(f" UNION ALL SELECT DISTINCT '{c}=' || {c}, true FROM gold_deal_training_dataset WHERE {c} IS NOT NULL" for c in _LEVELS))
+def _(ctx):
+    """Whether the fitted coefficients are the optimum: no slope of the penalised mean loss reaches a millionth."""
+    data = settle(_labelled(ctx).withColumn("_label", win_label("deal_outcome")))
+    slopes = model.optimum_certificate(model.fit_logistic(data, "_label", FEATURES), data, "_label")
+    return slopes.select("coefficient", (F.abs("gradient") < 1e-6).alias("at_optimum"))
+
+
 @check("m7_train_pipeline", "metric value:f4")
 def _(ctx):
     _, metrics = model.train_win_model(_labelled(ctx), "deal_outcome", FEATURES, ["deal_id"])

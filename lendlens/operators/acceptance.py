@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lendlens.functions.economics import sigmoid
 from lendlens.operators.explore import standard_stats, standardize
+from lendlens.session import settle
 
 # Price grid 0..29 %, loan amounts and acceptance target of the price curves.
 RATE_GRID = [0.01 * i for i in range(30)]
@@ -40,53 +41,69 @@ def linear(names: Sequence[Column], coefficients: Sequence[float]) -> Column:
     return total
 
 
-def fit_posterior(df: DataFrame, columns: Sequence[str], label: str, sigma: float, max_iter: int = 50, tol: float = 1e-10) -> Posterior:
-    """Mode and curvature of a logistic likelihood with Normal(0, sigma) priors on all coefficients.
+def counted_loans(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """(x1, x2, …, n, s): the distinct values of the columns with their number of rows and of accepted ones, written once.
+
+    Everything the likelihood of a logistic model needs is a sum over these rows; rows with a missing value are left out.
+    """
+    xs = [F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(columns)]
+    rows = df.select(*xs, F.col(label).cast("double").alias("y")).dropna()
+    return settle(rows.groupBy(*[f"x{i + 1}" for i in range(len(columns))]).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")))
+
 
-    Each step is one distributed aggregate of the gradient and Hessian sums (at most 14 for three
-    columns); only these sums and a k x k solve are on the driver.
+def fit_counted(counted: DataFrame, k: int, sigma: float, max_iter: int = 50, tol: float = 1e-10) -> Posterior:
+    """Mode and curvature of a logistic likelihood over ``counted_loans`` with Normal(0, sigma) priors on all k coefficients.
+
+    Each step is one aggregate of the gradient and Hessian sums (at most 14 for three columns); only these sums and
+    a k x k solve are on the driver.
     """
-    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in columns]
-    k = len(xs)
-    data = df.select(*columns, label).dropna().persist()
+    xs = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(1, k)]
 
     def slopes(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and negative Hessian of the log posterior at ``beta``."""
         p = sigmoid(linear(xs[1:], beta))
-        weight, residual = p * (1 - p), F.col(label) - p
+        weight, residual = F.col("n") * p * (1 - p), F.col("s") - F.col("n") * p
         sums = [F.sum(residual * x) for x in xs] + [F.sum(weight * xs[i] * xs[j]) for i in range(k) for j in range(i, k)]
-        row = [v or 0.0 for v in data.agg(*sums).first()]
+        row = [v or 0.0 for v in counted.agg(*sums).first()]
         hessian = np.eye(k) / sigma**2
         upper = np.triu_indices(k)
         hessian[upper] += row[k:]
         return np.array(row[:k]) - beta / sigma**2, np.triu(hessian) + np.triu(hessian, 1).T
 
-    try:
-        beta = np.zeros(k)
-        for step in range(1, max_iter + 1):
-            gradient, hessian = slopes(beta)
-            move = np.linalg.solve(hessian, gradient)
-            beta = beta + move
-            if np.max(np.abs(move)) < tol:
-                break
-        else:
-            raise RuntimeError(f"no posterior mode after {max_iter} Newton steps; the last one moved {np.max(np.abs(move)):.3g}")
-        hessian = slopes(beta)[1]
-    finally:
-        data.unpersist()
+    beta = np.zeros(k)
+    for step in range(1, max_iter + 1):
+        gradient, hessian = slopes(beta)
+        move = np.linalg.solve(hessian, gradient)
+        beta = beta + move
+        if np.max(np.abs(move)) < tol:
+            break
+    else:
+        raise RuntimeError(f"no posterior mode after {max_iter} Newton steps; the last one moved {np.max(np.abs(move)):.3g}")
+    hessian = slopes(beta)[1]
     names = [f"beta_{i}" for i in range(k)]
     return Posterior(names, beta.tolist(), np.linalg.inv(hessian).tolist(), step)
 
 
+def fit_posterior(df: DataFrame, columns: Sequence[str], label: str, sigma: float, max_iter: int = 50, tol: float = 1e-10) -> Posterior:
+    """The same from loans: they are read once and counted."""
+    return fit_counted(counted_loans(df, columns, label), len(columns) + 1, sigma, max_iter, tol)
+
+
 def posterior_table(spark: SparkSession, posterior: Posterior) -> DataFrame:
     rows = [(n, float(m), float(np.sqrt(posterior.cov[i][i]))) for i, (n, m) in enumerate(zip(posterior.names, posterior.mean))]
     return spark.createDataFrame(rows, "parameter string, mean double, sd double")
 
 
+def _drawn_number(seed: int, salt: int, key: Column) -> Column:
+    """A number below 2^60 from seed, salt and key: the first digits of an MD5 sum, which any engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)), key.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def _normal(key: Column, seed: int) -> Column:
     """A standard normal number that depends on the key and the seed only (two hashed uniform numbers)."""
     def uniform(salt: int) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), key), F.lit(2**52)) + 0.5) / float(2**52)
+        return (_drawn_number(seed, salt, key) + F.lit(0.5)) / F.lit(float(2**60))
 
     return F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * np.pi * uniform(1))
 
@@ -122,7 +139,7 @@ def resample_draws(draws: DataFrame, n: int = 500, seed: int = 1, independent: b
     picked = draws.sparkSession.range(n).withColumn("_draws", draw_array(draws))
 
     def value(j: int, name: str) -> Column:
-        place = F.pmod(F.xxhash64(F.lit(seed), F.lit(j if independent else 0), F.col("id")), F.size("_draws"))
+        place = F.pmod(_drawn_number(seed, j if independent else 0, F.col("id")), F.size("_draws"))
         return F.get("_draws", place.cast("int"))[name]
 
     return picked.select(F.col("id").cast("int").alias("draw_id"), *[value(j, name).alias(name) for j, name in enumerate(names)])
@@ -146,6 +163,43 @@ def draw_summary(draws: DataFrame, low: float = 0.03, high: float = 0.97) -> Dat
     )
 
 
+def weighted_draws(counted: DataFrame, draws: DataFrame, posterior: Posterior, sigma: float) -> DataFrame:
+    """The draws with ``log_weight`` and ``weight``: how much more likely the true posterior is at a draw than the normal
+    approximation it was drawn from; the weights sum to 1.
+
+    The log-likelihoods of all draws are the entries of one aggregate, so the loans' counts are read once for any number of draws. The
+    draws themselves, whose number is a parameter, are on the driver.
+    """
+    names = posterior.names
+    rows = [tuple(r) for r in draws.select("draw_id", *names).orderBy("draw_id").collect()]
+    betas = np.array([r[1:] for r in rows], dtype=float).reshape(-1, len(names))
+    xs = [F.col(f"x{i}") for i in range(1, len(names))]
+
+    def log_likelihood(beta: np.ndarray) -> Column:
+        eta = linear(xs, beta)
+        return F.sum(F.col("s") * eta - F.col("n") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))))
+
+    likely = np.array([v or 0.0 for v in counted.agg(*[log_likelihood(b) for b in betas]).first()]) if rows else np.zeros(0)
+    away = betas - np.array(posterior.mean)
+    log_weight = likely - (betas**2).sum(axis=1) / (2 * sigma**2) + np.einsum("di,ij,dj->d", away, np.linalg.inv(posterior.cov), away) / 2
+    weight = np.exp(log_weight - log_weight.max(initial=-np.inf))
+    weight = weight / weight.sum() if rows else weight
+    cells = [(*r, float(lw), float(w)) for r, lw, w in zip(rows, log_weight, weight)]
+    return draws.sparkSession.createDataFrame(cells, f"draw_id int, {', '.join(f'{n} double' for n in names)}, log_weight double, weight double")
+
+
+def weighted_summary(weighted: DataFrame) -> DataFrame:
+    """(parameter, mean, sd, effective_draws) under the weights; the effective number says how far the approximation holds."""
+    names = [c for c in weighted.columns if c.startswith("beta_")]
+    long = weighted.select("weight", F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("v")) for n in names])).alias("c"))
+    total, first, second = F.sum("weight"), F.sum(F.col("weight") * F.col("c.v")), F.sum(F.col("weight") * F.col("c.v") * F.col("c.v"))
+    mean = first / total
+    return long.groupBy("c.parameter").agg(
+        mean.alias("mean"), F.sqrt(F.greatest(second / total - mean * mean, F.lit(0.0))).alias("sd"),
+        (total * total / F.sum(F.col("weight") * F.col("weight"))).alias("effective_draws"),
+    )
+
+
 def _draw_logit(d: Column, names: Sequence[str], xs: Sequence[Column]) -> Column:
     total = d[names[0]]
     for name, x in zip(names[1:], xs):

@@ -136,7 +136,7 @@ def fit_logistic(df: DataFrame, target: str, features: Sequence[str]) -> Pipelin
     imputation = fit_imputation(df, numeric, categorical)
     inputs = [f"_num_{c}" for c in imputation.scale] + [f"_hot_{c}" for c in categorical]
     regression = LogisticRegression(
-        featuresCol="_features", labelCol=target, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8
+        featuresCol="_features", labelCol=target, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10
     )
     stages = [preparation_stage(imputation), *one_hot_stages(categorical)]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="_features"), regression]).fit(df)
@@ -157,6 +157,26 @@ def coefficients(fitted: PipelineModel) -> list[tuple[str, float]]:
     return [("intercept", float(regression.intercept)), *zip(names, map(float, regression.coefficients.toArray()))]
 
 
+def optimum_certificate(fitted: PipelineModel, df: DataFrame, target: str) -> DataFrame:
+    """(coefficient, gradient): the slope of the penalised mean loss at the fitted value of every coefficient, zero at the optimum.
+
+    Each row gives its error times its inputs, one long-form aggregate over feature and level sums them; the
+    coefficients themselves are a small table. ``df`` must be the rows that were fitted.
+    """
+    scored = fitted.transform(df)
+    error = vector_to_array("probability")[1] - F.col(target)
+    numeric = [c.removeprefix("_num_") for c in scored.columns if c.startswith("_num_")]
+    levels = [c.removeprefix("_cat_") for c in scored.columns if c.startswith("_cat_")]
+    cells = [(F.lit("intercept"), F.lit(1.0)), *[(F.lit(c), F.col(f"_num_{c}")) for c in numeric]]
+    cells += [(F.concat(F.lit(f"{c}="), F.col(f"_cat_{c}")), F.lit(1.0)) for c in levels]
+    parts = F.array(*[F.struct(name.alias("coefficient"), (error * x).alias("slope")) for name, x in cells])
+    sums = scored.select(F.explode(parts).alias("c")).groupBy("c.coefficient").agg(F.sum("c.slope").alias("slope"), F.count(F.lit(1)).alias("rows"))
+    own = [(name, value if name != "intercept" else 0.0) for name, value in coefficients(fitted)]  # the intercept is free
+    n = F.lit(float(df.count()))
+    table = df.sparkSession.createDataFrame(own, "coefficient string, penalty double")
+    return table.join(sums, "coefficient", "left").select("coefficient", ((F.coalesce("slope", F.lit(0.0)) + F.col("penalty")) / n).alias("gradient"))
+
+
 def flat_metrics(metrics: dict, prefix: str = "") -> Iterator[tuple[str, float]]:
     """Every number among the metrics with its path as name, the confusion matrix included."""
     for k, v in metrics.items():

@@ -174,3 +174,51 @@ def test_histograms(spark, frame, offers):
     assert auto[auto.measure == "amount"].groupby("tier")["n"].sum().to_dict() == offers.groupby("tier").size().to_dict()
     flat = auto[auto.measure == "flat"]
     assert set(flat["bin"]) == {5} and set(flat["lo"]) == {1.5}
+
+
+def test_counted_loans_give_the_same_fit(spark, frame):
+    rounded = frame.withColumn("rate", F.round("rate", 2))
+    counted = acceptance.counted_loans(rounded, ["rate"], "outcome")
+    assert counted.count() < 15 and counted.agg(F.sum("n"), F.sum("s")).first() == frame.agg(F.count("*"), F.sum("outcome").cast("double")).first()
+    rows = rounded.select("rate", "outcome").toPandas()
+    x, beta = np.column_stack([np.ones(len(rows)), rows.rate]), np.zeros(2)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ beta))
+        hessian = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2) / 100
+        beta += np.linalg.solve(hessian, x.T @ (rows.outcome - p) - beta / 100)
+    np.testing.assert_allclose(acceptance.fit_counted(counted, 2, 10.0).mean, beta, atol=1e-8)
+    holed = rounded.withColumn("rate", F.when(F.col("id") % 3 > 0, F.col("rate")))
+    assert acceptance.counted_loans(holed, ["rate"], "outcome").agg(F.sum("n")).first()[0] == holed.where("rate IS NOT NULL").count()
+
+
+def test_weights_lead_from_the_approximation_to_the_posterior(spark, offers):
+    few = offers.head(25)  # few loans: the normal approximation is visibly off
+    frame = spark.createDataFrame(few.assign(x=(few.rate - 0.06) / 0.03)[["x", "outcome"]])
+    counted = acceptance.counted_loans(frame, ["x"], "outcome")
+    fitted = acceptance.fit_counted(counted, 2, 2.0)
+    weighted = acceptance.weighted_draws(counted, acceptance.draw_posterior(spark, fitted, 400), fitted, 2.0)
+    got = weighted.toPandas().sort_values("draw_id")
+    b = got[["beta_0", "beta_1"]].to_numpy()
+    eta = b[:, :1] + np.outer(b[:, 1], (few.rate - 0.06) / 0.03)
+    away = b - np.array(fitted.mean)
+    log = (few.outcome.to_numpy() * eta - np.logaddexp(0, eta)).sum(axis=1) - (b**2).sum(axis=1) / 8
+    log += np.einsum("di,ij,dj->d", away, np.linalg.inv(fitted.cov), away) / 2
+    weight = np.exp(log - log.max())
+    np.testing.assert_allclose(got["weight"], weight / weight.sum(), atol=1e-12)
+    grid = np.linspace(-8, 8, 401)  # the posterior itself, on a grid
+    u, v = np.meshgrid(grid, grid, indexing="ij")
+    points = u[..., None] + v[..., None] * ((few.rate - 0.06) / 0.03).to_numpy()
+    density = (few.outcome.to_numpy() * points - np.logaddexp(0, points)).sum(axis=-1) - (u**2 + v**2) / 8
+    density = np.exp(density - density.max())
+    true_mean = [(u * density).sum() / density.sum(), (v * density).sum() / density.sum()]
+    summary = {r.parameter: r for r in acceptance.weighted_summary(weighted).collect()}
+    for i in range(2):
+        row = summary[f"beta_{i}"]
+        assert abs(row["mean"] - true_mean[i]) < 4 * row["sd"] / np.sqrt(row["effective_draws"])
+        assert row["effective_draws"] == pytest.approx(1 / (got["weight"] ** 2).sum())
+
+
+def test_no_draws_no_weights(spark, frame):
+    counted = acceptance.counted_loans(frame, ["rate"], "outcome")
+    fitted = acceptance.fit_counted(counted, 2, 10.0)
+    assert acceptance.weighted_draws(counted, acceptance.draw_posterior(spark, fitted, 0), fitted, 10.0).count() == 0

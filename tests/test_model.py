@@ -138,3 +138,30 @@ def test_seeded_sample(frame):
     first = {r.deal_id for r in model.seeded_sample(frame, 8, ["deal_id"], 1).collect()}
     assert first == {r.deal_id for r in model.seeded_sample(frame.repartition(9), 8, ["deal_id"], 1).collect()} and len(first) == 8
     assert first != {r.deal_id for r in model.seeded_sample(frame, 8, ["deal_id"], 2).collect()}
+
+
+def test_coefficients_are_the_optimum(frame, deals):
+    """Against plain Newton steps on the same inputs, and by the certificate of the slopes."""
+    data = frame.withColumn("y", (F.col("deal_outcome") == "won").cast("int"))
+    fitted = model.fit_logistic(data, "y", FEATURES)
+    found = dict(model.coefficients(fitted))
+    columns = {"intercept": np.ones(len(deals))}
+    for c in ("tenor_months", "margin_above_floor_bps", "watch"):
+        x = deals[c].astype(float)
+        x = x.fillna(x.median())
+        columns[c] = ((x - x.mean()) / x.std(ddof=0)).to_numpy()
+    for c in ("product_type", "rating"):
+        x = deals[c].fillna(deals[c].mode().iloc[0])
+        columns |= {f"{c}={level}": (x == level).to_numpy(float) for level in sorted(x.unique())}
+    names = list(columns)
+    x, y, beta = np.column_stack(list(columns.values())), (deals.deal_outcome == "won").to_numpy(float), np.zeros(len(names))
+    penalty = np.diag([0.0] + [1.0] * (len(names) - 1))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ beta)
+    assert set(found) == set(names)
+    np.testing.assert_allclose([found[n] for n in names], beta, atol=1e-4)
+    slopes = {r.coefficient: r.gradient for r in model.optimum_certificate(fitted, data, "y").collect()}
+    assert set(slopes) == set(names) and max(map(abs, slopes.values())) < 1e-6
+    moved = model.optimum_certificate(fitted, data.where("margin_above_floor_bps < 40"), "y").collect()
+    assert max(abs(r.gradient) for r in moved) > 1e-3  # other rows have another optimum
