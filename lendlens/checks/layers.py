@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lendlens.functions import economics as E
 from lendlens.functions import standardize as S
-from lendlens.operators import dedupe, drivers, explore, features, model, ordered, quality
+from lendlens.operators import dedupe, drivers, explore, features, model, ordered, quality, upkeep
 from lendlens.plans import gold, silver
 from lendlens.session import scratch_folder, settle
 from lendlens.sources.catalog import LAYERS
@@ -59,7 +59,7 @@ _table("l2_gold_rm_deal_dashboard", DASHBOARD, "gold_rm_deal_dashboard", lambda
 _table("l3_facility_economics", ECONOMICS, "gold_facility_economics", lambda c: c.economics)
 _table("l4_training_features", FEATURES + " deal_status deal_outcome commercial_relevance_flag", "deal_feature_rows", lambda c: c.features)
 _table("l4_training_features_as_of", FEATURES + " deal_status deal_outcome commercial_relevance_flag", "deal_feature_rows_as_of", lambda c: c.features_as_of)
-_table("l5_rm_dashboard", DASHBOARD, "gold_rm_deal_dashboard", lambda c: gold.rm_dashboard(c.lazy_features))
+_table("l5_rm_dashboard", DASHBOARD, "gold_rm_deal_dashboard", lambda c: gold.rm_dashboard(gold.active_features(c.bronze)))
 
 
 @check("l6_pipeline_run", "section item value:f", RUN_SUMMARY_SQL)
@@ -414,6 +414,15 @@ def _(ctx):
     return wins.unionByName(loses)
 
 
+@check("w1_merged_extract", "crm_account_id region_raw source_record_status source_extract_ts:t",
+       "SELECT crm_account_id, region_raw, source_record_status, source_extract_ts FROM latest_accounts")
+def _(ctx):
+    """The later extract merged into a snapshot of the first."""
+    raw, folder = ctx["bronze_crm_accounts"], scratch_folder(ctx.spark)
+    upkeep.write_snapshot(raw.where("source_record_status = 'current'"), folder, "crm_account_id")
+    return upkeep.merge_extract(raw.where("source_record_status = 'updated'"), folder, "crm_account_id")
+
+
 @check("w2_final_quote", "facility_id final_quote_id", "SELECT facility_id, quote_id AS final_quote_id FROM silver_pricing_cases WHERE is_final_quote")
 def _(ctx):
     return dedupe.final_quote_ids(ctx.pricing)

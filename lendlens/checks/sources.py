@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.operators.quality import counted_registry, row_counts, union_all
+from lendlens.operators.model import split_features
+from lendlens.operators.quality import counted_registry, missing_columns, require_columns, row_counts, union_all
+from lendlens.plans.gold import FEATURES
 from lendlens.session import scratch_folder
 from lendlens.sources import catalog, tables
 
@@ -12,6 +14,13 @@ from .registry import check
 STAR = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+LEVEL_FEATURES = ("customer_segment", "industry", "region", "rating_at_offer", "anchor_product")
+
+
+def training_features() -> list[str]:
+    return [c for c in FEATURES if c not in ("deal_id", "customer_id", "rm_id")]
+
+
 def _rows(values: list[tuple]) -> str:
     def literal(v):
         return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
@@ -109,3 +118,100 @@ def _(ctx):
         tables_now[t].agg(F.count(c).alias("n_values")).select(F.lit(t).alias("from_table"), F.lit(c).alias("from_column"), "n_values") for t, c in wanted
     ])
     return catalog.field_edges(ctx.spark).join(known, ["from_table", "from_column"], "left")
+
+
+# --- outcomes of the checks that run before any job, each next to the rows of the table it was made for ------------------
+
+def _outcome(call) -> str:
+    try:
+        call()
+    except Exception as error:  # noqa: BLE001 - the kind of refusal is the result
+        return type(error).__name__
+    return "accepted"
+
+
+def _with_counts(ctx, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows (table_name, …) with the table's number of rows."""
+    counts = row_counts(tables.load_tables(ctx.spark, ctx.folder))
+    return ctx.spark.createDataFrame(rows, schema).join(counts, "table_name")
+
+
+@check("s4_path_checks", "table_name path outcome n_rows:i",
+       " UNION ALL ".join(
+           f"SELECT '{t}' AS table_name, p AS path, o AS outcome, (SELECT count(*) FROM {t}) AS n_rows FROM (VALUES ('its own', 'accepted'), ('of another name', 'FileNotFoundError'), ('its folder', 'ValueError')) v(p, o)"
+           for t in STAR))
+def _(ctx):
+    """A data file has to exist and to be a file."""
+    rows = []
+    for t in tables.list_tables(ctx.spark, ctx.folder):
+        own = tables.data_file(ctx.spark, f"{ctx.folder}/{t}.parquet")
+        paths = {"its own": own, "of another name": f"{ctx.folder}/{t}.missing", "its folder": own.rpartition("/")[0]}
+        rows += [(t, name, _outcome(lambda p=p: tables.check_file(ctx.spark, p))) for name, p in paths.items()]
+    return _with_counts(ctx, rows, "table_name string, path string, outcome string")
+
+
+@check("s7_format_checks", "table_name format outcome n_rows:i",
+       " UNION ALL ".join(
+           f"SELECT '{t}' AS table_name, f AS format, o AS outcome, (SELECT count(*) FROM {t}) AS n_rows FROM (VALUES ('csv', 'accepted'), ('parquet', 'accepted'), ('xlsx', 'ValueError'), ('PARQUET', 'ValueError')) v(f, o)"
+           for t in ("region", "orders")))
+def _(ctx):
+    """An unknown format is refused before anything is written."""
+    folder, rows = scratch_folder(ctx.spark), []
+    for t in ("region", "orders"):
+        own = {t: tables.load_table(ctx.spark, ctx.folder, t).limit(0)}
+        rows += [(t, f, _outcome(lambda f=f: tables.write_tables(own, folder, f))) for f in ("csv", "parquet", "xlsx", "PARQUET")]
+    return _with_counts(ctx, rows, "table_name string, format string, outcome string")
+
+
+_NEEDED = {"orders": ["o_orderkey", "o_custkey", "o_margin", "o_totalprice"], "customer": ["c_custkey", "c_name"], "documents": ["doc_id", "text", "quality", "author"]}
+
+
+@check("p8_required_columns", "table_name outcome n_rows:i",
+       " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{o}' AS outcome, count(*) AS n_rows FROM {t}" for t, o in (("orders", "ValueError"), ("customer", "accepted"), ("documents", "ValueError"))))
+def _(ctx):
+    loaded = tables.load_tables(ctx.spark, ctx.folder)
+    rows = [(t, _outcome(lambda t=t: require_columns(loaded[t], _NEEDED[t]))) for t in _NEEDED]
+    return _with_counts(ctx, rows, "table_name string, outcome string")
+
+
+@check("u3_missing_columns", "table_name column_name n_rows:i",
+       "SELECT 'orders' AS table_name, 'o_margin' AS column_name, (SELECT count(*) FROM orders) AS n_rows UNION ALL SELECT 'documents', c, (SELECT count(*) FROM documents) FROM (VALUES ('author'), ('quality')) v(c)")
+def _(ctx):
+    loaded = tables.load_tables(ctx.spark, ctx.folder)
+    rows = [(t, c) for t, needed in _NEEDED.items() for c in missing_columns(loaded[t], needed)]
+    return _with_counts(ctx, rows, "table_name string, column_name string")
+
+
+@check("q8_forbidden_columns", "table_name found outcome n_rows:i",
+       """SELECT 'orders' AS table_name, 'orders.best_Competitor_rate,orders.competing_bank_id' AS found, 'ValueError' AS outcome, count(*) AS n_rows FROM orders
+       UNION ALL SELECT 'customer', '', 'accepted', count(*) FROM customer""")
+def _(ctx):
+    """Two columns that policy forbids, added to a table, and a table without any."""
+    loaded = tables.load_tables(ctx.spark, ctx.folder)
+    poor = loaded["orders"].withColumns({"best_Competitor_rate": F.col("o_totalprice"), "competing_bank_id": F.col("o_custkey")})
+    given = {"orders": poor, "customer": loaded["customer"]}
+    rows = [(t, ",".join(catalog.forbidden_columns({t: df})), _outcome(lambda t=t, df=df: catalog.assert_no_forbidden_columns({t: df}))) for t, df in given.items()]
+    return _with_counts(ctx, rows, "table_name string, found string, outcome string")
+
+
+@check("q12_leakage", "mart column_name n_rows:i",
+       """SELECT 'silver_deals' AS mart, c AS column_name, (SELECT count(*) FROM silver_deals) AS n_rows FROM (VALUES ('lost_reason'), ('decision_date'), ('expected_close_date'), ('current_stage')) v(c)
+       UNION ALL SELECT 'gold_deal_training_dataset', 'none', count(*) FROM gold_deal_training_dataset""")
+def _(ctx):
+    """Columns that would give the outcome away: the deal table has them, the training set must not."""
+    given = {"silver_deals": ctx.kept_deals, "gold_deal_training_dataset": ctx.gold["gold_deal_training_dataset"]}
+    rows = [(t, c) for t, df in given.items() for c in catalog.leakage_columns(df) or ["none"]]
+    counts = row_counts(given).withColumnRenamed("table_name", "mart")
+    return ctx.spark.createDataFrame(rows, "mart string, column_name string").join(counts, "mart")
+
+
+@check("m1_feature_split", "feature kind n_known:i",
+       "SELECT * FROM (UNPIVOT (SELECT " + ", ".join(f"count({c}) AS {c}" for c in training_features()) + " FROM gold_deal_training_dataset) ON COLUMNS(*) INTO NAME feature VALUE n_known) u JOIN (VALUES "
+       + ", ".join(f"('{c}', '{'categorical' if c in LEVEL_FEATURES else 'numeric'}')" for c in training_features()) + ") k(feature, kind) USING (feature)")
+def _(ctx):
+    """How the features of the training set are treated (flags count as numbers), and how many rows know each."""
+    mart = ctx.gold["gold_deal_training_dataset"]
+    numeric, _ = split_features(mart, training_features())
+    known = mart.agg(*[F.count(c).alias(c) for c in training_features()])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit("numeric" if c in numeric else "categorical").alias("kind"), F.col(c).alias("n_known")) for c in training_features()])
+    return known.select(F.explode(cells).alias("c")).select("c.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -18,6 +19,7 @@ from lendlens.functions.economics import expected_deal_value, win_label
 from lendlens.operators.evaluate import evaluate_classifier
 from lendlens.operators.ordered import column_modes, column_quantiles, prefix_counts, row_numbers
 from lendlens.operators.quality import require_columns
+from lendlens.session import settle
 
 
 def split_features(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -210,13 +212,21 @@ def train_win_model(
 
 
 def prioritise(df: DataFrame, keys: Sequence[str], profit: str = "total_expected_profit") -> DataFrame:
-    """Adds ``expected_deal_value`` (when the profit exists) and ``priority_rank`` 1..n, best first, missing last."""
+    """Adds ``expected_deal_value`` (when the profit exists) and ``priority_rank`` 1..n, best first, missing last.
+
+    Only keys and order columns are written, sorted and numbered; the wide rows meet their rank by the keys, which must
+    name a row.
+    """
     lead = ["win_probability"]
     if profit in df.columns:
         df = df.withColumn("expected_deal_value", expected_deal_value("win_probability", profit))
         lead = ["expected_deal_value", "win_probability"]
     order = [F.col(c).desc_nulls_last() for c in lead] + [F.col(k).asc() for k in keys]
-    return row_numbers(df, order, "priority_rank")
+    ranked = row_numbers(settle(df.select(*keys, *lead)), order, "priority_rank")
+    names = {k: f"__{k}" for k in keys}
+    own = ranked.select(*[F.col(k).alias(n) for k, n in names.items()], "priority_rank")
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(own[n]) for k, n in names.items()])
+    return df.join(own, same).select(df["*"], "priority_rank")
 
 
 def score_active_deals(model: PipelineModel, df: DataFrame, keys: Sequence[str], profit: str = "total_expected_profit") -> DataFrame:

@@ -84,9 +84,9 @@ def rank_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select("series", "value", (average_rank / F.col("n_total")).alias("pct"))
 
 
-def percent_rank_columns(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
+def percent_rank_columns(df: DataFrame, ranks: dict[str, str], among: DataFrame | None = None) -> DataFrame:
     """Adds ``output`` = percent rank (average ties, null for null) of ``column`` for each
-    ``{output: column}``.
+    ``{output: column}``, among the rows of ``df`` or of a larger frame that holds them.
 
     Only narrow (row, series, value) rows meet the rank table, all columns in one join; the ranks of a row are
     gathered by one aggregate and joined back, so the wide rows are shuffled once for any number of
@@ -96,7 +96,7 @@ def percent_rank_columns(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
     rows = settle(df.withColumn("__row", F.monotonically_increasing_id()))
     cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns])
     narrow = rows.select("__row", F.explode(cells).alias("c")).select("__row", "c.series", "c.value").where("value IS NOT NULL")
-    found = narrow.join(rank_table(rows, columns), ["series", "value"]).groupBy("__row").agg(
+    found = narrow.join(rank_table(rows if among is None else among, columns), ["series", "value"]).groupBy("__row").agg(
         *[F.max(F.when(F.col("series") == column, F.col("pct"))).alias(output) for output, column in ranks.items()]
     )
     return rows.join(found, "__row", "left").select(*df.columns, *ranks)

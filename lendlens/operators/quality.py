@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lendlens.functions.standardize import unknown_stage
 from lendlens.functions.text import number_or_percent
@@ -30,38 +31,62 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_all([df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t, df in tables.items()])
 
 
-def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """(column_name, dtype, row_count, column_count, missing, unique_values), one row per column.
+def _digests(value: Column) -> list[Column]:
+    """Two hashes of a value, 128 bits in all, that stand for it in exchanges; null for null."""
+    return [F.when(value.isNotNull(), F.xxhash64(value)).alias("d1"), F.when(value.isNotNull(), F.xxhash64(F.lit(1), value)).alias("d2")]
 
-    Exact counts group each column on its own values in their own type: such a scan reads one column, and
-    the aggregate combines on the map side. ``approximate`` takes sketches of all columns from one scan.
-    """
-    if approximate:
-        parts = [
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.count(F.lit(1)).alias("row_count"),
-                F.count_if(F.col(f"`{c}`").isNull()).alias("missing"),
-                F.approx_count_distinct(f"`{c}`").alias("unique_values"),
-            )
-            for c in df.columns
-        ]
-        rows = df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
-    else:
-        rows = union_all([
-            df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-                F.count("v").alias("unique_values"),
-            ).withColumn("column_name", F.lit(c))
-            for c in df.columns
-        ])
-    dtype = F.element_at(F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair]), F.col("column_name"))
-    return rows.select("column_name", dtype.alias("dtype"), "row_count", F.lit(len(df.columns)).alias("column_count"), "missing", "unique_values")
+
+def _comparable(df: DataFrame, column: str) -> Column:
+    """A column as a value that can be hashed: maps become texts of their sorted entries."""
+    c = F.col(f"`{column}`")
+    return F.to_json(F.array_sort(F.map_entries(c))) if isinstance(df.schema[column].dataType, T.MapType) else c
+
+
+def _approximate_profile(table: str, df: DataFrame) -> DataFrame:
+    parts = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.count(F.lit(1)).alias("row_count"),
+            F.count_if(F.col(f"`{c}`").isNull()).alias("missing"),
+            F.approx_count_distinct(_comparable(df, c)).alias("unique_values"),
+        )
+        for c in df.columns
+    ]
+    return df.agg(F.array(*parts).alias("p")).select(F.lit(table).alias("table_name"), F.explode("p").alias("p")).select("table_name", "p.*")
+
+
+def _exact_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Every table is read once: each row gives one cell per column, its digests in place of the value. Cells are counted by
+    one aggregate for all columns and tables, which combines on the map side, so neither texts nor vectors are shuffled."""
+    cells = []
+    for table, df in tables.items():
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), *_digests(_comparable(df, c))) for i, c in enumerate(df.columns)])).alias("c"))
+        cells.append(rows.select(F.lit(table).alias("table_name"), "c.*"))
+    counted = union_all(cells).groupBy("table_name", "place", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.groupBy("table_name", "place").agg(
+        F.sum("n").alias("row_count"), F.sum(F.when(F.col("d1").isNull(), F.col("n"))).alias("missing"), F.count("d1").alias("unique_values")
+    )
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(t, i, c) for t, df in tables.items() for i, c in enumerate(df.columns)], "table_name string, place int, column_name string")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("row_count", "missing", "unique_values")]
+    return names.join(found, ["table_name", "place"], "left").select("table_name", "column_name", *counts)
 
 
 def profile_tables(tables: Mapping[str, DataFrame], approximate: bool = False) -> DataFrame:
-    return union_all([profile(df, approximate).withColumn("table_name", F.lit(t)) for t, df in tables.items()])
+    """(table_name, column_name, dtype, row_count, column_count, missing, unique_values), one row per column of every table.
+
+    Exact counts compare values by 128-bit digests. ``approximate`` takes sketches of all columns from one scan without a shuffle of values.
+    """
+    rows = union_all([_approximate_profile(t, df) for t, df in tables.items()]) if approximate else _exact_profile(tables)
+    described = {(t, c): (kind, len(df.columns)) for t, df in tables.items() for c, kind in df.dtypes}
+    kinds = rows.sparkSession.createDataFrame([(*k, *v) for k, v in described.items()], "table_name string, column_name string, dtype string, column_count int")
+    names = ["table_name", "column_name", "dtype", "row_count", "column_count", "missing", "unique_values"]
+    return rows.join(kinds, ["table_name", "column_name"]).select(*names)
+
+
+def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """The same for one table, without its name."""
+    return profile_tables({"": df}, approximate).drop("table_name")
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
@@ -300,20 +325,28 @@ def key_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def reference_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table_name, foreign_key, target, orphan_rows) for every declared reference between given tables."""
-    parts = []
-    for e in ENTRIES:
-        for column, target in e.foreign_keys.items():
-            parent, parent_key = target.split(".")
-            if e.name in tables and parent in tables:
-                known = tables[e.name].where(F.col(column).isNotNull()).select(column)
-                lost = orphans(known, tables[parent], column, parent_key)
-                parts.append(
-                    lost.agg(F.count(F.lit(1)).alias("orphan_rows")).select(
-                        F.lit(e.name).alias("table_name"), F.lit(column).alias("foreign_key"), F.lit(target).alias("target"), "orphan_rows"
-                    )
-                )
-    return union_all(parts)
+    """(table_name, foreign_key, target, orphan_rows) for every declared reference between given tables.
+
+    Every table is read once and gives, for each reference it takes part in, the digests of its keys and the side
+    they stand on. One aggregate over (reference, key) for all of them combines on the map side; a key without a target
+    row counts its rows as orphans. Missing keys refer to nothing.
+    """
+    named = [
+        (e.name, column, target, *target.split("."))
+        for e in ENTRIES for column, target in e.foreign_keys.items() if e.name in tables and target.split(".")[0] in tables
+    ]
+    cells = []
+    for table, df in tables.items():
+        roles = [(i, column, 1) for i, (name, column, *_) in enumerate(named) if name == table]
+        roles += [(i, key, 0) for i, (_, _, _, parent, key) in enumerate(named) if parent == table]
+        if roles:
+            parts = F.array(*[F.struct(F.lit(i).alias("place"), *_digests(F.col(c).cast("string")), F.lit(side).alias("refers")) for i, c, side in roles])
+            cells.append(df.select(F.explode(parts).alias("c")).select("c.*").where("d1 IS NOT NULL"))
+    keys = union_all(cells).groupBy("place", "d1", "d2").agg(F.sum("refers").alias("n"), F.min("refers").alias("only_refers"))
+    lost = keys.groupBy("place").agg(F.sum(F.when(F.col("only_refers") == 1, F.col("n"))).alias("orphan_rows"))
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(i, *n[:3]) for i, n in enumerate(named)], "place int, table_name string, foreign_key string, target string")
+    return names.join(lost, "place", "left").select("table_name", "foreign_key", "target", F.coalesce("orphan_rows", F.lit(0)).alias("orphan_rows"))
 
 
 def counted_registry(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:

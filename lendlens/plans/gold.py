@@ -12,9 +12,10 @@ from lendlens.functions.text import clamp01
 from lendlens.operators.asof import as_of_join
 from lendlens.operators.dedupe import first_by, latest_by, latest_curve
 from lendlens.operators.ordered import percent_rank_columns
+from lendlens.plans import silver as silver_plan
 from lendlens.plans.lazy import LazyTables
 from lendlens.session import settle
-from lendlens.sources.catalog import GOLD, SILVER, assert_no_forbidden_columns
+from lendlens.sources.catalog import BRONZE, GOLD, SILVER, assert_no_forbidden_columns
 
 # The features of a deal, in the order of the result.
 FEATURES = [
@@ -227,6 +228,29 @@ def deal_features(silver: Mapping[str, DataFrame], economics: DataFrame, deal_ec
     return with_relationship(described, silver[SILVER["relationship_snapshots"]], known)
 
 
+def active_features(bronze: Mapping[str, DataFrame]) -> DataFrame:
+    """The features of active deals alone, without the complexity score, which ranks over all deals.
+
+    Active deals are found first, from two narrow extracts; facilities, quotes and risk of others are dropped before they
+    are joined, and of the snapshots only those that are the latest meet their ranks.
+    """
+    deals = settle(silver_plan.deals(bronze[BRONZE["crm_opportunities"]], bronze[BRONZE["los_applications"]]))
+    active = deals.where("deal_status = 'active'")
+    raw = silver_plan.touched_facilities(bronze, active)
+    facilities = settle(silver_plan.facilities(raw[BRONZE["los_facilities"]], deals))
+    silver = {
+        SILVER["customers"]: silver_plan.customers(raw[BRONZE["crm_accounts"]]),
+        SILVER["deals"]: active,
+        SILVER["facilities"]: facilities.join(active.select("deal_id").distinct(), "deal_id", "left_semi"),
+        SILVER["pricing_cases"]: silver_plan.pricing_cases(raw[BRONZE["pricing_quotes"]], facilities),
+        SILVER["risk_assessments"]: settle(silver_plan.risk_assessments(raw[BRONZE["risk_assessments"]], facilities)),
+        SILVER["relationship_snapshots"]: silver_plan.relationship_snapshots(raw[BRONZE["core_relationship_snapshot"]], newest_only=True),
+        SILVER["ftp_rates"]: silver_plan.ftp_rates(raw[BRONZE["treasury_ftp_rates"]]),
+    }
+    economics = settle(facility_economics(silver).select(*DEAL_INPUTS))
+    return deal_features(silver, economics, deal_economics(economics, deals, with_complexity=False))
+
+
 def training_set(features: DataFrame) -> DataFrame:
     """Closed, commercially relevant deals with a won or lost label."""
     closed = (

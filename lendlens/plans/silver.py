@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlens.functions import standardize as S
@@ -168,8 +168,31 @@ def risk_assessments(raw: DataFrame, silver_facilities: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_strength(snapshots: DataFrame) -> DataFrame:
-    """Adds the relationship strength, ranked over all customer-months."""
+def touched_facilities(bronze: Mapping[str, DataFrame], chosen_deals: DataFrame) -> dict[str, DataFrame]:
+    """The extracts with facilities, quotes and risk reduced to the facilities that the chosen deals have any extract of.
+
+    The keys are small and found first; wide rows are filtered by the key that the next step needs them dealt by, before
+    any of them is shuffled or, where the keys are few, without. All raw ids of such a facility stay, so its
+    latest extract, final quote and risk are the same as without the reduction.
+    """
+    raw = bronze[BRONZE["los_facilities"]]
+    applications = chosen_deals.where("application_id IS NOT NULL").select("application_id").distinct()
+    keys = raw.select("application_id", "facility_source_id", S.facility_id("facility_source_id").alias("__facility"))
+    facilities = keys.join(applications, "application_id", "left_semi").select("__facility").distinct()
+    sources = settle(keys.join(facilities, "__facility", "left_semi").select("facility_source_id").distinct())
+    tables = [BRONZE[t] for t in ("los_facilities", "pricing_quotes", "risk_assessments")]
+    return {**bronze, **{t: bronze[t].join(sources, "facility_source_id", "left_semi") for t in tables}}
+
+
+def newest_snapshots(raw: DataFrame) -> DataFrame:
+    """The raw snapshots of each customer's latest month (a missing month counts as latest), all of them if several share it."""
+    customer = S.customer_id("crm_account_id")
+    place = F.rank().over(Window.partitionBy(customer).orderBy(clean_timestamp("snapshot_month").desc_nulls_first()))
+    return raw.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+def snapshot_strength(snapshots: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Adds the relationship strength, ranked over all customer-months (of ``among``, if the snapshots are only some of them)."""
     ranked = percent_rank_columns(
         snapshots,
         {
@@ -177,6 +200,7 @@ def snapshot_strength(snapshots: DataFrame) -> DataFrame:
             "_products_rank": "existing_product_count",
             "_days_rank": "days_since_last_contact",
         },
+        among,
     )
     score = (
         0.40 * F.col("_revenue_rank") + 0.35 * F.col("_products_rank") + 0.25 * (1 - F.col("_days_rank"))
@@ -186,8 +210,9 @@ def snapshot_strength(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def relationship_snapshots(raw: DataFrame) -> DataFrame:
-    return snapshot_strength(raw).select(
+def relationship_snapshots(raw: DataFrame, newest_only: bool = False) -> DataFrame:
+    """All snapshots, or only those of each customer's latest month, with the same scores."""
+    return snapshot_strength(newest_snapshots(raw) if newest_only else raw, raw if newest_only else None).select(
         S.customer_id("crm_account_id").alias("customer_id"),
         clean_timestamp("snapshot_month").alias("snapshot_month"),
         "total_existing_exposure",
