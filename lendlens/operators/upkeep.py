@@ -34,7 +34,8 @@ def merge_extract(delta: DataFrame, path: str, keys: str | Sequence[str], ts: st
     The row with the latest time stays, ties as in ``latest_by``, whether it lies in the snapshot or in the extract: the
     outcome is that of one pass over all extracts ever merged, in any order. Only partitions with a key of the extract
     are read and written again; which ones is one number per partition on the driver. The new partitions are settled before the
-    old ones are replaced, so a lost executor never sees a half-written table.
+    old ones are replaced, so a lost executor never sees a half-written table; frames that were read from
+    the snapshot before have to be read again.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     delta = settle(delta.withColumn("__bucket", bucket(keys, buckets)))

@@ -55,8 +55,8 @@ def test_tied_leading_values_spread_over_blocks(spark, frame, hot):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        blocks = ordered._sorted_blocks(frame.select("tied", "id"), [F.col("tied").asc(), F.col("id").asc()])
-        sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+        blocks = ordered.sorted_blocks(frame.select("tied", "id"), [F.col("tied").asc(), F.col("id").asc()])
+        sizes = [r["count"] for r in blocks.groupBy("__block").count().collect()]
         ranked = ordered.row_numbers(frame.select("tied", "id"), [F.col("tied").asc(), F.col("id").asc()], "rn").toPandas()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

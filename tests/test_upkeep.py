@@ -23,9 +23,10 @@ def test_merging_equals_one_pass(spark, tmp_path, late):
     write_snapshot(first, path, "k", buckets=16)
     got = merge_extract(second, path, "k", buckets=16)
     assert got.columns == first.columns
-    assert rows(got) == rows(latest_by(first.union(second), "k"))
-    assert rows(merge_extract(second, path, "k", buckets=16)) == rows(got)  # merging again changes nothing
-    assert rows(merge_extract(second.limit(0), path, "k", buckets=16)) == rows(got)
+    want = rows(latest_by(first.union(second), "k"))
+    assert rows(got) == want
+    assert rows(merge_extract(second, path, "k", buckets=16)) == want  # merging again changes nothing
+    assert rows(merge_extract(second.limit(0), path, "k", buckets=16)) == want
 
 
 def test_only_touched_partitions_are_read_and_written(spark, tmp_path):
