@@ -91,21 +91,19 @@ def _loaded(kind: type, path: str):
     return tokenizer, np.array([len(b) for b in tokenizer.bytes_of], np.int64)
 
 
-def slices_of(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Where groups stop in both token lists: the places behind the tokens that end at a common byte."""
-    place_a, place_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
+def slices_of(ends_a: Sequence[int], ends_b: Sequence[int], first_a: int = 0, first_b: int = 0) -> tuple[list[int], list[int]]:
+    """Where groups stop in both token lists: the places behind the tokens that end at a common byte, places
+    counted from ``first_a`` and ``first_b``."""
+    place_a, place_b = dict(zip(ends_a, count(first_a + 1))), dict(zip(ends_b, count(first_b + 1)))
     common = sorted(place_a.keys() & place_b.keys())
-    return (
-        np.fromiter(map(place_a.__getitem__, common), np.int64, len(common)),
-        np.fromiter(map(place_b.__getitem__, common), np.int64, len(common)),
-    )
+    return [place_a[e] for e in common], [place_b[e] for e in common]
 
 
 def links_of(ends_a: np.ndarray, ends_b: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all token pairs with overlapping bytes, slice by slice.
 
-    In a slice with a single token on one side that token meets all of the other side. Elsewhere the two sides are
-    walked together: behind every link the token that ends first gives way to the next one.
+    In a slice with a single token on one side that token meets all of the other side. Elsewhere the ends of both sides
+    cut the slice into stretches, each of which lies in one token of either side and gives their link.
     """
     n_a, n_b = np.diff(stops_a, prepend=0), np.diff(stops_b, prepend=0)
     from_a, from_b = stops_a - n_a, stops_b - n_b
@@ -113,20 +111,9 @@ def links_of(ends_a: np.ndarray, ends_b: np.ndarray, stops_a: np.ndarray, stops_
     size = np.where(easy, n_a * n_b, 0)
     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     wide = np.repeat(n_a > 1, size)
-    left = [np.repeat(from_a, size) + np.where(wide, step, 0)]
-    right = [np.repeat(from_b, size) + np.where(wide, 0, step)]
-    more: list[tuple[int, int]] = []
-    for g in np.flatnonzero(~easy).tolist():
-        i, j, last = int(from_a[g]), int(from_b[g]), (int(stops_a[g]) - 1, int(stops_b[g]) - 1)
-        more.append((i, j))
-        while (i, j) != last:
-            if ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-            more.append((i, j))
-    rest = np.array(more, np.int64).reshape(-1, 2)
-    return np.concatenate([*left, rest[:, 0]]), np.concatenate([*right, rest[:, 1]])
+    left, right = np.repeat(from_a, size) + np.where(wide, step, 0), np.repeat(from_b, size) + np.where(wide, 0, step)
+    stretches = np.union1d(ends_a[np.repeat(~easy, n_a)], ends_b[np.repeat(~easy, n_b)])
+    return np.concatenate([left, np.searchsorted(ends_a, stretches)]), np.concatenate([right, np.searchsorted(ends_b, stretches)])
 
 
 def _merged(ids_a: np.ndarray, ids_b: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> np.ndarray:
@@ -170,9 +157,14 @@ class Aligner:
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         n_a, n_b = np.array(sizes, np.int64).T
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        stops_a, stops_b = slices_of(ends_a.tolist(), ends_b.tolist())  # the end of a text is common, so no group leaves it
-        last = np.searchsorted(stops_a, np.cumsum(n_a))
-        n_groups = np.diff(last + 1, prepend=0)
+        lists, at_a, at_b, n_groups = ([], []), 0, 0, []
+        for own_a, own_b in sizes:
+            found = slices_of(ends_a[at_a : at_a + own_a].tolist(), ends_b[at_b : at_b + own_b].tolist(), at_a, at_b)
+            for stops, own in zip(lists, found):
+                stops += own
+            n_groups.append(len(found[0]))
+            at_a, at_b = at_a + own_a, at_b + own_b
+        stops_a, stops_b = (np.array(stops, np.int64) for stops in lists)
         left, right = links_of(ends_a, ends_b, stops_a, stops_b)
         owner = np.searchsorted(np.cumsum(n_a), left, "right")
         n[:, kept] = [n_a, n_b, n_groups, np.bincount(owner, minlength=len(kept))]

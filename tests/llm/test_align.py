@@ -114,8 +114,8 @@ def test_very_long_text(spark, paths, libraries):
 def test_links_of_a_crossing_slice():
     ends_a, ends_b = np.array([2, 4, 9, 10]), np.array([3, 5, 9, 10])
     stops_a, stops_b = slices_of(ends_a.tolist(), ends_b.tolist())
-    assert stops_a.tolist() == [3, 4] and stops_b.tolist() == [3, 4]
-    left, right = links_of(ends_a, ends_b, stops_a, stops_b)
+    assert stops_a == [3, 4] and stops_b == [3, 4]
+    left, right = links_of(ends_a, ends_b, np.array(stops_a), np.array(stops_b))
     assert sorted(zip(left.tolist(), right.tolist())) == [(0, 0), (1, 0), (1, 1), (2, 1), (2, 2), (3, 3)]
 
 
