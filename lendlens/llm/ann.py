@@ -204,7 +204,7 @@ def _score(k: int):
     def score(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, ...]] = []
         if len(vectors) and len(queries):
-            ids = vectors["vec_id"].to_numpy()
+            ids, bounds = vectors["vec_id"].to_numpy(), queries["bound"].to_numpy(np.float64)
             v, q = (np.stack(x["vector"].to_list()).astype(np.float64) for x in (vectors, queries))
             rough = q @ v.T
             for i, own in enumerate(queries["query_id"].to_numpy()):
@@ -216,6 +216,7 @@ def _score(k: int):
                     at = np.flatnonzero(np.isfinite(s))
                 # products summed in one order for every row, so that equal vectors score equally
                 exact = (v[at] * q[i]).sum(axis=1)
+                at, exact = at[exact >= bounds[i]], exact[exact >= bounds[i]]
                 best = np.lexsort((ids[at], -exact))[:k]
                 out.append((np.full(len(best), own), ids[at][best], exact[best]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
@@ -235,8 +236,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     candidate. Null, zero and non-finite vectors, null ids, and vectors of another length than the most common one take
     no part. Centroids come from a bounded sample; every vector is listed with its nearest centroid and, near a boundary,
     with up to ``REPLICAS``. A list of any size is read whole: lists and the queries that read them are dealt into parts
-    of about ``PART`` rows, so a very common vector spreads over tasks. If the lists in reach hold too few rows, a query
-    reads on in the order of distance. How far queries read is measured on a sample of them against all vectors (``reach``). Ids that repeat count once, with their best score. An empty table gives an empty result.
+    of about ``PART`` rows, so a very common vector spreads over tasks. Lists are read in two rounds: the nearest ones, as many as the
+    square root of those in reach, give each query its k-th score so far, and of the other lists only rows that reach it leave
+    their task. If the lists in reach hold too few rows, a query reads on in the order of distance. How far queries read is measured on a sample of them against all vectors (``reach``). Ids that repeat count once, with their best score. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     known = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
@@ -258,41 +260,67 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     shared = spark.sparkContext.broadcast(index)
     kind = dict(known.dtypes)["vector"]
 
-    def listed(name: str, choose):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 512):
-                r, lists = choose(shared.value, matrix(batch.column("vector"), width))
-                rows = batch.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), rows.column(name), rows.column("vector")], ["list", name, "vector"])
+    homes = settle(known.mapInArrow(_placed(shared, "vec_id", width, lambda ix, x: ix.homes(x)), f"list int, vec_id long, vector {kind}, early boolean"))
+    sizes = _per_list(homes, len(index.centroids))
+    enough = REPLICAS * (k + 1)
+    ratio = reach(known, asked, homes, index, k)
+    schema = f"list int, query_id long, vector {dict(asked.dtypes)['vector']}, early boolean"
+    readings = settle(asked.mapInArrow(_placed(shared, "query_id", width, lambda ix, x: ix.readings(x, sizes, enough, ratio)), schema))
 
-        return run
+    first = settle(_best(_read(homes, readings.where("early").withColumn("bound", F.lit(float("-inf"))), sizes, k), k))
+    # the k-th score found so far: what lies below can't be among the k best
+    bounds = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+    late = readings.where("NOT early").join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    second = _read(homes, late, sizes, k)
+    return _best(first.select("query_id", "vec_id", "score").unionByName(second), k).select("query_id", "rank", "vec_id", "score")
 
-    homes = settle(known.mapInArrow(listed("vec_id", lambda ix, x: ix.homes(x)), f"list int, vec_id long, vector {kind}"))
-    k_lists = len(index.centroids)
-    sizes = np.zeros(k_lists, np.int64)
-    for row in homes.groupBy("list").count().collect():  # at most one row per centroid
+
+def _placed(shared, name: str, width: int, choose):
+    """One row for every list that ``choose`` gives a vector; ``early`` are the nearest lists of a row, as many as the square
+    root of all its lists."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            r, lists = choose(shared.value, matrix(batch.column("vector"), width))
+            order = np.argsort(r, kind="stable")  # lists of a row stay nearest first
+            r, lists = r[order], lists[order]
+            n = np.bincount(r, minlength=batch.num_rows)
+            place = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+            rows = batch.take(pa.array(r))
+            early = pa.array(place < np.ceil(np.sqrt(n))[r])
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), rows.column(name), rows.column("vector"), early], ["list", name, "vector", "early"])
+
+    return run
+
+
+def _per_list(rows: DataFrame, lists: int) -> np.ndarray:
+    sizes = np.zeros(lists, np.int64)
+    for row in rows.groupBy("list").count().collect():  # at most one row per centroid
         sizes[row["list"]] = row["count"]
-    enough = REPLICAS * (k + 1)
-    ratio = reach(known, asked, homes, index, k)
-    readings = settle(asked.mapInArrow(listed("query_id", lambda ix, x: ix.readings(x, sizes, enough, ratio)), f"list int, query_id long, vector {dict(asked.dtypes)['vector']}"))
-    readers = np.zeros(k_lists, np.int64)
-    for row in readings.groupBy("list").count().collect():
-        readers[row["list"]] = row["count"]
+    return sizes
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query with their rank, every vector once."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _read(homes: DataFrame, readings: DataFrame, sizes: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of every list and query that reads it the k best rows that reach the query's ``bound``."""
+    readers = _per_list(readings, len(sizes))
 
     def parts(n: np.ndarray) -> np.ndarray:
         return np.maximum(1, -(-n // PART))
 
-    counts = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(parts(sizes), parts(readers)))]
+    counts = [(i, int(a), int(b)) for i, (a, b, n) in enumerate(zip(parts(sizes), parts(readers), readers)) if n]
 
     def dealt(df: DataFrame, own: str, count: str, name: str, other: str, others: str) -> DataFrame:
-        cuts = spark.createDataFrame(counts, "list int, parts int, askers int")
+        cuts = df.sparkSession.createDataFrame(counts, "list int, parts int, askers int")
         cut = df.join(F.broadcast(cuts), "list")  # one row per centroid
         cut = cut.withColumn(own, F.pmod(F.xxhash64(F.lit(own), name), F.col(count)).cast("int"))
         return cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
 
-    held = dealt(homes, "part", "parts", "vec_id", "asker", "askers").groupBy("list", "part", "asker")
-    reading = dealt(readings, "asker", "askers", "query_id", "part", "parts").groupBy("list", "part", "asker")
-    found = held.cogroup(reading).applyInPandas(_score(k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = dealt(homes.drop("early"), "part", "parts", "vec_id", "asker", "askers").groupBy("list", "part", "asker")
+    reading = dealt(readings.drop("early"), "asker", "askers", "query_id", "part", "parts").groupBy("list", "part", "asker")
+    return held.cogroup(reading).applyInPandas(_score(k), "query_id long, vec_id long, score double")

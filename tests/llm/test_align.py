@@ -1,4 +1,5 @@
 import hashlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -31,7 +32,7 @@ def libraries(paths):
 
 
 def brute(texts, libraries):
-    """Every token pair of a text is looked at."""
+    """Every byte of a text is looked at: the tokens it lies in are linked."""
     first, second = libraries
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
@@ -49,16 +50,14 @@ def brute(texts, libraries):
             out.append(None)
             continue
         ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]).tolist(), np.cumsum([len(x) for x in bytes_b]).tolist()
-        links = []
-        for i, (stop_a, size_a) in enumerate(zip(ends_a, map(len, bytes_a))):
-            links += [(a[i], b[j]) for j, (stop_b, size_b) in enumerate(zip(ends_b, map(len, bytes_b))) if stop_a - size_a < stop_b and stop_b - size_b < stop_a]
+        owners = [[i for i, own in enumerate(tokens) for _ in own] for tokens in (bytes_a, bytes_b)]
+        links = [(a[i], b[j]) for i, j in dict.fromkeys(zip(*owners))]
         counts.update(links)
         common = sorted(set(ends_a) & set(ends_b))
         groups, low = [], 0
         for e in common:
-            of_a = [str(t) for t, stop in zip(a, ends_a) if low < stop <= e]
-            of_b = [str(t) for t, stop in zip(b, ends_b) if low < stop <= e]
-            groups.append(",".join(of_a) + "|" + ",".join(of_b))
+            parts = [[str(t) for t in ids[bisect_right(ends, low) : bisect_right(ends, e)]] for ids, ends in ((a, ends_a), (b, ends_b))]
+            groups.append("|".join(map(",".join, parts)))
             low = e
         out.append((len(a), len(b), len(common), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
     top = defaultdict(int)
