@@ -42,11 +42,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 @register("op1_binary_topk", """
 WITH codes AS (
-  SELECT vec_id, list_transform(range(1, 65), lambda i: embedding[i] > 0 AND isfinite(embedding[i])) AS bits
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0 AND isfinite(x)) AS bits
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
 ), pairs AS (
   SELECT q.vec_id AS query_id, r.vec_id AS id,
-    CAST(len(list_filter(range(1, 65), lambda i: coalesce(q.bits[i], false) <> coalesce(r.bits[i], false))) AS INTEGER) AS distance
+    CAST(len(list_filter(range(1, greatest(len(q.bits), len(r.bits)) + 1), lambda i: coalesce(q.bits[i], false) <> coalesce(r.bits[i], false))) AS INTEGER) AS distance
   FROM codes q, codes r WHERE q.vec_id % 50 = 0
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM pairs

@@ -27,7 +27,6 @@ def test_equals_brute_force(spark, k, monkeypatch):
     from lendlens.llm import mih
 
     monkeypatch.setattr(mih, "BLOCK", 100)
-    monkeypatch.setattr(mih, "QUERIES", 7)
     rows = [*random_rows(600, 1), (None, 5), (601, None), (3, random_rows(600, 1)[3][1])]
     queries = [(i, c) for i, c in rows if i is not None and i % 50 == 0] + [(None, 1), (9, None)]
     got = top_k(
@@ -59,4 +58,50 @@ def test_sign_code(spark):
     df = spark.createDataFrame(rows, "v array<double>")
     from pyspark.sql import functions as F
 
-    assert [r[0] for r in df.select(sign_code(F.col("v"))).collect()] == [5, 8, 2, 0, -1]
+    assert [r[0] for r in df.select(sign_code(F.col("v"))).collect()] == [[5], [8], [2], [], [-1, 63]]
+
+
+def test_wide_vectors_count_with_all_components(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 80)))]
+    vectors[1] = (1, [*vectors[0][1][:64], *(-x for x in vectors[0][1][64:])])  # differs in the last 16 components alone
+    vectors[2] = (2, vectors[0][1][:64])  # shorter: what it has not is not positive
+    from pyspark.sql import functions as F
+
+    codes = spark.createDataFrame(vectors, "id long, v array<double>").select("id", sign_code(F.col("v")).alias("code"))
+    asked = codes.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    got = {(r["query_id"], r["id"]): r["distance"] for r in top_k(codes, asked, 300).collect()}
+    assert len(got) == 6 * 300
+    for (q, i), d in got.items():
+        a, b = ([x > 0 for x in vectors[j][1]] + [False] * (80 - len(vectors[j][1])) for j in (q, i))
+        assert d == sum(x != y for x, y in zip(a, b))
+    assert got[0, 1] == 16
+
+
+def test_only_queries_are_copied(spark, monkeypatch):
+    from lendlens.llm import mih
+
+    monkeypatch.setattr(mih, "BLOCK", 50)
+    rows = random_rows(500, 4)
+    codes = spark.createDataFrame(rows, "id long, code long")
+    seen = spark.sparkContext.accumulator(0)
+    plain = mih._search
+
+    def counting(k, words):
+        run = plain(k, words)
+
+        def counted(batches):
+            def each():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            yield from run(each())
+
+        return counted
+
+    monkeypatch.setattr(mih, "_search", counting)
+    asked = codes.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    assert top_k(codes, asked, 3).count() == 30
+    distinct = len({c for _, c in rows})
+    assert seen.value == distinct + 10 * -(-distinct // 50)
