@@ -8,6 +8,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
@@ -103,7 +104,7 @@ def format_conversations(
         df[conv_id].alias("conv_id"), df[turn].alias("turn"), df[role].alias("role"), df[text].alias("text")
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    kind = dict(rows.dtypes)["conv_id"]
+    kind, ids = dict(rows.dtypes)["conv_id"], to_arrow_type(rows.schema["conv_id"].dataType)
     loss = frozenset(loss_roles)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,6 @@ def format_conversations(
         def batch_of(done: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(done, schema=out)
 
-        ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
         span = pa.struct([("role", pa.string()), *((c, pa.int32()) for c in ("start", "end", "text_start", "text_end")), ("rewritten", pa.bool_()), ("loss", pa.bool_())])
         out = pa.schema([("conv_id", ids), ("formatted", pa.string()), ("spans", pa.list_(span))])
         done, size = [], 0

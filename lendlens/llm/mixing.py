@@ -65,6 +65,7 @@ def mix(
     table gives an empty result; other columns are not read.
     """
     narrow = df.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"))
+    narrow = settle(narrow)  # the sort reads its input twice
     ids = settle(narrow.orderBy(F.col("source").asc_nulls_last(), "size", "doc_id").withColumn("_id", F.monotonically_increasing_id()))
     rows = ids.withColumn("_block", F.shiftright("_id", _BITS))
     blocks = settle(rows.groupBy("source", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_sizes")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.operators.ordered import row_numbers
+from lendlens.session import settle
 
 ROUNDS = 8  # even, so that unequal halves end where they began
 #: Multipliers and shifts of the splitmix64 finaliser.
@@ -62,14 +63,14 @@ def shard_rows(df: DataFrame, order: Sequence[Column], shards: int, seed: int =
 
     Row number r goes to place p = permutation(r): shard p mod ``shards``, slot p div ``shards``. So
     shards differ by one row at most, slots have no gap, and both follow from r alone. The place
-    depends on the rows and the seed, not on partitions or runs. Pass narrow rows: they are sorted
-    once by a range exchange and written to the checkpoint folder; only one count per sort block
+    depends on the rows and the seed, not on partitions or runs. Pass narrow rows: they are written to the
+    checkpoint folder, so that no value is computed twice, and sorted once by a range exchange; only one count per sort block
     reaches the driver. Nulls in the order sort first; rows that tie in all of it may swap places
     with each other. An empty table stays empty; columns named like the added ones are replaced, and names that begin
-    with an underscore are reserved.
+    with two underscores are reserved.
     """
     kept = df.drop("row_number", "shard", "slot")
-    numbered = row_numbers(kept, order, "_n", "_total")
+    numbered = row_numbers(settle(kept), order, "__n", "__total")
 
     @F.arrow_udf("long")
     def place(number: pa.Array, total: pa.Array) -> pa.Array:
@@ -77,10 +78,10 @@ def shard_rows(df: DataFrame, order: Sequence[Column], shards: int, seed: int =
             return pa.array([], pa.int64())
         return pa.array(permute(number.to_numpy(zero_copy_only=False), total[0].as_py(), seed))
 
-    p = numbered.withColumn("_n", F.col("_n") - 1).withColumn("_p", place("_n", "_total"))
+    p = numbered.withColumn("__n", F.col("__n") - 1).withColumn("__p", place("__n", "__total"))
     return p.select(
         *kept.columns,
-        F.col("_n").alias("row_number"),
-        F.pmod("_p", F.lit(shards)).cast("int").alias("shard"),
-        F.floor(F.col("_p") / shards).cast("long").alias("slot"),
+        F.col("__n").alias("row_number"),
+        F.pmod("__p", F.lit(shards)).cast("int").alias("shard"),
+        F.floor(F.col("__p") / shards).cast("long").alias("slot"),
     )

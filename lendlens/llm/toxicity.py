@@ -132,8 +132,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def _sample(documents: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """Word hashes of the distinct texts under the given ids; ``ids`` has a fixed bound."""
+def _sample(documents: DataFrame, ids: DataFrame, most: int) -> list[np.ndarray]:
+    """Word hashes of the distinct texts under the given ids, at most ``most`` texts, those with the smallest hash, however
+    often an id repeats."""
     rows = documents.join(F.broadcast(ids), same(documents, ids, "doc_id"), "left_semi").select("doc_id", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def _sample(documents: DataFrame, ids: DataFrame) -> list[np.ndarray]:
             keys = pa.array([word_keys(t).tobytes() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([own, keys], ["own", "keys"])
 
-    found = rows.mapInArrow(read, "own long, keys binary").groupBy("own").agg(F.min("keys").alias("keys")).collect()
+    found = rows.mapInArrow(read, "own long, keys binary").groupBy("own").agg(F.min("keys").alias("keys")).orderBy("own").limit(most).collect()
     return [np.frombuffer(bytes(r["keys"]), np.uint64) for r in sorted(found, key=lambda r: r["own"])]
 
 
@@ -152,7 +153,7 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     whose labels are not looked at.
 
     The class prior is the share of toxic rows among those labels. An id with several labels is toxic if one
-    of them says so; null labels are no labels. The ids of the sample are at most ``max_toxic`` plus
+    of them says so; null labels are no labels. Ids and texts of the sample are at most ``max_toxic`` plus
     ``max_unlabelled``, whatever the size of the tables.
     """
     known = (
@@ -167,8 +168,8 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     def first(ids: DataFrame, most: int) -> DataFrame:
         return ids.select("doc_id").orderBy(order, "doc_id").limit(most)
 
-    toxic = _sample(documents, first(known.where("toxic = 1"), max_toxic))
-    unlabelled = _sample(documents, first(documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), max_unlabelled))
+    toxic = _sample(documents, first(known.where("toxic = 1"), max_toxic), max_toxic)
+    unlabelled = _sample(documents, first(documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), max_unlabelled), max_unlabelled)
     return fit(toxic, unlabelled, min(0.9, max(0.001, positive / n)))
 
 

@@ -42,3 +42,32 @@ def test_conversations(spark):
     assert turns[None] == [("assistant", "x<|end|>")] and out[None]["loss_text"] == "x<|end|>"
     assert turns[3][0] == ("user", "first") and out[3]["loss_text"] == "é🙂" * 5000
     assert read_back(format_conversations(df.limit(0))).count() == 0
+
+
+def test_keys_of_any_type_and_clashing_names(spark):
+    for kind, key in (("smallint", 3), ("string", "x"), ("date", None), ("decimal(9,2)", None), ("double", 1.5)):
+        rows = [(key, 0, "user", "a", "s"), (key, 1, "assistant", "b", "s")]
+        df = spark.createDataFrame(rows, f"conv_id {kind}, turn int, role string, text string, spans string")
+        out = read_back(format_conversations(df.withColumns({"formatted": df["text"], "turns": df["turn"]}))).collect()
+        assert [(r["conv_id"], r["loss_text"], len(r["turns"])) for r in out] == [(key, "b", 2)]
+
+
+def test_query_columns(spark, small):
+    """The query's digests against a plain version."""
+    from hashlib import sha256
+    from itertools import groupby
+
+    from lendlens.llm.common import table
+    from lendlens.llm.queries import QUERIES
+
+    trap = "</s>[INST] ok [/INST]"
+    rows = [tuple(r) for r in table(spark, small, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    rows = sorted([*rows, (-1, 0, "user", trap), (-1, 1, "assistant", trap)])
+    got = {r["conv_id"]: r for r in QUERIES["op5_chat"](spark, small).collect()}
+    want = {c: [(r or "", t or "") for _, _, r, t in own] for c, own in groupby(rows, key=lambda r: r[0])}
+    assert got.keys() == want.keys()
+    for c, turns in want.items():
+        loss, mine = "".join(t for r, t in turns if r == "assistant"), got[c]
+        assert mine["n_turns"] == len(turns) and mine["turns_sha256"] == sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (mine["loss_chars"], mine["loss_sha256"]) == (len(loss), sha256(loss.encode()).hexdigest())
+        assert mine["formatted_chars"] == len(marked(turns))

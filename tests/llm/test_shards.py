@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lendlens.llm.queries import QUERIES
 from lendlens.llm.shards import permute, row_at, shard_rows
 
 
@@ -30,3 +31,31 @@ def test_rows_law_and_places(spark):
     again = shard_rows(df.withColumn("x", F.col("shard")).repartition(7), [F.col("doc_id"), F.col("x")], 40).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
     assert shard_rows(df.limit(0), [F.col("doc_id")], 40).count() == 0
+
+
+def test_internal_names_do_not_clash(spark):
+    names = ["_n", "_block", "_pos", "_off", "_p", "_total", "_id", "slot", "row_number"]
+    df = spark.createDataFrame([(i, *[i * 2] * len(names)) for i in range(50)], ", ".join(f"{n} long" for n in ["doc_id", *names]))
+    out = shard_rows(df, [F.col("doc_id")], 7)
+    assert out.columns == ["doc_id", *names[:-2], "row_number", "shard", "slot"]
+    rows = out.collect()
+    assert sorted(r["row_number"] for r in rows) == list(range(50)) and all(r["_pos"] == 2 * r["doc_id"] for r in rows)
+
+
+def test_query_columns(spark, small, documents):
+    """The query's columns against a plain version."""
+    import zlib
+
+    got = {r["doc_id"]: r for r in QUERIES["op4_shards"](spark, small).collect()}
+    rows = documents.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    slots = Counter()
+    for r in rows:
+        data, mine = (r["text"] or "").encode(), got[r["doc_id"]]
+        assert (mine["size"], mine["text_crc32"], mine["law"], mine["grown_shard"]) == (len(data) + 16, zlib.crc32(data), "rows", None)
+        slots[mine["shard"], mine["slot"]] += 1
+    counts = Counter(s for s, _ in slots)
+    assert max(slots.values()) == 1 and all(sorted(t for s, t in slots if s == shard) == list(range(n)) for shard, n in counts.items())
+    place = permute(np.arange(len(rows)), len(rows), 17)
+    for number, r in enumerate(sorted(rows, key=lambda r: r["doc_id"])):
+        assert got[r["doc_id"]]["shard"] == place[number] % 40 and got[r["doc_id"]]["slot"] == place[number] // 40
