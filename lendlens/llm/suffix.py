@@ -3,8 +3,8 @@
 A string of ``length`` bytes holds an anchor in its first half: the position with the smallest hash of its next
 eight bytes among the string's first ``length - key + 1`` positions. Equal strings hold it at the same
 offset. So every repeat is seen between two anchors that agree in the ``key`` bytes to their right.
-Only anchors whose ``key`` bytes occur again are sorted: their suffixes (and, read
-backwards, their prefixes) are put in order by a multikey sort to a shallow depth; the groups that still agree
+Only anchors whose ``key`` bytes occur again are sorted: their suffixes behind these bytes (and, read
+backwards, their prefixes) are put in order by a multikey quicksort to a shallow depth; the groups that still agree
 are ordered by blind tries. The common prefixes of neighbours in both orders say which strings around an
 anchor occur elsewhere.
 """
@@ -23,8 +23,8 @@ from lendlens.llm.common import byte_list, same, slices
 from lendlens.session import settle
 
 LENGTH = 400
-SHALLOW = 16  # bytes that the multikey sort looks at before the tries take over
-GROUP = 1 << 15  # contexts of one key that are sorted together; larger groups are counted by window
+SHALLOW = 24  # bytes that the multikey sort looks at before the tries take over: the mark of the group and 16 of the text
+GROUP = 1 << 12  # contexts that are sorted together; larger groups are parted by further bytes
 _BATCH = 20_000  # contexts sorted at a time
 _CHUNK = 1 << 18  # bytes whose anchors are found at a time
 #: Odd multipliers of the anchor hash.
@@ -165,22 +165,44 @@ class BlindTrie:
         return order, common
 
 
+def _multikey(fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): rows of letters in order; rows that agree in all letters have one group number.
+
+    Multikey quicksort of all groups side by side: each group that is not settled takes the letter of its middle row as pivot and
+    falls into three parts, smaller, equal and larger; the equal part goes on with the next letter.
+    """
+    n, letters = fixed.shape
+    order, group, depth = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    while True:
+        size = np.bincount(group)[group]
+        at = np.flatnonzero((size > 1) & (depth < letters))
+        if not len(at):
+            return order, group
+        own, mine = order[at], group[at]
+        letter = fixed[own, depth[at]]
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        rank = np.cumsum(np.concatenate([[0], mine[1:] != mine[:-1]]))
+        middle = first + np.diff(np.append(first, len(at))) // 2
+        pivot = letter[middle][rank]
+        part = (letter > pivot).astype(np.int8) - (letter < pivot)
+        by = np.lexsort((part, rank))
+        order[at], depth[at] = own[by], (depth[at] + (part == 0))[by]
+        fresh = np.zeros(n, np.int64)
+        fresh[at] = part[by]
+        group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | ((group[1:] == group[:-1]) & (fresh[1:] != fresh[:-1]))]))
+
+
 def deep_shallow_sort(strings: Sequence[bytes], shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """The order of ``strings`` and the length of the prefix that each has in common with the one before it.
 
-    Shallow: a multikey sort takes eight bytes at a time as one letter and splits every group of strings that
-    agree so far, to the depth ``shallow``. Deep: a blind trie orders each group that is left.
+    Shallow: a multikey quicksort, eight bytes to a letter, splits the strings to the depth ``shallow``. Deep: a blind trie orders
+    each group that is left.
     """
     n = len(strings)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    fixed = np.frombuffer(b"".join([s[:shallow].ljust(shallow, b"\0") for s in strings]), ">u8").reshape(n, shallow // 8)
-    for depth in range(shallow // 8):
-        letter = fixed[order, depth]
-        by = np.lexsort((letter, group))
-        order, group, letter = order[by], group[by], letter[by]
-        group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (letter[1:] != letter[:-1])]))
+    fixed = np.frombuffer(b"".join([s[:shallow].ljust(shallow, b"\0") for s in strings]), ">u8").reshape(n, shallow // 8).astype(np.uint64)
+    order, group = _multikey(fixed)
     common = np.zeros(n, np.int64)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), n]):
@@ -194,23 +216,29 @@ def deep_shallow_sort(strings: Sequence[bytes], shallow: int = SHALLOW) -> tuple
     return order, common
 
 
-def repeated_offsets(groups: np.ndarray, lefts: Sequence[bytes], rights: Sequence[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_offsets(
+    groups: np.ndarray, lefts: Sequence[bytes], rights: Sequence[bytes], counts: np.ndarray, length: int,
+    lows: np.ndarray | None = None, highs: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """For distinct contexts around anchors of the given ``groups`` (equal key bytes), the least and the largest
     distance before the anchor at which a string of ``length`` bytes begins that occurs elsewhere (least > largest:
-    none does). ``counts`` says how often a context occurs.
+    none does). ``counts`` says how often a context occurs; only distances from ``lows`` to ``highs`` are looked at.
 
     A string that begins o bytes before the anchor agrees with that of another context if they share ``length - o``
-    bytes to the right and o bytes to the left. Neighbours in the sorted orders tell classes of such contexts.
+    bytes to the right and o bytes to the left. Neighbours in the sorted orders tell classes of such contexts. The key bytes,
+    which a group shares, are compared once and left out of the strings that are sorted.
     """
-    n, reach = len(lefts), length - length // 2
+    n, reach, key_size = len(lefts), length - length // 2, length // 2
     least, largest = np.full(n, reach + 1), np.full(n, -1)
     if not n:
         return least, largest
-    marks = [int(g).to_bytes(8, "big") for g in groups.view(np.uint64)]
+    known: dict[tuple[int, bytes], int] = {}
+    group = np.array([known.setdefault((g, r[:key_size]), len(known)) for g, r in zip(groups.tolist(), rights)], np.int64)
+    marks = [int(g).to_bytes(8, "big") for g in group]
     orders = []
-    for strings in ([m + s for m, s in zip(marks, rights)], [m + s[::-1] for m, s in zip(marks, lefts)]):
+    for strings, shared in (([m + r[key_size:] for m, r in zip(marks, rights)], key_size), ([m + s[::-1] for m, s in zip(marks, lefts)], 0)):
         order, common = deep_shallow_sort(strings)
-        common = np.where(np.concatenate([[False], groups[order[1:]] == groups[order[:-1]]]), common - 8, -1)
+        common = np.where(np.concatenate([[False], group[order[1:]] == group[order[:-1]]]), common - 8 + shared, -1)
         orders.append((order, common))
     right_size = np.fromiter(map(len, rights), np.int64, n)
     left_size = np.fromiter(map(len, lefts), np.int64, n)
@@ -230,6 +258,8 @@ def repeated_offsets(groups: np.ndarray, lefts: Sequence[bytes], rights: Sequenc
         if len(both):
             _, at, times = np.unique(right_label[both] * (n + 1) + left_label[both], return_inverse=True, return_counts=True)
             hit[both[times[at] > 1]] = True
+        if lows is not None and highs is not None:
+            hit &= (lows <= o) & (o <= highs)
         least[hit] = np.minimum(least[hit], o)
         largest[hit] = o
     return least, largest
@@ -289,11 +319,12 @@ def _fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
     return met.mapInArrow(run, "key long, ctx long, c long, left binary, right binary")
 
 
-_OFFSETS = "key long, ctx long, least int, largest int"
+_OFFSETS = "root long, ctx long, least int, largest int"
 
 
 def _sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
-    """The repeated offsets of contexts whose groups fit a batch: each group lies whole in one partition."""
+    """The repeated offsets of contexts (root, key, ctx, c, left, right, low, high) whose groups fit a batch: each group
+    lies whole in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(parts: list[pa.Table]) -> pa.RecordBatch:
@@ -303,13 +334,12 @@ def _sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
             # copies of one document row fetch a context more than once
             once = np.unique(np.stack([key, ctx]), axis=1, return_index=True)[1]
             left, right = whole.column("left").to_pylist(), whole.column("right").to_pylist()
-            least, largest = repeated_offsets(
-                key[once], [left[i] for i in once], [right[i] for i in once], whole.column("c").to_numpy()[once], length
-            )
+            c, low, high = (whole.column(x).to_numpy()[once] for x in ("c", "low", "high"))
+            least, largest = repeated_offsets(key[once], [left[i] for i in once], [right[i] for i in once], c, length, low, high)
             hit = least <= largest
             return pa.RecordBatch.from_arrays(
-                [pa.array(key[once][hit]), pa.array(ctx[once][hit]), pa.array(least[hit].astype(np.int32)), pa.array(largest[hit].astype(np.int32))],
-                ["key", "ctx", "least", "largest"],
+                [pa.array(whole.column("root").to_numpy()[once][hit]), pa.array(ctx[once][hit]), pa.array(least[hit].astype(np.int32)), pa.array(largest[hit].astype(np.int32))],
+                ["root", "ctx", "least", "largest"],
             )
 
         waiting: list[pa.Table] = []
@@ -332,25 +362,42 @@ def _sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, _OFFSETS)
 
 
-def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: every string of a context is hashed and counted."""
-    kept = contexts.dropDuplicates(["key", "ctx"])
+def _parted(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of large groups in groups of at most ``GROUP``, and those that are left with one distance to look at.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            rows = []
-            for key, ctx, c, left, right in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                text = left + right
-                for o in range(max(0, length - len(right)), len(left) + 1):
-                    at = len(left) - o
-                    rows.append((key, ctx, c, o, xxhash.xxh3_128_digest(text[at : at + length])))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["key", "ctx", "c", "o", "h"])
-
-    windows = settle(kept.mapInArrow(run, "key long, ctx long, c long, o int, h binary"))
-    again = windows.groupBy("key", "o", "h").agg(F.sum("c").alias("times")).where("times > 1")
-    return windows.join(again, ["key", "o", "h"]).groupBy("key", "ctx").agg(F.min("o").alias("least"), F.max("o").alias("largest"))
+    Two contexts repeat a string at a distance of low to high before the anchor only if they agree in ``length - high`` bytes to the
+    right and ``low`` bytes to the left. So a large group is looked at in two halves of its distances, each parted by the
+    further bytes that its contexts must share, and so on while a part is large. A context goes to at most two parts a round, in
+    which it can hold a string at all; after eight rounds every distance stands alone, and equal strings are one group.
+    """
+    reach = length - length // 2
+    todo = contexts.select(F.col("key").alias("root"), "key", "ctx", "c", "left", "right", F.lit(0).alias("low"), F.lit(reach).alias("high"))
+    small: list[DataFrame] = []
+    for _ in range(reach.bit_length() + 1):
+        todo = settle(todo)
+        large = settle(todo.where("low < high").groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP).select("key"))
+        small.append(todo.join(large, "key", "left_anti"))
+        if large.isEmpty():
+            break
+        middle = F.expr("(low + high) div 2").cast("int")
+        halves = F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))
+        parts = todo.join(large, "key", "left_semi").withColumn("half", F.explode(halves)).select("root", "key", "ctx", "c", "left", "right", "half.*")
+        able = F.least(F.col("b"), F.octet_length("left")) >= F.greatest(F.col("a"), F.lit(length) - F.octet_length("right"))
+        further = F.xxhash64("key", "a", F.expr(f"substring(right, 1, {length} - b)"), F.expr("substring(left, octet_length(left) - a + 1, a)"))
+        todo = parts.where(able).select("root", further.alias("key"), "ctx", "c", "left", "right", F.col("a").alias("low"), F.col("b").alias("high"))
+    every = small[0]
+    for more in small[1:]:
+        every = every.unionByName(more)
+    return every.where("low < high"), every.where("low = high")
+
+
+def _equal_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """The repeated offsets of contexts with one distance to look at: those whose string occurs more than once."""
+    window = F.concat(F.expr("substring(left, octet_length(left) - low + 1, low)"), F.expr(f"substring(right, 1, {length} - low)"))
+    once = contexts.dropDuplicates(["root", "ctx", "low"]).withColumn("window", window).where(F.octet_length("window") == length)
+    again = once.groupBy("root", "low", "window").agg(F.sum("c").alias("times")).where("times > 1").drop("times")
+    hits = once.join(again, ["root", "low", "window"], "left_semi")
+    return hits.select("root", "ctx", F.col("low").alias("least"), F.col("low").alias("largest"))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -381,12 +428,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("key", "ctx", "c", "at.*")
     )
     large = settle(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP).select("key"))
+    usual = _fetch_contexts(docs, contexts.join(large, "key", "left_anti"), length)
+    usual = usual.select(F.col("key").alias("root"), "key", "ctx", "c", "left", "right", F.lit(0).alias("low"), F.lit(reach).alias("high"))
     if large.isEmpty():
-        offsets = _sort_contexts(_fetch_contexts(docs, contexts, length), length)
+        offsets = _sort_contexts(usual, length)
     else:
-        some = _sort_contexts(_fetch_contexts(docs, contexts.join(large, "key", "left_anti"), length), length)
-        others = _count_windows(_fetch_contexts(docs, contexts.join(large, "key", "left_semi"), length), length)
-        offsets = some.union(others.select(*some.columns))
+        parts, single = _parted(_fetch_contexts(docs, contexts.join(large, "key", "left_semi"), length), length)
+        offsets = _sort_contexts(usual.unionByName(parts), length).unionByName(_equal_windows(single, length))
+        offsets = offsets.groupBy("root", "ctx").agg(F.min("least").alias("least"), F.max("largest").alias("largest"))
+    offsets = offsets.withColumnRenamed("root", "key")
 
     alone = seen.where("NOT several").select(
         "doc_id", "__th", "pos", F.greatest(F.lit(0), length - F.least(F.lit(length), F.col("n") - F.col("pos"))).alias("least"),
@@ -396,7 +446,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = alone.union(shared).select(
         "doc_id", "__th", F.struct((F.col("pos") - F.col("largest")).alias("start"), (F.col("pos") - F.col("least") + length).alias("stop")).alias("s")
     )
-    return spans.groupBy("doc_id", "__th").agg(F.collect_list("s").alias("spans"))
+    # rows that repeat in full have the same spans
+    return spans.distinct().groupBy("doc_id", "__th").agg(F.collect_list("s").alias("spans"))
 
 
 def _with_hash(df: DataFrame) -> DataFrame:
@@ -409,8 +460,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Texts are judged whole, as UTF-8; matches stay within a document, may overlap, and are found on the input, not on
     what is left. All occurrences go, the first one too. Copies of a text are one context each, so a group of
-    copies of any size is one aggregated row; a key whose contexts are too many for a task is resolved
-    by counting hashed windows instead. Null texts are empty, texts below ``length`` bytes have no string, repeated
+    copies of any size is one aggregated row; a key whose contexts are too many for a task is parted by further bytes. Null texts are empty, texts below ``length`` bytes have no string, repeated
     rows are copies of each other, a null doc_id is kept, an empty table gives an empty result, and other
     columns are not read. A run may end inside a character: ``kept`` is binary.
     """

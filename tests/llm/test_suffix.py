@@ -47,11 +47,30 @@ def test_equals_brute_force(spark, letters, length):
     check(spark, made_texts(length, letters), length)
 
 
-def test_large_groups_are_counted(spark, monkeypatch):
+def test_large_groups_are_parted(spark, monkeypatch):
     monkeypatch.setattr(suffix, "GROUP", 3)
     check(spark, made_texts(9, "abc"), 20)
 
 
+def test_a_key_with_very_many_contexts(spark):
+    """One passage in 50,000 different surroundings, some of which share more than the passage."""
+    rng = random.Random(2)
+    passage = "the common passage"  # 18 of 20 bytes
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(6)) + passage + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(50_000)]
+    got = {r["doc_id"]: (bytes(r["kept"]), [(s["start"], s["stop"]) for s in r["spans"]]) for r in remove_repeats(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 20).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in texts], 20)))
+
+
+def test_multikey_groups_rows_of_equal_letters():
+    rng = np.random.default_rng(6)
+    fixed = rng.integers(0, 4, (500, 3)).astype(np.uint64)
+    order, group = suffix._multikey(fixed)
+    rows = [tuple(r) for r in fixed[order].tolist()]
+    assert rows == sorted(map(tuple, fixed.tolist()))
+    assert all((rows[i] == rows[i - 1]) == (group[i] == group[i - 1]) for i in range(1, 500))
+
+
 def test_small_batches_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(suffix, "_BATCH", 5)
     monkeypatch.setattr(suffix, "_CHUNK", 64)
