@@ -53,3 +53,48 @@ def test_odd_rows(spark):
     assert score_toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert score_toxicity(docs.limit(0), labels).count() == 0
     assert drop_toxic(docs, labels.limit(0)).columns == docs.columns
+
+
+def test_fit_against_a_plain_version():
+    """Dense matrices, the risk written out, and its slope checked by differences."""
+    from lendlens.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    vocabulary = ["w" + "".join(rng.choice(list("abcdefgh"), 4)) for _ in range(60)]
+
+    def text(toxic):
+        return " ".join([*rng.choice(vocabulary, 12), *(["vile", "awful"] if toxic else ["fine"])])
+
+    toxic, mixed = [word_keys(text(True)) for _ in range(30)], [word_keys(text(i % 4 == 0)) for i in range(200)]
+    prior = 0.25
+    model = fit(toxic, mixed, prior)
+    P, U = (np.array([[k in set(d.tolist()) for k in model.keys.tolist()] + [True] for d in docs], float) for docs in (toxic, mixed))
+
+    def parts(w):
+        zp, zu = P @ w, U @ w
+        return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+    def slope(f, w):
+        steps = np.eye(len(w)) * 1e-6
+        return np.array([(f(w + s) - f(w - s)) / 2e-6 for s in steps])
+
+    w = np.zeros(len(model.keys) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v, decay, reversed_steps = 0.0, 0.0, max(3e-4, 0.03 / len(toxic)), 0
+    for step in range(1, toxicity.STEPS + 1):
+        clean = parts(w)[1]
+        g = slope(lambda x: sum(parts(x)), w) if clean >= 0 else -slope(lambda x: parts(x)[1], w)
+        reversed_steps += clean < 0
+        g[:-1] += decay * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        w = w - (toxicity.RATE * (1 - step / toxicity.STEPS) + 1e-3) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    np.testing.assert_allclose([*model.weights, model.bias], w, atol=2e-2)
+    assert len(model.keys) >= 2
+
+
+def test_sample_is_bounded_in_texts(spark):
+    from lendlens.llm.toxicity import _sample
+
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(500)], "doc_id long, text string")  # one id over many texts
+    ids = docs.select("doc_id").distinct()
+    assert len(_sample(docs, ids, 20)) == 20
