@@ -460,7 +460,7 @@ def _(ctx):
        f"SELECT o_orderkey, {Q.pct_rank('o_totalprice')} AS price_rank, {Q.pct_rank('gap')} AS priority_rank FROM (SELECT *, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey % 7 END AS gap FROM orders) o")
 def _(ctx):
     orders = ctx.star("orders").withColumn("gap", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_custkey") % 7))
-    return ordered.percent_rank_columns(orders, {"price_rank": "o_totalprice", "priority_rank": "gap"})
+    return ordered.percent_rank_columns(orders, {"price_rank": "o_totalprice", "priority_rank": "gap"}, keys=["o_orderkey"])
 
 
 @check("w9_relationship_strength", "customer_id snapshot_month:t relationship_strength_score:f",

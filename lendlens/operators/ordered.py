@@ -10,6 +10,7 @@ before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -84,22 +85,28 @@ def rank_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select("series", "value", (average_rank / F.col("n_total")).alias("pct"))
 
 
-def percent_rank_columns(df: DataFrame, ranks: dict[str, str], among: DataFrame | None = None) -> DataFrame:
+def percent_rank_columns(
+    df: DataFrame, ranks: dict[str, str], among: DataFrame | None = None, keys: Sequence[str] | None = None
+) -> DataFrame:
     """Adds ``output`` = percent rank (average ties, null for null) of ``column`` for each
     ``{output: column}``, among the rows of ``df`` or of a larger frame that holds them.
 
     Only narrow (row, series, value) rows meet the rank table, all columns in one join; the ranks of a row are
     gathered by one aggregate and joined back, so the wide rows are shuffled once for any number of
-    ranks. A hot value is split at run time. The rows are written once to give each a number.
+    ranks. A hot value is split at run time. ``keys`` that name a row tell rows apart, and only they and the ranked columns are
+    written; without them all columns are written once to give each row a number.
     """
     columns = list(dict.fromkeys(ranks.values()))
-    rows = settle(df.withColumn("__row", F.monotonically_increasing_id()))
+    names = {f"__key{i}": k for i, k in enumerate(keys or [])} or {"__row": "__row"}
+    rows = settle(df.select(*keys, *[c for c in columns if c not in keys])) if keys else settle(df.withColumn("__row", F.monotonically_increasing_id()))
     cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns])
-    narrow = rows.select("__row", F.explode(cells).alias("c")).select("__row", "c.series", "c.value").where("value IS NOT NULL")
-    found = narrow.join(rank_table(rows if among is None else among, columns), ["series", "value"]).groupBy("__row").agg(
+    narrow = rows.select(*[F.col(k).alias(n) for n, k in names.items()], F.explode(cells).alias("c")).select(*names, "c.series", "c.value").where("value IS NOT NULL")
+    found = narrow.join(rank_table(rows if among is None else among, columns), ["series", "value"]).groupBy(*names).agg(
         *[F.max(F.when(F.col("series") == column, F.col("pct"))).alias(output) for output, column in ranks.items()]
     )
-    return rows.join(found, "__row", "left").select(*df.columns, *ranks)
+    wide = df if keys else rows
+    same = reduce(lambda a, b: a & b, [wide[k].eqNullSafe(found[n]) for n, k in names.items()])
+    return wide.join(found, same, "left").select(*[wide[c] for c in df.columns], *ranks)
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -145,10 +145,10 @@ def deal_totals(economics: DataFrame) -> DataFrame:
 
 
 def deal_complexity(totals: DataFrame) -> DataFrame:
-    """Adds the complexity score, ranked over all deals. Amounts are ranked at four decimals: equal
+    """Adds the complexity score, ranked over all deals, of which there is one row each. Amounts are ranked at four decimals: equal
     totals must tie whatever order their parts were added in."""
     rounded = totals.withColumn("_commitment", F.round("total_commitment", 4))
-    ranked = percent_rank_columns(rounded, {"_n_rank": "number_of_facilities", "_c_rank": "_commitment"})
+    ranked = percent_rank_columns(rounded, {"_n_rank": "number_of_facilities", "_c_rank": "_commitment"}, keys=["deal_id"])
     score = F.col("_n_rank") * 0.65 + F.col("_c_rank") * 0.35
     return ranked.withColumn("deal_complexity_score", clamp01(score)).drop("_n_rank", "_c_rank", "_commitment")
 

@@ -30,6 +30,18 @@ def test_percent_rank(spark, frame, parts):
     np.testing.assert_allclose(got["r2"].to_numpy(), frame["few"].rank(pct=True).to_numpy(), rtol=0, atol=1e-15)
 
 
+def test_percent_rank_by_keys_writes_narrow_rows(spark, frame):
+    df = to_spark(spark, frame, 5).withColumn("wide", F.lit("x" * 50))
+    keyed = ordered.percent_rank_columns(df, {"r1": "hot", "r2": "few", "r3": "id"}, keys=["id"])
+    assert keyed.columns == [*df.columns, "r1", "r2", "r3"]
+    got = keyed.toPandas().sort_values("id")
+    for output, column in (("r1", "hot"), ("r2", "few"), ("r3", "id")):
+        np.testing.assert_allclose(got[output].to_numpy(), frame[column].rank(pct=True).to_numpy(), rtol=0, atol=1e-15)
+    some = df.where("id % 10 = 0")
+    part = ordered.percent_rank_columns(some, {"r1": "hot"}, among=df, keys=["id"]).toPandas().sort_values("id")
+    np.testing.assert_allclose(part["r1"].to_numpy(), frame["hot"].rank(pct=True).to_numpy()[::10], rtol=0, atol=1e-15)
+
+
 @pytest.mark.parametrize("parts", [1, 7, 64])
 def test_row_numbers(spark, frame, parts):
     order = [F.col("hot").desc_nulls_last(), F.col("few").desc_nulls_last(), F.col("id").asc()]
