@@ -12,6 +12,7 @@ anchor occur elsewhere.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from lendlens.session import settle
 
 LENGTH = 400
 SHALLOW = 24  # bytes that the multikey sort looks at before the tries take over: the mark of the group and 16 of the text
-GROUP = 1 << 12  # contexts that are sorted together; larger groups are parted by further bytes
+GROUP = 1 << 15  # contexts (of at most 600 bytes) that are sorted together; larger groups are parted by further bytes
 _BATCH = 20_000  # contexts sorted at a time
 _CHUNK = 1 << 18  # bytes whose anchors are found at a time
 #: Odd multipliers of the anchor hash.
@@ -362,17 +363,21 @@ def _sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, _OFFSETS)
 
 
-def _parted(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Contexts of large groups in groups of at most ``GROUP``, and those that are left with one distance to look at.
+def _parted(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contexts of large groups in groups of at most ``GROUP``, those that are left with one distance to look at, and
+    repeated offsets found on the way.
 
     Two contexts repeat a string at a distance of low to high before the anchor only if they agree in ``length - high`` bytes to the
     right and ``low`` bytes to the left. So a large group is looked at in two halves of its distances, each parted by the
-    further bytes that its contexts must share, and so on while a part is large. A context goes to at most two parts a round, in
-    which it can hold a string at all; after eight rounds every distance stands alone, and equal strings are one group.
+    further bytes that its contexts must share, and so on while a part is large. Contexts of a part that agree in all bytes which its
+    distances reach repeat at all of them; one of them goes on for the others. So a round at most doubles what has no
+    equal, and after eight rounds every distance stands alone.
     """
     reach = length - length // 2
     todo = contexts.select(F.col("key").alias("root"), "key", "ctx", "c", "left", "right", F.lit(0).alias("low"), F.lit(reach).alias("high"))
+    todo = todo.dropDuplicates(["root", "ctx"])
     small: list[DataFrame] = []
+    found: list[DataFrame] = []
     for _ in range(reach.bit_length() + 1):
         todo = settle(todo)
         large = settle(todo.where("low < high").groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP).select("key"))
@@ -382,13 +387,22 @@ def _parted(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         middle = F.expr("(low + high) div 2").cast("int")
         halves = F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))
         parts = todo.join(large, "key", "left_semi").withColumn("half", F.explode(halves)).select("root", "key", "ctx", "c", "left", "right", "half.*")
-        able = F.least(F.col("b"), F.octet_length("left")) >= F.greatest(F.col("a"), F.lit(length) - F.octet_length("right"))
+        least, largest = F.greatest(F.col("a"), F.lit(length) - F.octet_length("right")), F.least(F.col("b"), F.octet_length("left"))
         further = F.xxhash64("key", "a", F.expr(f"substring(right, 1, {length} - b)"), F.expr("substring(left, octet_length(left) - a + 1, a)"))
-        todo = parts.where(able).select("root", further.alias("key"), "ctx", "c", "left", "right", F.col("a").alias("low"), F.col("b").alias("high"))
-    every = small[0]
-    for more in small[1:]:
-        every = every.unionByName(more)
-    return every.where("low < high"), every.where("low = high")
+        near = F.struct(
+            F.expr("substring(left, greatest(octet_length(left) - b, 0) + 1, b)").alias("l"), F.expr(f"substring(right, 1, {length} - a)").alias("r")
+        )
+        parts = settle(parts.where(least <= largest).select(
+            "root", further.alias("key"), "ctx", "c", "left", "right", F.col("a").alias("low"), F.col("b").alias("high"),
+            least.cast("int").alias("least"), largest.cast("int").alias("largest"), near.alias("near"),
+        ))
+        classes = parts.groupBy("root", "key", "low", "near").agg(F.sum("c").alias("all"), F.min("ctx").alias("first"))
+        met = settle(parts.join(classes, ["root", "key", "low", "near"]))
+        found.append(met.where(F.col("all") > 1).select("root", "ctx", "least", "largest"))
+        todo = met.where("ctx = first").select("root", "key", "ctx", F.col("all").alias("c"), "left", "right", "low", "high")
+    every = reduce(DataFrame.unionByName, small)
+    early = reduce(DataFrame.unionByName, found) if found else every.select("root", "ctx", F.col("low").alias("least"), F.col("high").alias("largest")).limit(0)
+    return every.where("low < high"), every.where("low = high"), early
 
 
 def _equal_windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -433,8 +447,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if large.isEmpty():
         offsets = _sort_contexts(usual, length)
     else:
-        parts, single = _parted(_fetch_contexts(docs, contexts.join(large, "key", "left_semi"), length), length)
-        offsets = _sort_contexts(usual.unionByName(parts), length).unionByName(_equal_windows(single, length))
+        parts, single, early = _parted(_fetch_contexts(docs, contexts.join(large, "key", "left_semi"), length), length)
+        offsets = _sort_contexts(usual.unionByName(parts), length).unionByName(_equal_windows(single, length)).unionByName(early)
         offsets = offsets.groupBy("root", "ctx").agg(F.min("least").alias("least"), F.max("largest").alias("largest"))
     offsets = offsets.withColumnRenamed("root", "key")
 
