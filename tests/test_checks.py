@@ -21,6 +21,7 @@ QUICK = [
     "w12_priority_rank", "w13_decile", "q1_profile", "q4_bronze_summary", "m11_roc_auc", "m12_average_precision", "m15_roc_curve", "o3_posterior_summary", "o6_acceptance_curve",
     "o12_profit_price", "g5_application_status", "g7_modelled_ftp", "l3_facility_economics", "s6_parquet_sink", "s9_schema_registry",
     "f15_case_folds", "m4_one_hot", "m5_split", "t3_seeded_sample", "o4_prior_predictive", "o8_profit_curves", "o13_split", "q2_profile_tables",
+    "j11_deal_relationship_as_of", "w1_merged_extract", "o2_posterior_draws", "o3_weighted_summary", "s7_format_checks", "u3_missing_columns", "q8_forbidden_columns",
 ]
 
 
@@ -62,9 +63,8 @@ def test_entry(spark):
 def test_every_inventory_family_is_registered():
     have = {re.match(r"[a-z]\d+", k).group() for k in CHECKS}
     need = {f"{p}{i}" for p, n in {"f": 43, "j": 19, "a": 23, "w": 14, "t": 3, "m": 17, "o": 13, "g": 9, "l": 6, "s": 12, "q": 11}.items() for i in range(1, n + 1)}
-    need |= {f"p{i}" for i in range(1, 10)} | {"u1", "u2", "u4"}
-    plan_time = {"s4", "s7", "p8", "u3", "q8", "q12", "m1"}  # checked by unit tests: nothing to run on tables
-    assert need - have - plan_time == set()
+    need |= {f"p{i}" for i in range(1, 10)} | {f"u{i}" for i in range(1, 5)}
+    assert need - have == set()
 
 
 @pytest.mark.parametrize("build", [
@@ -77,6 +77,17 @@ def test_core_plans(context, build):
         assert banned not in plan, banned
 
 
+def test_dashboard_of_active_deals_drops_others_first(context):
+    from lendlens.plans import gold, silver
+
+    raw = silver.touched_facilities(context.bronze, context.kept_deals.where("deal_status = 'active'"))
+    for name in ("bronze_los_facilities", "bronze_pricing_quotes", "bronze_risk_assessments"):
+        assert "LeftSemi" in raw[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < raw[name].count() < context[name].count()
+    few = gold.rm_dashboard(gold.active_features(context.bronze)).toPandas()
+    assert rows(few) == rows(gold.rm_dashboard(context.lazy_features).toPandas()) and len(few) > 100
+
+
 def test_scans_read_only_needed_columns(context):
     plan = context["bronze_los_facilities"].select("facility_source_id", "currency")._jdf.queryExecution().executedPlan().toString()
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
