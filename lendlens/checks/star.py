@@ -256,27 +256,32 @@ def extract_sql(name: str, dialect: Dialect = ANSI) -> str:
 # Extracts that begin with an aggregate, whose exchange deals out their rows anyway.
 AGGREGATED = {"bronze_pricing_quotes", "bronze_risk_assessments", "bronze_treasury_ftp_rates", "relationship_history"}
 
+# Extracts that make many rows of each row of a small table, which a file may offer as one split.
+EXPANDED = {"bronze_core_relationship_snapshot"}
+
 
 class StarSource:
     """The extracts of one star-schema folder as lazy DataFrames.
 
     ``spread`` is for files that offer a single split, as one large row group does: the caller names the number of
-    partitions that the columns in use are dealt to. By default tables are read as they are split.
+    partitions that the columns in use are dealt to. By default tables are read as they are split, except below an expansion: its rows
+    are dealt to all cores first.
     """
 
     def __init__(self, spark: SparkSession, folder: str, spread: int | None = None):
         self.spark, self.folder, self.spread = spark, folder, spread
 
-    def star(self, table: str, dealt: bool = True) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
-        return df.repartition(self.spread) if self.spread and dealt else df
+    def star(self, table: str, dealt: bool = True, spread: int | None = None) -> DataFrame:
+        df, spread = self.spark.read.parquet(f"{self.folder}/{table}.parquet"), self.spread or spread
+        return df.repartition(spread) if spread and dealt else df
 
     def extract(self, name: str) -> DataFrame:
         build, needs = EXTRACTS[name]
         query = build(SPARK)
         for t in needs:
             query = query.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-        return self.spark.sql(query, **{t: self.star(t, name not in AGGREGATED) for t in needs})
+        spread = self.spark.sparkContext.defaultParallelism if name in EXPANDED else None
+        return self.spark.sql(query, **{t: self.star(t, name not in AGGREGATED, spread) for t in needs})
 
     def bronze(self) -> dict[str, DataFrame]:
         return {name: self.extract(name) for name in EXTRACTS if name.startswith("bronze_")}

@@ -9,7 +9,7 @@ before it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -149,23 +149,36 @@ def row_numbers(df: DataFrame, order: Sequence[Column], output: str = "row_numbe
 _DIGIT = 16  # bits of an ordered number that one round of the selection settles
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used: a plain expression is copied at each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ordered_bits(value: Column) -> Column:
     """A bigint that orders as the double does, infinities and, above them, NaN included; 0.0 and -0.0 are 0.
 
     The magnitude is the bit pattern of the IEEE double: its exponent, found by a logarithm and put right by exact powers of two, and the
     52 bits behind it. All steps are exact, so ``double_of`` gives the value back.
     """
-    size = F.abs(value)
-    finite = F.when(size < F.lit(float("inf")), size)  # NaN is larger than infinity
-    near = F.greatest(F.floor(F.log2(F.when(finite > 0, finite))), F.lit(-1022)).cast("int")
-    power = F.lit(2.0)
-    exponent = F.greatest(near + F.when(finite >= F.pow(power, near + 1), 1).when(finite < F.pow(power, near), -1).otherwise(0), F.lit(-1022))
-    # two halves, because the inverse of the largest power is no normal number
-    share = finite * F.pow(power, -F.floor(exponent / 2)) * F.pow(power, F.floor(exponent / 2) - exponent)
-    bits = (exponent + 1022).cast("bigint") * F.lit(1 << 52) + (share * F.lit(float(1 << 52))).cast("bigint")
-    infinite = F.lit(2047 << 52)
-    bits = F.when(F.isnan(value), infinite + 1).when(size == F.lit(float("inf")), infinite).when(size == 0, 0).otherwise(bits)
-    return F.when(value < 0, -bits).otherwise(bits).cast("bigint")
+    power, infinite = F.lit(2.0), F.lit(2047 << 52)
+
+    def of_finite(size: Column) -> Column:
+        def put_right(near: Column) -> Column:
+            return F.greatest(near + F.when(size >= F.pow(power, near + 1), 1).when(size < F.pow(power, near), -1).otherwise(0), F.lit(-1022))
+
+        def pattern(exponent: Column) -> Column:
+            # two halves, because the inverse of the largest power is no normal number
+            share = size * F.pow(power, -F.floor(exponent / 2)) * F.pow(power, F.floor(exponent / 2) - exponent)
+            return (exponent + 1022).cast("bigint") * F.lit(1 << 52) + (share * F.lit(float(1 << 52))).cast("bigint")
+
+        near = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("int")
+        return _let(near, lambda n: _let(put_right(n), pattern))
+
+    def of_size(size: Column) -> Column:
+        # NaN is larger than infinity
+        return F.when(F.isnan(size), infinite + 1).when(size == F.lit(float("inf")), infinite).when(size == 0, 0).otherwise(of_finite(size))
+
+    return _let(value, lambda v: _let(_let(F.abs(v), of_size), lambda bits: F.when(v < 0, -bits).otherwise(bits).cast("bigint")))
 
 
 def double_of(bits: Column) -> Column:
@@ -210,12 +223,11 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], series: str | N
     The two order statistics around each quantile are found by radix selection: the values are written once as narrow
     rows and counted in four rounds, all series and quantiles together. Rows without series are left out.
     """
-    data = settle(df.select(
+    known = df.where(F.col(value).isNotNull() & F.col(series).isNotNull()) if series else df.where(F.col(value).isNotNull())
+    data = settle(known.select(
         (F.col(series) if series else F.lit(0)).alias("series"), ordered_bits(F.col(value).cast("double")).alias("bits"),
         (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("weight"),
-    ).where("bits IS NOT NULL"))
-    if series:
-        data = data.where("series IS NOT NULL")
+    ))
     totals = settle(data.groupBy("series").agg(F.sum("weight").alias("n_values")))
     places = [(F.col("n_values") - 1) * F.lit(float(p)) for p in probs]
     ends = F.array_distinct(F.array(*[f(p) for p in places for f in (F.floor, F.ceil)]))

@@ -106,6 +106,20 @@ def test_prefix_counts_by_series(spark, frame):
         assert (r.n, r.pos, r.n_before, r.pos_before, r.n_total, r.pos_total) == (len(same), same.y.sum(), len(below), below.y.sum(), len(rest), rest.y.sum())
 
 
+def test_the_bits_of_a_value_are_computed_once(spark, frame, monkeypatch):
+    """Copies of the logarithm in a plan are work per value: the expression must not be repeated in itself or in a filter."""
+    plans, settle = [], ordered.settle
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().lower())
+        return settle(df)
+
+    monkeypatch.setattr(ordered, "settle", seen)
+    df = to_spark(spark, frame, 3)
+    ordered.column_quantiles(df, ["hot", "few"], [0.25, 0.5]).collect()
+    assert [p.count("log2(") for p in plans if "log2(" in p] == [1]
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "id int, hot double")
     assert ordered.percent_rank_columns(empty, {"r": "hot"}).count() == 0
