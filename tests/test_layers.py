@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lendlens.checks.sources import value_counts
 from lendlens.operators.quality import key_violations, orphans, reference_violations
 from lendlens.plans import gold as G
 from lendlens.plans import silver as V
@@ -84,3 +85,30 @@ def test_pipeline_round_trip(spark, context, tmp_path):
     again = read_run(spark, str(tmp_path / "out"), "gold")
     assert set(again) == set(GOLD.values())
     assert again[GOLD["rm_deal_dashboard"]].count() == counts["gold_rm_deal_dashboard"]
+
+
+def test_kept_marts_are_cut_from_features_written_once(layers, monkeypatch):
+    written = []
+
+    def settled(df):
+        written.append(set(df.columns))
+        return df
+
+    monkeypatch.setattr(G, "settle", settled)
+    gold = G.build_gold(layers[1], keep=lambda name, df: layers[2][name])
+    for mart in ("deal_training_dataset", "active_deal_scoring_dataset", "rm_deal_dashboard"):
+        assert gold[GOLD[mart]] is layers[2][GOLD[mart]]
+    assert sum({*G.FEATURES, "deal_outcome", "current_stage"} <= columns for columns in written) == 1
+
+
+def test_queries_over_all_layers_share_what_marts_have_in_common(context):
+    plans = [context.whole_gold[GOLD[mart]]._jdf.queryExecution().optimizedPlan().toString() for mart in ("deal_training_dataset", "rm_deal_dashboard")]
+    plans.append(context.whole_silver[SILVER["pricing_cases"]]._jdf.queryExecution().optimizedPlan().toString())
+    assert all("Join" not in p and p.count("Relation") == 1 for p in plans)
+
+
+def test_values_of_a_table_are_counted_in_one_pass(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, 5, None), (None, None, "y")], "a int, b int, c string").repartition(2)
+    found = value_counts({"t": df}, [("t", "a"), ("t", "b"), ("t", "c"), ("t", "a"), ("unknown", "a")])
+    assert sorted(map(tuple, found.collect())) == [("t", "a", 2), ("t", "b", 1), ("t", "c", 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
