@@ -44,3 +44,13 @@ def test_latest_curve(spark):
     df = spark.createDataFrame(rows, "currency string, product_group string, tenor_bucket_months int, ftp_curve_date string, ftp_bps double").selectExpr("*", "ftp_bps AS liquidity_cost_bps")
     curve = dedupe.latest_curve(df)
     assert [tuple(r) for r in curve.collect()] == [("EUR", "Trade", 12, 2.0, 2.0)]
+
+
+def test_ties_are_settled_up_to_the_last_wanted_column(spark):
+    rows = [("a", 1, "x", 5.0, "p"), ("a", 1, "x", None, "q"), ("a", 1, None, 9.0, "z"), ("b", 2, None, 1.0, "r"), ("b", None, "y", 2.0, "s")]
+    df = spark.createDataFrame(rows, "k string, ts int, c string, v double, tail string").repartition(3)
+    few = dedupe.latest_by(df, "k", "ts", tie=dedupe.tie_break(df, ["k", "ts"], ["v"])).select("k", "v")
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in dedupe.latest_by(df, "k", "ts").select("k", "v").collect()} == {("a", 5.0), ("b", 2.0)}
+    exchanges = [line for line in few._jdf.queryExecution().optimizedPlan().toString().splitlines() if "tail" in line and "Window" in line]
+    assert not exchanges  # what is behind the last wanted column orders nothing
+    assert len(dedupe.tie_break(df, ["k", "ts"])) == 3 and dedupe.tie_break(df, ["k", "ts"], ["k"]) == []
