@@ -176,3 +176,25 @@ def test_any_number_of_labels_is_a_series(spark):
 def test_modes_take_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "x"), ("b", "y"), ("a", None), (None, None)], "s string, t string")
     assert {r.series: r.mode_value for r in ordered.column_modes(df, ["s", "t"]).collect()} == {"s": "a", "t": "x"}
+
+
+def test_column_quantiles_read_brackets_only(spark, monkeypatch):
+    """Large columns never become one row per value: only what lies around the wanted ranks is counted and selected from."""
+    rng = np.random.default_rng(5)
+    n, probs = 30_000, [0.0, 0.25, 0.5, 0.995]
+    pdf = pd.DataFrame({"plain": rng.normal(0, 10, n), "hot": np.where(rng.random(n) < 0.6, 0.0, rng.normal(0, 1, n)), "flag": rng.random(n) < 0.3, "none": np.nan})
+    rows = [tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False, name=None)]
+    df = spark.createDataFrame(rows, "plain double, hot double, flag boolean, none double").repartition(6)
+    monkeypatch.setattr(ordered, "_long", None)
+    got = {r["series"]: r for r in ordered.column_quantiles(df, ["plain", "hot", "flag", "none"], probs).collect()}
+    assert set(got) == {"plain", "hot", "flag"} and all(r["n_values"] == n for r in got.values())
+    for c, r in got.items():
+        np.testing.assert_allclose([r[f"q{i}"] for i in range(len(probs))], pdf[c].astype(float).quantile(probs).to_numpy(), rtol=0, atol=1e-12)
+
+
+def test_column_quantiles_survive_a_bad_bracket(spark, monkeypatch):
+    """A bracket that misses its rank is noticed by the counts and all values are read."""
+    df = spark.range(5000).select((F.col("id") % 4999).cast("double").alias("v"), F.lit(float("nan")).alias("w"))
+    monkeypatch.setattr(ordered, "_MARGIN", 0.0)
+    got = {r["series"]: r["q0"] for r in ordered.column_quantiles(df, ["v", "w"], [0.5]).collect()}
+    assert got["v"] == np.median(np.arange(5000) % 4999) and np.isnan(got["w"])
