@@ -7,6 +7,7 @@ from lendlens.operators.quality import key_violations, orphans, reference_violat
 from lendlens.plans import gold as G
 from lendlens.plans import silver as V
 from lendlens.plans.pipeline import read_run, run_pipeline
+from lendlens.session import settle
 from lendlens.sources.catalog import BRONZE, GOLD, SILVER, leakage_columns
 
 
@@ -137,3 +138,25 @@ def test_deal_totals_deal_out_rows_once(spark):
     plan = totals._jdf.queryExecution().executedPlan().toString()
     by_deal = [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if "Exchange hashpartitioning(deal_id" in line]
     assert len(by_deal) == 1 and "REPARTITION" in by_deal[0]
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_final_quotes_for_the_marts_are_dealt_out_once(spark, context):
+    """The same rows as the flagged quotes, for raw ids that stand for one facility, repeated quotes and deals and missing ids, too."""
+    keys = context.kept_facilities.select(*V.FACILITY_KEYS)
+    other = keys.withColumn("facility_source_id", F.concat(F.lit("X-"), "facility_source_id"))  # a second raw id of each facility
+    keys = keys.unionByName(other).unionByName(keys.limit(20))
+    raw = context["bronze_pricing_quotes"]
+    late = raw.where("quote_version = 1").withColumns({
+        "facility_source_id": F.concat(F.lit("X-"), "facility_source_id"), "quote_version": F.lit(7), "quote_id": F.concat("quote_id", F.lit("x"))})
+    none = raw.limit(30).withColumn("facility_source_id", F.lit(None).cast("string"))
+    quotes = raw.unionByName(late).unionByName(late.limit(10)).unionByName(none)
+    finals = V.final_pricing_cases(quotes, keys)
+    want = V.pricing_cases(quotes, keys).where("is_final_quote")
+    assert finals.exceptAll(want).count() == want.exceptAll(finals).count() == 0 and finals.where("quote_version = 7").count() > 100
+    dealt = [line for line in _exchanges(V.final_pricing_cases(context["bronze_pricing_quotes"], settle(keys))) if "facility" in line]
+    assert len(dealt) <= 2 and all("REPARTITION" in line or "Broadcast" in line for line in dealt)
