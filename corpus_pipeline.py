@@ -28,9 +28,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without strings of 400 bytes that also start elsewhere."""
+    """All documents, without strings of 400 bytes and passages of over 50 words that also start elsewhere."""
     importable(tune(spark))
-    return suffix.without_repeats(docs)
+    return suffix.without_repeats(docs, words=51)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,6 +91,19 @@ def test_repeats(stages):
     assert any(len(t) < len(r[1] or "") for r, t in zip(before, left))
 
 
+def test_repeated_passages_of_over_fifty_words(spark):
+    """Under 400 bytes, so only the number of words tells them."""
+    rng = random.Random(3)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+    passage, heads = prose(54), [prose(20) for _ in range(4)]
+    rows = [(i, f"{h} {passage}" if i else h, "en", "a", 0) for i, h in enumerate(heads)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeat_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert len(passage) < 400 and got == {0: heads[0]} | {i: f"{heads[i]} " for i in (1, 2, 3)}
+
+
 def test_mixing(stages):
     before, after = stages["source_mixing"]
     size = {r: len((r[1] or "").encode().split()) for r in before}  # bytes.split knows the six ASCII blanks only

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -92,6 +93,40 @@ def test_texts_without_repeats(spark):
     assert without_repeats(df.limit(0)).columns == df.columns and remove_repeats(df.limit(0)).count() == 0
 
 
+def word_runs_cut(texts, words):
+    """Texts without their passages of ``words`` words that also start elsewhere."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    runs = [[tuple(t[a:b] for a, b in own[i : i + words]) for i in range(len(own) - words + 1)] for t, own in zip(texts, places)]
+    seen = Counter(r for own in runs for r in own)
+    out = []
+    for t, own, mine in zip(texts, places, runs):
+        gone = np.zeros(len(t), bool)
+        for i, r in enumerate(mine):
+            if seen[r] > 1:
+                gone[own[i][0] : own[i + words - 1][1]] = True
+        out.append(bytes(np.frombuffer(t, np.uint8)[~gone]))
+    return out
+
+
+def test_short_passages_of_many_words(spark):
+    """Passages of 51 words and more go though they are under 400 bytes; passages of 50 words stay."""
+    rng = random.Random(5)
+
+    def prose(n, blank=" "):
+        return blank.join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(n))
+
+    long, short, least = prose(55), prose(50), prose(51)
+    texts = [f"{prose(rng.randint(0, 40))} {p} {prose(rng.randint(0, 40))}" for p in (long, short, least) for _ in range(4)]
+    texts += [f"{prose(9)} {long.replace(' ', chr(10) + chr(9))}", f"{least} {least}", " and" * 60, prose(30), "", f"{prose(5)} {long[2:]}", texts[0], f"{long}\x1c"]
+    data = [t.encode() for t in texts]
+    assert max(len(p.encode()) for p in (long, short, least)) < 400
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[1])]
+    got = {r["doc_id"]: r["text"] for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100_000, words=51).collect()}
+    want = word_runs_cut([*data, data[1]], 51)
+    assert got == {i: t.decode() for (i, _), t in zip(rows, want)}
+    assert long not in got[1] and short in got[4] and least not in got[8]
+
+
 def test_clashing_names_pass_through(spark):
     df = spark.createDataFrame([(1, "x" * 90, 5, "a", 7)], "doc_id long, text string, _th int, _text string, _spans int")
     assert [tuple(r) for r in without_repeats(df, 40).collect()] == [(1, "", 5, "a", 7)]
