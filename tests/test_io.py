@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from lendlens.plans.pipeline import run_pipeline
 from lendlens.sources import tables
@@ -61,3 +64,31 @@ def test_scope_removes_its_own_tables_only(spark):
     assert kept.count() == 3
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").splitlines()
+    return {f for f in files if "/shuffle_" in f}
+
+
+def _new_shuffle_files(spark, before, seconds=20):
+    """What stays beyond ``before``; files are deleted in the background."""
+    end = time.time() + seconds
+    while _shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.1)
+    return _shuffle_files(spark) - before
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark, tmp_path):
+    """A long run holds the shuffles of one step on disk, not those of all its steps."""
+    from lendlens.session import SHUFFLE_CLEANUP, settle
+
+    counted = spark.range(5000).repartition(4, "id").groupBy((F.col("id") % 700).alias("k")).count()
+    setting, before = spark.conf.get(SHUFFLE_CLEANUP, None), _shuffle_files(spark)
+    kept = settle(counted)
+    assert not _new_shuffle_files(spark, before)
+    for fmt in ("csv", "parquet"):
+        tables.write_tables({"t": counted}, str(tmp_path), fmt)
+    assert not _new_shuffle_files(spark, before)
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting  # frames of the caller keep their files
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in counted.collect()} and kept.count() == 700
