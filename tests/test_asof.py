@@ -91,3 +91,15 @@ def test_gold_as_of_uses_nothing_later(spark, layers):
 
     assert rates(moved, True) == rates(curves, True)
     assert rates(moved, False)[0] > rates(curves, False)[0]
+
+
+def test_as_of_lookups_read_narrow_rows(layers, monkeypatch):
+    """Facilities and deals find what was known at the decision before quotes, risk and totals are joined to them."""
+    seen, own = [], gold.as_of_join
+    monkeypatch.setattr(gold, "as_of_join", lambda left, *rest: seen.append(set(left.columns)) or own(left, *rest))
+    _, silver, marts = layers
+    economics = gold.facility_economics(silver, as_of=True)
+    features = gold.deal_features(silver, economics, marts["gold_deal_economics"], as_of=True)
+    assert len(seen) == 2 and not seen[0] & {"offered_margin_bps", "expected_loss"} and not seen[1] & {"total_commitment", "rating_at_offer", "industry"}
+    assert economics.count() == marts["gold_facility_economics"].count()
+    assert features.count() == gold.deal_features(silver, economics, marts["gold_deal_economics"]).count() > 0
